@@ -86,22 +86,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes:
+class WordHashes(dict):
     """64-bit hashes of words, with a bounded memory of those seen."""
 
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.known = limit, {}
+    limit = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), U64, len(words))
-        except KeyError:
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), U64, len(words))
+        if len(self) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

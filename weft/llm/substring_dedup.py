@@ -1,8 +1,7 @@
 """Duplicate word windows of all documents, by a compressed FM-index for each shard.
 
-A window is `window` consecutive words of one document. It is anchored at its smallest (by digest,
-leftmost first) run of `anchor` words, so equal windows have equal anchors. Windows of one anchor
-occurrence form a segment; segments whose anchor occurs once hold no repeated window and go at once.
+A window is `window` consecutive words of one document. Its anchor is its smallest (by digest) run of
+`anchor` words, so equal windows have equal anchors. Consecutive windows of one anchor form a segment; segments whose anchor occurs once hold no repeated window and go at once.
 The others are dealt to shards by their anchor, so each window meets all its copies in one shard.
 A shard's segments are indexed, some thousands at a time, never parting an anchor's: a
 Burrows-Wheeler transform in a wavelet matrix of bit vectors with rank blocks. Documents' segments
@@ -37,6 +36,8 @@ WINDOW = 35
 ANCHOR = 8
 HOT = 4096
 INDEX_WORDS = 300_000
+#: Most windows of a segment.
+SEGMENT = 63
 
 
 class BitVector:
@@ -132,16 +133,32 @@ class FMIndex:
         return out
 
 
-def anchors(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, first window and number of windows of each anchor occurrence, given the words' hashes."""
-    h = window_hashes(words, anchor)
+def sliding(op: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:
+    """op (minimum or maximum) over each `span` consecutive values, by doubling."""
+    width = 1
+    while 2 * width <= span:
+        x, width = op(x[:-width], x[width:]), 2 * width
+    return op(x[: len(x) - (span - width)], x[span - width :]) if width < span else x
+
+
+def anchors(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of windows with one anchor, given the words' hashes: digest, first window, number of windows (at most SEGMENT), whether the anchor stands in it twice."""
     if len(words) < window:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    span = window - anchor + 1
-    windows = np.lib.stride_tricks.sliding_window_view(h, span)
-    place = np.concatenate([windows[at : at + 65536].argmin(axis=1) for at in range(0, len(windows), 65536)]) + np.arange(len(windows))
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return h[place[first]], first, np.diff(np.append(first, len(place)))
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    h, span = window_hashes(words, anchor), window - anchor + 1
+    low = sliding(np.minimum, h, span)
+    first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
+    n = np.diff(np.append(first, len(low)))
+    # a place is its windows' smallest if the largest of their minima is its value; places of a run follow each other
+    none = np.zeros(span - 1, U64)
+    place = h[sliding(np.maximum, np.concatenate([none, low, none]), span) == h]
+    twice = np.diff(np.append(np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1]), len(place))) > 1
+    if n.max() > SEGMENT:  # a long run becomes several segments
+        pieces = -(-n // SEGMENT)
+        at = np.repeat(first, pieces) + SEGMENT * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        n = np.minimum(SEGMENT, np.repeat(first + n, pieces) - at)
+        first, twice = at, np.repeat(twice, pieces)
+    return low[first], first, n, twice
 
 
 def _covered(n: int, intervals: list[tuple[int, int]]) -> np.ndarray:
@@ -182,15 +199,15 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         for b in slices(batches, "text"):
             keys, digests, places = [], [], []
             for k, t in enumerate(as_bytes(b["text"])):
-                h, first, n = anchors(hashes((t or b"").split()), window, anchor)
+                h, first, n, twice = anchors(hashes((t or b"").split()), window, anchor)
                 keys.append(np.full(len(h), k))
                 digests.append(h)
-                places.append(first * 64 + n)
+                places.append(first * 128 + n * 2 + twice)
             h = np.concatenate(digests).view(np.int64)
             yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(np.concatenate(keys))), pa.array(h), pa.array(np.concatenate(places).astype(np.int64))], names=["key", "h", "at"])
 
     found = base.mapInArrow(find, "key binary, h long, at long")
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").select("h", (F.col("n") > hot).alias("hot"))
+    often = found.groupBy("h").agg(F.sum(F.lit(1) + F.col("at") % 2).alias("n")).where("n >= 2").select("h", (F.col("n") > hot).alias("hot"))
     own = found.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("h", "at", "hot")).alias("places"))
     rows = base.join(own, "key").select("key", "text", "places")
 
@@ -203,7 +220,7 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
                     if p["hot"] != of_hot:
                         continue
                     words = words if words is not None else text.split()
-                    start, n = p["at"] >> 6, p["at"] & 63
+                    start, n = p["at"] >> 7, p["at"] >> 1 & 63
                     for i in range(n if of_hot else 1):
                         data = b" ".join(words[start + i : start + i + window + (0 if of_hot else n - 1)])
                         for column, value in zip(out, (p["h"], key, start + i, xxhash.xxh3_128_digest(data) if of_hot else data), strict=True):
@@ -236,7 +253,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, an
     """docs with n_words, n_removed, kept_sha256 of each text, and with kept_text=True the words kept, joined by spaces."""
     result = ["n_words", "n_removed", "kept_sha256"] + (["kept_text"] if kept_text else [])
     key = F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
-    base = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text")).groupBy("key").agg(F.count("*").alias("rows"), F.max("text").alias("text"))
+    base = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text")).groupBy("key").agg(F.count("*").alias("rows"), F.max("text").alias("text")).where("rows > 0")  # so that all uses below have one exchange of the texts
     covered = repeated_windows(base.select("key", "text"), window, anchor, hot, index_words).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = base.join(covered, "key", "left").select("key", "rows", "text", "spans")
 
