@@ -9,8 +9,9 @@ are streamed backwards: each step extends the match by a word, and a match of mo
 words gives up its last by the index's boundaries of equal prefixes, so the state is always the
 interval of the longest match up to `window`. An interval of two or more at full length is reported.
 
-An anchor of more than `hot` occurrences would fill a shard. Its windows are dealt by their own
-128-bit digests instead and counted with partial sums, the exact way for any number of copies.
+An anchor of more than `hot` occurrences would fill a shard. Its segments are instead counted by their
+contents with partial sums, and the windows of the distinct ones by 128-bit digests, each with its
+segment's count: the exact way for any number of copies.
 
 Equal texts are one class and read once; a class of two or more rows repeats all its windows. Null
 and empty texts have no words. Nothing depends on doc_id: null and repeated ids are rows as others,
@@ -161,16 +162,17 @@ def anchors(words: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tu
     return low[first], first, n, twice
 
 
-def _covered(n: int, intervals: list[tuple[int, int]]) -> np.ndarray:
+def _covered(n: int, starts: np.ndarray, masks: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words the windows at starts[k] + i cover, for each bit i of masks[k]."""
+    k, i = np.nonzero(masks[:, None] >> np.arange(SEGMENT) & 1)
     mark = np.zeros(n + 1, np.int64)
-    for a, b in intervals:
-        mark[a] += 1
-        mark[b] -= 1
+    np.add.at(mark, starts[k] + i, 1)
+    np.add.at(mark, starts[k] + i + window, -1)
     return np.cumsum(mark[:-1]) > 0
 
 
 def _index_block(runs: list[pa.Table], window: int) -> Iterator[pa.RecordBatch]:
-    """key, first word, end word of each stretch that repeated windows of the block's segments cover."""
+    """key, first word and mask of repeated windows of each of the block's segments that has any."""
     table = pa.concat_tables(runs)
     split = [w.split(b" ") for w in table["data"].to_pylist()]
     length = np.array([len(w) for w in split])
@@ -182,17 +184,13 @@ def _index_block(runs: list[pa.Table], window: int) -> Iterator[pa.RecordBatch]:
     at = np.repeat(np.cumsum(length + 1) - length - 1, length) + np.concatenate([np.arange(n) for n in length.tolist()])
     text[at] = flat
     found = FMIndex(text, window).repeated(rows, length)
-    i, j = np.nonzero(found)
-    if not len(i):
-        return
-    new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1] + 1)]))
-    last = np.append(new[1:], len(i)) - 1
-    start = table["start"].to_numpy()[i[new]]
-    yield pa.RecordBatch.from_arrays([table["key"].combine_chunks().take(pa.array(i[new])), pa.array((start + j[new]).astype(np.int32)), pa.array((start + j[last] + window).astype(np.int32))], names=["key", "a", "b"])
+    mask = (found[:, :SEGMENT].astype(np.int64) << np.arange(min(SEGMENT, found.shape[1]))).sum(axis=1)
+    some = pa.array(np.flatnonzero(mask))
+    yield pa.RecordBatch.from_arrays([table[c].combine_chunks().take(some) for c in ("key", "start")] + [pa.array(mask[mask != 0])], names=["key", "start", "mask"])
 
 
 def repeated_windows(base: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, index_words: int = INDEX_WORDS) -> DataFrame:
-    """key, a, b: stretches of words from a up to b that windows cover which start elsewhere too. base: key, text."""
+    """key, start, mask: bit i tells that the window at word start + i starts elsewhere too. base: key, text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -221,10 +219,8 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
                         continue
                     words = words if words is not None else text.split()
                     start, n = p["at"] >> 7, p["at"] >> 1 & 63
-                    for i in range(n if of_hot else 1):
-                        data = b" ".join(words[start + i : start + i + window + (0 if of_hot else n - 1)])
-                        for column, value in zip(out, (p["h"], key, start + i, xxhash.xxh3_128_digest(data) if of_hot else data), strict=True):
-                            column.append(value)
+                    for column, value in zip(out, (p["h"], key, start, b" ".join(words[start : start + window + n - 1])), strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["h", "key", "start", "data"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +236,25 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         if held:
             yield from _index_block(held, window)
 
+    def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for segment, n, data in zip(b["segment"].to_pylist(), b["n"].to_pylist(), b["data"].to_pylist(), strict=True):
+                words = data.split(b" ")
+                out += [(segment, n, i, xxhash.xxh3_128_digest(b" ".join(words[i : i + window]))) for i in range(len(words) - window + 1)]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["segment", "n", "at", "digest"])
+
     kinds = "h long, key binary, start int, data binary"
     segments = rows.mapInArrow(lambda b: cut_out(b, False), kinds)
-    indexed = segments.repartition("h").sortWithinPartitions("h").mapInArrow(index, "key binary, a int, b int")
+    indexed = segments.repartition("h").sortWithinPartitions("h").mapInArrow(index, "key binary, start int, mask long")
     single = rows.where(F.exists("places", lambda p: p["hot"])).mapInArrow(lambda b: cut_out(b, True), kinds)
-    twice = single.groupBy("data").agg(F.count("*").alias("n")).where("n >= 2").select("data")
-    counted = single.join(twice, "data").select("key", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
-    return indexed.unionByName(counted)
+    single = single.withColumn("segment", F.unhex(F.md5("data")))
+    distinct = single.groupBy("segment").agg(F.count("*").alias("n"), F.first("data").alias("data"))
+    windows = distinct.mapInArrow(each_window, "segment binary, n long, at int, digest binary")
+    twice = windows.groupBy("digest").agg(F.sum("n").alias("n")).where("n >= 2").select("digest")
+    masks = windows.join(twice, "digest").groupBy("segment").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    return indexed.unionByName(single.select("segment", "key", "start").join(masks, "segment").select("key", "start", "mask"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, index_words: int = INDEX_WORDS, kept_text: bool = False) -> DataFrame:
@@ -254,19 +262,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, an
     result = ["n_words", "n_removed", "kept_sha256"] + (["kept_text"] if kept_text else [])
     key = F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
     base = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text")).groupBy("key").agg(F.count("*").alias("rows"), F.max("text").alias("text")).where("rows > 0")  # so that all uses below have one exchange of the texts
-    covered = repeated_windows(base.select("key", "text"), window, anchor, hot, index_words).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    joined = base.join(covered, "key", "left").select("key", "rows", "text", "spans")
+    covered = repeated_windows(base.select("key", "text"), window, anchor, hot, index_words).groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))
+    joined = base.join(covered, "key", "left").select("key", "rows", "text", "starts", "masks")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1_000_000):
             out: list[tuple] = []
-            for rows, t, spans in zip(b["rows"].to_pylist(), as_bytes(b["text"]), b["spans"].to_pylist(), strict=True):
+            for rows, t, starts, masks in zip(b["rows"].to_pylist(), as_bytes(b["text"]), b["starts"], b["masks"], strict=True):
                 words = t.split()
                 n = len(words)
                 if rows > 1 and n >= window:
                     words = []
-                elif spans:
-                    gone = _covered(n, [(s["a"], s["b"]) for s in spans])
+                elif starts.is_valid:
+                    gone = _covered(n, starts.values.to_numpy().astype(np.int64), masks.values.to_numpy(), window)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = b" ".join(words)
                 out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
