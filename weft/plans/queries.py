@@ -154,9 +154,12 @@ def merge_no_ts_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 SINCE, UNTIL = 1_704_700_000_000_000_000, 1_705_500_000_000_000_000
 
 
-@query("until_cut", f"WITH {_SHUFFLED} SELECT event_id, merge_key FROM r WHERE merge_key <= {UNTIL}")
+CUT = 1_706_650_000_000_000_000
+
+
+@query("until_cut", f"WITH {_SHUFFLED} SELECT event_id, merge_key FROM r WHERE merge_key <= {CUT}")
 def until_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_timeline(_shuffled(spark, sf_dir), MergeOptions(until=UNTIL)).select("event_id", "merge_key")
+    return build_timeline(_shuffled(spark, sf_dir), MergeOptions(until=CUT)).select("event_id", "merge_key")
 
 
 _MIDDLE = 1_700_001_800_000_000_000
