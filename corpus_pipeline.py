@@ -35,10 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of windows that start elsewhere too; texts without such words stay as they are."""
-    found = substring_dedup.remove_repeats(docs.select(*docs.columns, F.lit(0).alias("_")), kept_text=True)
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    return found.select(*[text.alias(c) if c == "text" else F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    clashes = {c: f"_{c}" for c in ("n_words", "n_removed", "kept_sha256", "kept_text") if c in docs.columns}
+    found = substring_dedup.remove_repeats(docs.withColumnsRenamed(clashes), kept_text=True)
+    columns = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[columns.get(c, F.col(clashes.get(c, c))).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

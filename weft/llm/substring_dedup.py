@@ -62,7 +62,7 @@ class BitVector:
 
 
 class FMIndex:
-    """Counts of patterns of up to `window` + 1 symbols in a text of small positive integers (0 parts its stretches)."""
+    """Counts of patterns of up to `window` + 1 symbols in a text of small positive integers; a 0 parts stretches and ends the text."""
 
     def __init__(self, text: np.ndarray, window: int = WINDOW):
         n, depth = len(text), 1
@@ -258,10 +258,14 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, index_words: int = INDEX_WORDS, kept_text: bool = False) -> DataFrame:
-    """docs with n_words, n_removed, kept_sha256 of each text, and with kept_text=True the words kept, joined by spaces."""
+    """docs with n_words, n_removed, kept_sha256 of each text.
+
+    With kept_text=True the column text gives way to kept_text: the text as it was if nothing is removed
+    (null if it was null), else the words kept, joined by spaces.
+    """
     result = ["n_words", "n_removed", "kept_sha256"] + (["kept_text"] if kept_text else [])
     key = F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
-    base = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text")).groupBy("key").agg(F.count("*").alias("rows"), F.max("text").alias("text")).where("rows > 0")  # so that all uses below have one exchange of the texts
+    base = docs.select(key.alias("key"), F.coalesce(text, F.lit("")).alias("text")).groupBy("key").agg(F.count("*").alias("rows"), F.max("text").alias("text")).where("rows > 0 AND key IS NOT NULL")  # always so; said here, all uses below have one exchange of the texts
     covered = repeated_windows(base.select("key", "text"), window, anchor, hot, index_words).groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))
     joined = base.join(covered, "key", "left").select("key", "rows", "text", "starts", "masks")
 
@@ -277,10 +281,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, an
                     gone = _covered(n, starts.values.to_numpy().astype(np.int64), masks.values.to_numpy(), window)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = b" ".join(words)
-                out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
+                out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), (kept if len(words) < n else t).decode()))
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([b["key"], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2]), *([pa.array(columns[3])] if kept_text else [])], names=["key", *result])
 
     found = joined.mapInArrow(remove, "key binary, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if kept_text else ""))
     rows = docs.drop(*result).withColumn("_key", key)
-    return rows.join(found.withColumnRenamed("key", "_key"), "_key").drop("_key")
+    if not kept_text:
+        return rows.join(found.withColumnRenamed("key", "_key"), "_key").drop("_key")
+    rows = rows.withColumn("_null", F.col(text).isNull()).drop(text)  # texts come from the classes, and aren't moved again
+    return rows.join(found.withColumnRenamed("key", "_key"), "_key").withColumn("kept_text", F.when(~F.col("_null"), F.col("kept_text"))).drop("_key", "_null")
