@@ -259,9 +259,9 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize(("percent", "block"), [(80, 512), (85, 512), (85, 5)])
-def test_near_duplicates_by_brute_force(spark, percent, block, monkeypatch):
-    monkeypatch.setattr(near_dedup.links, "__defaults__", (near_dedup.MISS, block, near_dedup.BLOCK_BYTES))
+@pytest.mark.parametrize(("percent", "block", "bucket_cost"), [(80, 512, 1.0), (85, 512, 1.0), (85, 5, 1.0), (85, 5, 0.0)])
+def test_near_duplicates_by_brute_force(spark, percent, block, bucket_cost, monkeypatch):
+    monkeypatch.setattr(near_dedup.meetings, "__defaults__", (block, near_dedup.BLOCK_BYTES, bucket_cost))
     rows = near_rows()
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=percent).collect()}
     want = brute_components(rows, percent)
@@ -413,6 +413,22 @@ def test_language_filter_has_no_false_negatives():
     assert model.predict(texts)[1].tolist()[0] == 1.0
 
 
+def test_long_texts_count_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x" * 300]) for _ in range(3000))
+    h, _, _ = lang_id.grams(pa.array([text]))
+    table = np.zeros(1 << 14, np.uint64)
+    for p in lang_id.positions(h[: len(h) // 2], 1 << 14):
+        table[p] |= np.uint64(1)
+    model = lang_id.LanguageFilter(["a"], table)
+    hits, count = model.counts(pa.array([text]))
+    monkeypatch.setattr(lang_id, "PIECE", 5000)
+    part_hits, part_count = model.counts(pa.array([text]))
+    assert abs(int(part_count[0]) - int(count[0])) <= 0.01 * count[0] and abs(int(part_hits[0, 0]) - int(hits[0, 0])) <= 0.01 * hits[0, 0]
+
+
 def test_language_odd(odd_docs, no_docs):
     model = lang_id.learn(odd_docs.where("lang IS NOT NULL"))
     got = lang_id.predict(odd_docs, model).collect()

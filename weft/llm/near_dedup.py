@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from weft.llm.common import LOWER, U64, WordHashes, as_bytes, cut, key_runs, slices, window_hashes
 
@@ -40,6 +40,8 @@ BATCH = 32
 MISS = 1e-6
 BLOCK = 512
 BLOCK_BYTES = 8_000_000
+#: Bytes that a shingle counts for.
+BYTES = 8
 
 
 class Shingler:
@@ -198,15 +200,39 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     return components(keys.join(buckets, "key").select(F.col("doc_id").alias("a"), "b"))
 
 
-def links(docs: DataFrame, groups: DataFrame, doc_id: str, text: str, percent: int, miss: float = MISS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Edges (a, b) that span the connected parts of each group's links."""
-    rows = groups.join(docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("_text")), "node").select("component", "node", "_text")
-    size = groups.join(docs.select(F.col(doc_id).cast("long").alias("node"), F.octet_length(text).alias("_n")), "node").groupBy("component").agg(F.count("*").alias("_rows"), F.sum("_n").alias("_bytes"))
-    size = size.select("component", F.greatest(F.ceil(F.col("_rows") / block), F.ceil(F.coalesce("_bytes", F.lit(0)) / block_bytes), F.lit(1)).cast("int").alias("_blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-    dealt = rows.join(size, "component").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("component", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"), "node", "_own", "_text")
-    keys = ["component", "_x", "_y"]
+def meetings(groups: DataFrame, classes: DataFrame, lengths: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, bucket_cost: float = 1.0) -> DataFrame:
+    """node, at, _own, _x, _y: the tasks (at, _x, _y) in which a node meets all candidates, and its block in them.
+
+    groups: node, component. classes: doc_id, bands. lengths: node, n_bytes. A group of one block meets
+    in one task. A larger one meets either in all pairs of its blocks, or bucket by bucket of the bands
+    (each in pairs of its own blocks), whichever moves fewer rows: a chain of loosely related documents
+    falls into small buckets, true copies share them all.
+    """
+
+    def blocks(n: str, size: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(size) / block_bytes), F.lit(1)).cast("int")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+        both = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        return both.select("node", "at", "_own", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"))
+
+    nodes = groups.join(lengths, "node")
+    size = nodes.groupBy("component").agg(F.count("*").alias("_rows"), F.sum("n_bytes").alias("_bytes")).withColumn("_blocks", blocks("_rows", "_bytes"))
+    large = nodes.join(size.where("_blocks > 1").select("component"), "component")
+    keys = classes.join(large, F.col("doc_id") == F.col("node")).select("node", "component", "n_bytes", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("component", "key").agg(F.count("*").alias("_rows"), F.sum("n_bytes").alias("_bytes")).where("_rows > 1").withColumn("_blocks", blocks("_rows", "_bytes"))
+    moved = buckets.groupBy("component").agg(F.sum(F.col("_rows") * F.col("_blocks")).alias("_moved"))
+    chosen = size.join(moved, "component", "left").select("component", "_blocks", F.coalesce(F.col("_moved") * bucket_cost < F.col("_rows") * F.col("_blocks"), F.lit(False)).alias("_by_bucket"))
+    whole = groups.join(chosen.where("NOT _by_bucket"), "component").select("node", F.concat(F.lit("g"), F.col("component").cast("string")).alias("at"), "_blocks")
+    parted = keys.join(chosen.where("_by_bucket").select("component"), "component").join(buckets.select("component", "key", "_blocks"), ["component", "key"])
+    return dealt(whole).unionByName(dealt(parted.select("node", F.concat(F.lit("b"), F.col("key").cast("string")).alias("at"), "_blocks")))
+
+
+def links(docs: DataFrame, met: DataFrame, doc_id: str, text: str, percent: int, miss: float = MISS) -> DataFrame:
+    """Edges (a, b) that span the connected parts of each task's links."""
+    dealt = met.join(docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("_text")), "node").select("at", "_x", "_y", "node", "_own", "_text")
+    keys = ["at", "_x", "_y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -236,7 +262,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # rows of one doc_id are one document, so their classes are one component
     same = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key").join(classes.select("set_key", F.col("doc_id").alias("b")), "set_key")
     repeated = same.groupBy("doc_id").agg(F.min("b").alias("b"), F.max("b").alias("most")).where("b <> most").select(F.explode(F.array("doc_id", "most")).alias("a"), "b")
-    found = components(links(docs, groups, doc_id, text, percent).unionByName(repeated))
+    lengths = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("n_shingles") * BYTES).alias("n_bytes")).withColumnRenamed("doc_id", "node")
+    met = meetings(groups, classes.select("doc_id", "bands"), lengths)
+    found = components(links(docs, met, doc_id, text, percent).unionByName(repeated))
     of_class = classes.select("set_key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
     full = rows.where("set_key IS NOT NULL").select("doc_id", "n_shingles", "set_key").join(of_class, "set_key").select("doc_id", "n_shingles", "component_id")
     empty = rows.where("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
