@@ -10,27 +10,17 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where checkpoints go if the cluster names no shared folder (tests on one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/weft"
+from weft.operators.storage import shared_dir
+from weft.operators.storage import stored as cut
+
+__all__ = ["LOWER", "U64", "WordHashes", "as_bytes", "cut", "key_runs", "mix", "shared_dir", "slices", "table", "union_find", "window_hashes"]
+
 #: Maps A-Z to a-z and leaves every other byte.
 LOWER = bytes(range(256)).lower()
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder, without its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,7 +79,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, with a bounded memory of those seen."""
 
-    limit = 500_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)

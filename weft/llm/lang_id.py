@@ -17,6 +17,7 @@ replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ NGRAM = 5
 SAMPLE = 400
 LEAST = 3
 UNDETERMINED = "und"
+#: Characters of a long text that are counted at a time.
+PIECE = 2_000_000
 
 
 def grams(texts: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,19 +70,33 @@ class LanguageFilter:
         filled = np.array([np.count_nonzero(table & U64(1 << i)) for i in range(len(languages))]) / len(table)
         self.false = filled**hashes
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """Language and score (0 to 1) of each text."""
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, the n-grams that each language may hold, and all. A very long text goes in pieces, whose counts add up."""
+        if len(texts) != 1 or len(texts[0].as_py() or "") <= PIECE:
+            return self._counts(texts)
+        text, at, hits, count = texts[0].as_py(), 0, 0, 0
+        while at < len(text):
+            space = re.compile(r"\s").search(text, at + PIECE, at + 2 * PIECE)
+            end = space.end() if space else at + PIECE
+            found = self._counts(pa.array([text[at:end]]))
+            hits, count, at = hits + found[0], count + found[1], end
+        return hits, count
+
+    def _counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         h, first, count = grams(texts, self.n)
         masks = np.full(len(h), ~U64(0), U64)
         for p in positions(h, len(self.table), self.hashes):
             masks &= self.table[p]
-        before = lambda x: np.concatenate([[0], np.cumsum(x)])
-        share = np.zeros((len(texts), len(self.languages)))
+        hits = np.zeros((len(texts), len(self.languages)), np.int64)
         for i in range(len(self.languages)):
-            total = before((masks >> U64(i)) & U64(1))
-            hits = total[np.minimum(first + count, len(h))] - total[np.minimum(first, len(h))]
-            share[:, i] = (hits / np.maximum(count, 1) - self.false[i]) / (1 - min(self.false[i], 0.999))
-        share = np.clip(share, 0, 1)
+            total = np.concatenate([[0], np.cumsum((masks >> U64(i)) & U64(1))])
+            hits[:, i] = total[np.minimum(first + count, len(h))] - total[np.minimum(first, len(h))]
+        return hits, count
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score (0 to 1) of each text."""
+        hits, count = self.counts(texts)
+        share = np.clip((hits / np.maximum(count, 1)[:, None] - self.false) / (1 - np.minimum(self.false, 0.999)), 0, 1)
         letter = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))

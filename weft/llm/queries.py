@@ -43,7 +43,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     remainder = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4
     model = lang_id.learn(docs.where(remainder != 2))
-    return lang_id.predict(docs.select("doc_id", "text", (remainder == 2).alias("held_out")), model).drop("text")
+    return lang_id.predict(docs.select("doc_id", "text", F.coalesce(remainder == 2, F.lit(False)).alias("held_out")), model).drop("text")
 
 
 def op9_vantage_point_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
