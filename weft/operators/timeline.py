@@ -54,22 +54,16 @@ def order_columns(tie: str = "file_idx") -> list[Column]:
 def with_position(df: DataFrame, order: list[str], name: str = "out_pos", partitions: int | None = None) -> DataFrame:
     """df with 0-based positions in the order of the columns, without one task for all rows.
 
-    Rows are sorted by ranges; a row's position is its place in its range after the rows of all
-    ranges before, whose counts are one row for each range. Ranges are ranges of the first column's
-    buckets, written as a column, so that counting and placing agree whatever the sort samples.
+    Rows are sorted by ranges of all order columns, so that many rows of one key are many ranges too, and
+    stored with their places in their ranges; the rows before a range are counted by range.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.col(order[0])
-    cuts = df.select(F.percentile_approx(first, [i / n for i in range(1, n)] if n > 1 else [0.5], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.lit(0)
-    for i in range(0, len(cuts)):
-        bucket = bucket + F.when(first > cuts[i], 1).otherwise(0)
-    marked = df.withColumn("_bucket", bucket)
-    counts = marked.groupBy("_bucket").count()
-    before = counts.select("_bucket", F.coalesce(F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return marked.withColumn("_place", place).join(F.broadcast(before), "_bucket").withColumn(name, (F.col("_before") + F.col("_place") - 1).cast("bigint")).drop("_bucket", "_place", "_before")
+    ranged = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = ranged.groupBy(part.alias("_part")).count()
+    before = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = ranged.withColumn("_part", part).join(before, "_part")
+    return placed.select(*df.columns, (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).cast("bigint").alias(name))
 
 
 def with_blocks(df: DataFrame, column: str = "alias", position: str = "out_pos", chunk: int = CHUNK) -> DataFrame:
@@ -78,7 +72,7 @@ def with_blocks(df: DataFrame, column: str = "alias", position: str = "out_pos",
     Rows are compared within chunks of positions; a chunk's first row is compared with the last value of
     the chunk before, and the runs before a chunk are counted by chunk.
     """
-    rows = stored(df).withColumn("_chunk", F.floor(F.col(position) / chunk))
+    rows = df.withColumn("_chunk", F.floor(F.col(position) / chunk))
     inner = Window.partitionBy("_chunk").orderBy(position)
     last = rows.groupBy("_chunk").agg(F.max_by(column, position).alias("_last")).withColumn("_chunk", F.col("_chunk") + 1)
     previous = F.when(F.col(position) % chunk == 0, F.col("_last")).otherwise(F.col("_lag"))

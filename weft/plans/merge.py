@@ -67,7 +67,7 @@ class Merge:
 
     def timeline(self) -> DataFrame:
         """All columns of the merged lines: parsed values, block_ts, merge_key, alias, out_pos."""
-        alias = F.broadcast(self.files.select("file_idx", "source_path", "alias"))
+        alias = self.files.select("file_idx", "source_path", "alias")
         return positioned(build_timeline(self.parsed(), self.options).join(alias, "file_idx"), self.options.order)
 
     def _blocks(self) -> DataFrame:

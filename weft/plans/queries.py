@@ -410,7 +410,7 @@ _NATIONS = "n AS (SELECT n_regionkey AS r, n_nationkey AS k, '2024-01-' || lpad(
 @query("archive_scan", f"WITH {_NATIONS} SELECT alias, line_no, line, CAST(k + 19723 AS BIGINT) * 86400 * 1000000000 AS ts_ns FROM f")
 def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Merge(spark, [_archives(spark, sf_dir)], exclude=["*.tmp"])
-    return m.parsed().join(F.broadcast(m.files.select("file_idx", "alias")), "file_idx").select("alias", "line_no", "line", "ts_ns")
+    return m.parsed().join(m.files.select("file_idx", "alias"), "file_idx").select("alias", "line_no", "line", "ts_ns")
 
 
 @query("file_listing", "SELECT unnest(['r0.log.gz', 'r1.log.bz2', 'r2.log.xz', 'r5.log']) AS alias, unnest(['gz', 'bz2', 'xz', 'plain']) AS kind")

@@ -42,8 +42,8 @@ def text_lines(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
     marked = scan.withColumn("_part", F.shiftright("_id", 33)).withColumn("_path", F.expr("url_decode(replace(_path, '+', '%2B'))"))
     splits = marked.groupBy("_path", "_block", "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_path").orderBy("_block", "_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = marked.join(F.broadcast(splits.withColumn("_before", before).drop("_n")), ["_path", "_block", "_part"])
-    return numbered.join(F.broadcast(rows), "_path").select("file_idx", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "line", F.lit("\n").alias("eol"))
+    numbered = marked.join(splits.withColumn("_before", before).drop("_n"), ["_path", "_block", "_part"])
+    return numbered.join(rows, "_path").select("file_idx", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"), "line", F.lit("\n").alias("eol"))
 
 
 def split_lines(file: IO[bytes], piece: int = 1 << 20) -> Iterator[tuple[bytes, str]]:
