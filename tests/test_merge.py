@@ -53,6 +53,9 @@ def test_golden_metrics(spark):
     assert h["LineLengths"] == {16: 1, 26: 1, 50: 2, 60: 2, 70: 12, 80: 4, 90: 6}
     assert sum(h["SuccessiveLineCounts"].values()) == 22 and max(h["SuccessiveLineCounts"]) == 5
     assert sum(h["BlockLineCounts"].values()) == 11 and max(h["BlockLineCounts"]) == 6
+    assert h["SkippedLineCounts"] == {0: 11}
+    i = m.input_counters().first()
+    assert (i["bytes_input"], i["lines_read"], i["lines_skipped"], i["lines_not_read"]) == (1902, 28, 0, 0)
     text = list(m.lines())
     assert "\n".join(text).count("--- file") == 11 and text[0] == "\n--- file1.log ---"
 
@@ -189,6 +192,24 @@ def test_sources(spark, tree):
     assert all(s.kind == "plain" for s in Merge(spark, [tree], ignore_archives=True).listing.sources)
 
 
+def test_endings_are_kept(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"2024-01-01 00:00:00 a\r\n2024-01-01 00:00:01 b\r2024-01-01 00:00:02 c")
+    m = Merge(spark, [str(tmp_path)], MergeOptions(byte_fidelity=True))
+    assert [x.removeprefix("2024-01-01 00:00:0") for x in m.lines()] == ["0 a\r", "1 b\r", "2 c"]
+    c = m.counters().first()
+    assert (c["bytes_read"], c["bytes_raw"], c["bytes_missing_newlines"], c["bytes_output"]) == (66, 66, 2, 68)
+
+
+def test_skipped_counts(spark, tmp_path):
+    for f in "ab":
+        (tmp_path / f"{f}.log").write_text("".join(f"2024-01-01 00:00:{2 * i + (f == 'b'):02d} {f}{i}\n" for i in range(6)))
+    m = Merge(spark, [str(tmp_path)], MergeOptions(since=1_704_067_204_000_000_000, until=1_704_067_208_000_000_000))
+    i = m.input_counters().first()
+    assert (i["lines_read"], i["lines_skipped"], i["lines_not_read"], i["lines_processed"]) == (9, 4, 3, 5)
+    h = {r["le"]: r["n"] for r in m.histograms().where("name = 'SkippedLineCounts'").collect()}
+    assert h == {2: 2, 0: 3}
+
+
 def test_lines_of_split_files_keep_their_order(spark, tmp_path):
     (tmp_path / "big.log").write_text("".join(f"line {i} {'x' * (i % 50)}\n" for i in range(20_000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")

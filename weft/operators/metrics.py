@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.operators.render import RenderOptions, header, prefix
 
+if TYPE_CHECKING:
+    from weft.plans.merge import MergeOptions
+
 # The histograms' upper bounds.
 LINE_LENGTHS = (*range(31), *range(40, 101, 10), *range(150, 501, 50), *range(600, 1001, 100), *range(2000, 10_001, 1000), *range(20_000, 100_001, 10_000))
 LINE_COUNTS = (*range(21), *range(25, 51, 5), *range(60, 101, 10))
@@ -59,18 +64,52 @@ def counters(rendered: DataFrame, options: RenderOptions, width: int = 0) -> Dat
         "lines_with_timestamp": F.count("ts_ns"),
         "lines_without_timestamp": F.count_if(F.col("ts_ns").isNull()),
         "bytes_read": F.sum(F.octet_length("line") + F.octet_length("eol")),
-        "bytes_raw": F.sum(F.octet_length("body") + 1),
+        "bytes_raw": F.sum(F.octet_length("body") + F.octet_length("eol")),
         "bytes_timestamps": of(write_timestamp=True) if options.write_timestamp else of(),
         "bytes_levels": of(write_level=True) if options.write_level else of(),
         "bytes_line_alias": of(write_line_alias=True) if options.write_line_alias else of(),
         "bytes_block_alias": blocks,
-        "bytes_missing_newlines": F.count_if(F.col("eol") == ""),
+        "bytes_missing_newlines": F.count_if(~F.col("eol").endswith("\n")),
     }
     out = rendered.agg(*[F.coalesce(v, F.lit(0)).cast("bigint").alias(k) for k, v in parts.items()])
-    total = F.col("bytes_raw") + F.col("bytes_timestamps") + F.col("bytes_levels") + F.col("bytes_line_alias") + F.col("bytes_block_alias")
+    total = F.col("bytes_raw") + F.col("bytes_timestamps") + F.col("bytes_levels") + F.col("bytes_line_alias") + F.col("bytes_block_alias") + F.col("bytes_missing_newlines")
     return out.withColumn("bytes_output", total).withColumn("bytes_overhead", F.col("bytes_output") - F.col("bytes_raw"))
 
 
+def input_counters(unbounded: DataFrame, options: MergeOptions) -> DataFrame:
+    """One row of what was read of all lines of a timeline without bounds: lines and bytes read, read and skipped, not read.
+
+    A file is not read on from its first line beyond `until`; what `since` leaves out was read and skipped.
+    """
+    size = F.octet_length("line") + F.octet_length("eol")
+    beyond, skipped = _left_out(options)
+    parts = {}
+    for name, on in (("read", ~beyond), ("skipped", ~beyond & skipped), ("not_read", beyond)):
+        parts[f"lines_{name}"], parts[f"bytes_{name}"] = F.count_if(on), F.sum(F.when(on, size))
+    parts["lines_processed"] = F.count_if(~beyond & ~skipped)
+    parts["bytes_input"] = F.sum(size)
+    return unbounded.agg(*[F.coalesce(v, F.lit(0)).cast("bigint").alias(k) for k, v in parts.items()])
+
+
+def _left_out(options: MergeOptions) -> tuple[Column, Column]:
+    beyond = F.lit(False) if options.until is None else F.col("merge_key") > options.until
+    if options.since is None:
+        return beyond, F.lit(False)
+    if options.drop_orphans:
+        return beyond, F.coalesce(F.col("block_ts") < options.since, F.lit(True))
+    return beyond, F.coalesce(F.col("ts_ns") < options.since, F.lit(False))
+
+
+def skipped_sizes(unbounded: DataFrame, blocks: DataFrame, options: MergeOptions) -> DataFrame:
+    """n, the lines skipped before each block of output: all that a file skips before its first, none before its others."""
+    beyond, skipped = _left_out(options)
+    of_file = unbounded.groupBy("file_idx").agg(F.count_if(~beyond & skipped).alias("n"), F.count_if(~beyond & ~skipped).alias("_kept"))
+    first = of_file.where("n > 0 OR _kept > 0").select("n")
+    each = blocks.groupBy("file_idx").agg(F.countDistinct("block_id").alias("_blocks"))
+    rest = each.where("_blocks > 1").select(F.explode(F.sequence(F.lit(2), F.col("_blocks").cast("int"))).alias("_")).select(F.lit(0).cast("bigint").alias("n"))
+    return first.unionByName(rest)
+
+
 def as_rows(one: DataFrame) -> DataFrame:
     """A row of counters as name, value rows."""
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in one.columns])

@@ -78,8 +78,12 @@ def header(alias: Column) -> Column:
 
 
 def render(df: DataFrame, options: RenderOptions, width: int = 0) -> DataFrame:
-    """out_pos, part (0: header, 1: line) and text of all rows of output; headers need with_blocks()."""
-    text = F.concat(prefix(options, width), F.col("body"))
+    """out_pos, part (0: header, 1: line) and text of all rows of output; headers need with_blocks().
+
+    A line that ended in a carriage return (with byte fidelity) keeps it; the sink adds the newline.
+    """
+    ending = F.when(F.col("eol").startswith("\r"), "\r").otherwise("") if "eol" in df.columns else F.lit("")
+    text = F.concat(prefix(options, width), F.col("body"), ending)
     lines = with_body(df, options)
     if not options.write_block_alias:
         return lines.select("out_pos", F.lit(1).alias("part"), text.alias("text"))

@@ -89,9 +89,13 @@ class Merge:
     def counters(self) -> DataFrame:
         return metrics.counters(with_body(self._blocks(), self.options.render), self.options.render, alias_width(self.files))
 
+    def input_counters(self) -> DataFrame:
+        return metrics.input_counters(timeline.with_running(self.parsed()), self.options)
+
     def histograms(self) -> DataFrame:
-        """LineLengths, SuccessiveLineCounts and BlockLineCounts."""
+        """LineLengths, SuccessiveLineCounts, BlockLineCounts and SkippedLineCounts."""
         line = with_body(timeline.with_blocks(self.timeline(), "file_idx"), self.options.render)
         lengths = metrics.histogram(line.withColumn("n", F.octet_length("body")), "n", metrics.LINE_LENGTHS, "LineLengths")
         events = metrics.histogram(metrics.event_sizes(line), "n", metrics.LINE_COUNTS, "SuccessiveLineCounts")
-        return lengths.unionByName(events).unionByName(metrics.histogram(metrics.block_sizes(line), "n", metrics.LINE_COUNTS, "BlockLineCounts"))
+        skipped = metrics.histogram(metrics.skipped_sizes(timeline.with_running(self.parsed()), line, self.options), "n", metrics.LINE_COUNTS, "SkippedLineCounts")
+        return lengths.unionByName(events).unionByName(metrics.histogram(metrics.block_sizes(line), "n", metrics.LINE_COUNTS, "BlockLineCounts")).unionByName(skipped)

@@ -351,6 +351,14 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.counters(with_body(_blocked(spark, sf_dir), _COUNTED), _COUNTED, _WIDTH)
 
 
+_BOUNDS = MergeOptions(since=SINCE, until=CUT)
+
+
+@query("input_counters", f"WITH {_SHUFFLED}, i AS (SELECT merge_key > {CUT} AS beyond, ns < {SINCE} AS early, strlen(line) + 1 AS b FROM r) SELECT count(*) FILTER (NOT beyond) AS lines_read, CAST(coalesce(sum(b) FILTER (NOT beyond), 0) AS BIGINT) AS bytes_read, count(*) FILTER (NOT beyond AND early) AS lines_skipped, CAST(coalesce(sum(b) FILTER (NOT beyond AND early), 0) AS BIGINT) AS bytes_skipped, count(*) FILTER (beyond) AS lines_not_read, CAST(coalesce(sum(b) FILTER (beyond), 0) AS BIGINT) AS bytes_not_read, count(*) FILTER (NOT beyond AND NOT early) AS lines_processed, CAST(sum(b) AS BIGINT) AS bytes_input FROM i")
+def input_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.input_counters(timeline.with_running(_shuffled(spark, sf_dir)), _BOUNDS)
+
+
 # Catalogues
 
 _P = "p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/(.*)$', 1) AS path FROM pages)"
