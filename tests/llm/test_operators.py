@@ -315,6 +315,13 @@ def test_tree_concatenation():
         assert codec.encode_tree(text, rng.choice([3, 8, 16, 64])) == codec.slow.encode(text, add_special_tokens=False).ids
 
 
+def test_tree_concatenation_of_mixed_texts():
+    codec, rng = bpe.Codec.of(), random.Random(14)
+    for _ in range(600):
+        text = "".join(rng.choice(["\n", "\n\n", "  ", " ", "\t", "abc" * rng.randrange(1, 40), "12" * rng.randrange(1, 20), "!?" * rng.randrange(1, 20), "it's", "é" * 30, "\xa0\xa0", " \n" * 20]) for _ in range(rng.randrange(1, 14)))
+        assert codec.encode_tree(text, rng.choice([4, 16, 40])) == codec.slow.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("leaf", [64, 65_536])
 def test_encode_texts(spark, odd_docs, no_docs, leaf):
     assert bpe.encode_texts(no_docs, leaf=leaf).count() == 0

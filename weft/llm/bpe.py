@@ -109,7 +109,7 @@ class Codec:
         """(unsplit, bytes): in order, stretches that encode on their own and, numbered from 1, the leaves of long pre-tokens."""
         import regex
 
-        number, start = 0, 0
+        number = 0
         for i, between in enumerate(re.split(f"({re.escape(END_OF_TEXT)})", text)):
             if i % 2:
                 yield 0, between.encode()
@@ -120,8 +120,14 @@ class Codec:
                 word = m.group()
                 data = word.encode() if len(word) * 4 > leaf else b""
                 if len(data) > leaf:
-                    if kept:
-                        yield 0, "".join(kept).encode()
+                    blanks = 0
+                    while blanks < len(kept) and kept[-1 - blanks].isspace():
+                        blanks += 1
+                    if len(kept) > blanks:
+                        yield 0, "".join(kept[: len(kept) - blanks]).encode()
+                    for blank in kept[len(kept) - blanks :]:  # the pattern looks beyond white space only: each of these stands alone
+                        number += 1
+                        yield number, blank.encode()
                     kept, size, number = [], 0, number + 1
                     pieces = 1 << (-(-len(data) // leaf) - 1).bit_length()
                     at = [len(data) * k // pieces for k in range(pieces + 1)]
