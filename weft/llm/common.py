@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.operators.storage import shared_dir
 from weft.operators.storage import stored as cut
 
-__all__ = ["LOWER", "U64", "WordHashes", "as_bytes", "cut", "key_runs", "mix", "shared_dir", "slices", "table", "union_find", "window_hashes"]
+__all__ = ["LOWER", "U64", "WordHashes", "as_bytes", "cut", "key_runs", "mix", "redealt", "shared_dir", "slices", "table", "union_find", "window_hashes"]
 
 #: Maps A-Z to a-z and leaves every other byte.
 LOWER = bytes(range(256)).lower()
@@ -21,6 +21,15 @@ U64 = np.uint64
 _MASK = (1 << 64) - 1
 
 
+def redealt(df: DataFrame) -> DataFrame:
+    """df without its partitioning, for a join on a key that may hold many rows of the other side.
+
+    A side that comes straight from an aggregation on the key keeps the join from being split; dealt
+    anew, both sides are exchanges that adaptive execution can split.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

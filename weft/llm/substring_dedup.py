@@ -30,7 +30,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import DataFrame
 
-from weft.llm.common import U64, WordHashes, as_bytes, key_runs, slices, window_hashes
+from weft.llm.common import U64, WordHashes, as_bytes, key_runs, redealt, slices, window_hashes
 
 #: The production parameters: words of a window and of an anchor, occurrences of a hot anchor, words of an index.
 WINDOW = 35
@@ -206,7 +206,7 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
     found = base.mapInArrow(find, "key binary, h long, at long")
     often = found.groupBy("h").agg(F.sum(F.lit(1) + F.col("at") % 2).alias("n")).where("n >= 2").select("h", (F.col("n") > hot).alias("hot"))
-    own = found.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("h", "at", "hot")).alias("places"))
+    own = found.join(redealt(often), "h").groupBy("key").agg(F.collect_list(F.struct("h", "at", "hot")).alias("places"))
     rows = base.join(own, "key").select("key", "text", "places")
 
     def cut_out(batches: Iterator[pa.RecordBatch], of_hot: bool) -> Iterator[pa.RecordBatch]:
@@ -253,8 +253,8 @@ def repeated_windows(base: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     distinct = single.groupBy("segment").agg(F.count("*").alias("n"), F.first("data").alias("data"))
     windows = distinct.mapInArrow(each_window, "segment binary, n long, at int, digest binary")
     twice = windows.groupBy("digest").agg(F.sum("n").alias("n")).where("n >= 2").select("digest")
-    masks = windows.join(twice, "digest").groupBy("segment").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
-    return indexed.unionByName(single.select("segment", "key", "start").join(masks, "segment").select("key", "start", "mask"))
+    masks = windows.join(redealt(twice), "digest").groupBy("segment").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    return indexed.unionByName(single.select("segment", "key", "start").join(redealt(masks), "segment").select("key", "start", "mask"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, index_words: int = INDEX_WORDS, kept_text: bool = False) -> DataFrame:
