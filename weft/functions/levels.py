@@ -11,6 +11,7 @@ LABELS = ("      ", "TRACE ", "DEBUG ", "INFO  ", "NOTE  ", "WARN  ", "ERROR ",
 WORDS = {"info": 3, "warn": 5, "warning": 5, "error": 6, "debug": 2, "trace": 1, "fatal": 7, "notice": 4, "severe": 6, "critical": 7}
 LETTERS = {"I": 3, "W": 5, "E": 6, "F": 7, "D": 2}
 SEARCH = 40
+_AROUND = " \t|:[]()"
 _WORD = r"^([ \t|:\[\]()]*)([A-Za-z]{2,9})(?![A-Za-z0-9_])[\]) |:]?"
 
 
@@ -29,13 +30,13 @@ def with_levels(df: DataFrame, line: str = "line") -> DataFrame:
     end = F.coalesce("ts_end", F.lit(0))
     before = F.substring(F.col(line), F.greatest(F.col("ts_start") - 1, F.lit(1)), F.least(F.col("ts_start"), F.lit(2)))
     letter = F.coalesce(F.regexp_extract(before, r"^[ \n]?([IWEFD])$", 1), F.lit(""))
-    found = F.regexp_extract(F.split(F.substring(F.col(line), end + 1, F.lit(SEARCH)), r"[\r\n]", 2)[0], _WORD, 0)
+    found = F.regexp_extract(F.substring(F.col(line), end + 1, F.lit(SEARCH)), _WORD, 0)  # none of its characters ends a line
     df = df.select(*own, letter.alias("_letter"), found.alias("_found"))
-    word = F.regexp_extract("_found", r"[A-Za-z]+", 0)
-    by_letter, by_word = _pick(LETTERS, F.col("_letter")), _pick(WORDS, F.lower(word))
-    level = F.when(F.col("_letter") != "", by_letter).otherwise(by_word)
-    start = F.when(F.col("_letter") != "", F.col("ts_start") - 1).when(by_word > 0, end + F.length(F.regexp_extract("_found", r"^[^A-Za-z]*", 0)))
-    stop = F.when(F.col("_letter") != "", F.col("ts_start")).when(by_word > 0, end + F.length("_found"))
+    df = df.select(*own, "_letter", "_found", _pick(WORDS, F.lower(F.btrim("_found", F.lit(_AROUND)))).alias("_word"))
+    by_letter, some = F.col("_letter") != "", F.col("_word") > 0
+    level = F.when(by_letter, _pick(LETTERS, F.col("_letter"))).otherwise(F.col("_word"))
+    start = F.when(by_letter, F.col("ts_start") - 1).when(some, end + F.length("_found") - F.length(F.ltrim("_found", F.lit(_AROUND))))
+    stop = F.when(by_letter, F.col("ts_start")).when(some, end + F.length("_found"))
     return df.select(*own, level.alias("level"), start.cast("int").alias("level_start"), stop.cast("int").alias("level_end"))
 
 

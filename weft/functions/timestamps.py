@@ -39,15 +39,15 @@ class TimestampOptions:
     ignore_timezone: bool = False
 
 
-def _long(c: Column) -> Column:
-    """The number of a group; 0 if it is empty."""
-    return F.coalesce(c.try_cast("bigint"), F.lit(0).cast("bigint"))
+def _two(c: Column) -> Column:
+    """The number of a group of up to two digits; 0 if it is empty (a failing cast would cost an exception for each row)."""
+    return F.lpad(c, 2, "0").cast("bigint")
 
 
 def _fields(head: Column, pattern: str, n: int) -> Column:
     """token, group 1 .. group n of the pattern at the end of head."""
     groups = "|".join(f"${i}" for i in range(1, n + 2))
-    return F.split(F.regexp_replace(head, rf"^[\s\S]*?({pattern})$", groups), r"\|", -1)
+    return F.split(F.regexp_replace(head, rf"(?s)^.*?({pattern})$", groups), r"\|", -1)
 
 
 def epoch_seconds(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
@@ -60,21 +60,22 @@ def with_timestamps(df: DataFrame, line: str = "line", options: TimestampOptions
     """df with ts_ns, ts_start, ts_end (NULL without a timestamp) and zoned (whether a zone or a ctime form ended it)."""
     o = options or TimestampOptions()
     part = F.substring(F.col(line), 1, o.search_limit)
-    long_enough = rf"(?=[\s\S]{{{o.shortest}}})"
+    # cheap tests of the next characters come first: most places of a line fail them
+    long_enough = rf"(?=.{{{o.shortest}}})"
     own = [c for c in df.columns if c not in ("ts_ns", "ts_start", "ts_end", "zoned")]
-    df = df.select(*own, F.regexp_extract(part, rf"^[\s\S]*?{long_enough}{NUMERIC}", 0).alias("_head"))
-    df = df.select(*own, "_head", F.when(F.col("_head") == "", F.regexp_extract(part, rf"^[\s\S]*?{long_enough}{CTIME}", 0)).otherwise("").alias("_ctime"))
+    df = df.select(*own, F.regexp_extract(part, rf"(?s)^.*?(?<!\d)(?=\d){long_enough}{NUMERIC}", 0).alias("_head"))
+    df = df.select(*own, "_head", F.when(F.col("_head") == "", F.regexp_extract(part, rf"(?s)^.*?(?=[A-Z][a-z][a-z] ){long_enough}{CTIME}", 0)).otherwise("").alias("_ctime"))
     df = df.select(*own, "_head", "_ctime", F.when(F.col("_head") != "", _fields(F.col("_head"), NUMERIC, 12)).when(F.col("_ctime") != "", _fields(F.col("_ctime"), CTIME, 6)).alias("_f"))
     f = F.col("_f")
-    df = df.select(*own, "_head", "_ctime", "_f", _long(f[1]).alias("_year"))
+    df = df.select(*own, "_head", "_ctime", "_f", F.when(F.col("_head") != "", f[1].cast("bigint")).alias("_year"))
     numeric = F.col("_head") != ""
     year = F.col("_year") + F.when(F.length(f[1]) == 4, 0).when(F.col("_year") < 69, 2000).otherwise(1900)
-    fraction = _long(F.rpad(F.concat(f[7], f[8]), 9, "0"))
-    offset = (_long(f[11]) * 3600 + _long(f[12]) * 60) * F.when(f[10] == "-", -1).otherwise(1)
-    local = epoch_seconds(year, _long(f[2]), _long(f[3]), _long(f[4]), _long(f[5]), _long(f[6]))
+    fraction = F.rpad(F.concat(f[7], f[8]), 9, "0").cast("bigint")
+    offset = (_two(f[11]) * 3600 + _two(f[12]) * 60) * F.when(f[10] == "-", -1).otherwise(1)
+    local = epoch_seconds(year, _two(f[2]), _two(f[3]), _two(f[4]), _two(f[5]), _two(f[6]))
     utc = local if o.ignore_timezone else local - offset
     month = F.floor((F.instr(F.lit("".join(MONTHS)), f[1]) + 2) / 3)
-    named = epoch_seconds(_long(f[6]), month, _long(f[2]), _long(f[3]), _long(f[4]), _long(f[5]))
+    named = epoch_seconds(f[6].cast("bigint"), month, _two(f[2]), _two(f[3]), _two(f[4]), _two(f[5]))
     at = F.when(numeric, utc * NANOS + fraction).when(f.isNotNull(), named * NANOS).cast("bigint")
     end = F.when(f.isNotNull(), F.length(F.concat("_head", "_ctime")))
     zoned = F.when(numeric, (f[9] != "") | (f[10] != "")).when(f.isNotNull(), True)
