@@ -30,7 +30,7 @@ import pyspark.sql.functions as F
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from weft.llm.common import LOWER, U64, WordHashes, as_bytes, cut, key_runs, slices, window_hashes
+from weft.llm.common import LOWER, U64, WordHashes, as_bytes, cut, key_runs, redealt, slices, window_hashes
 
 #: The production parameters: words of a shingle, percent of similarity, bands, rows of a band, hashes of a batch, miss probability, documents and bytes of a block.
 WORDS = 5
@@ -197,7 +197,7 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     """node, component of all classes (doc_id, bands) that share a band with another."""
     keys = classes.select(F.col("doc_id"), F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b <> most")
-    return components(keys.join(buckets, "key").select(F.col("doc_id").alias("a"), "b"))
+    return components(keys.join(redealt(buckets), "key").select(F.col("doc_id").alias("a"), "b"))
 
 
 def meetings(groups: DataFrame, classes: DataFrame, lengths: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, bucket_cost: float = 1.0) -> DataFrame:
@@ -260,12 +260,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     groups = candidate_groups(classes.where("doc_id IS NOT NULL").select("doc_id", "bands"))
     # rows of one doc_id are one document, so their classes are one component
-    same = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key").join(classes.select("set_key", F.col("doc_id").alias("b")), "set_key")
+    same = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key").join(redealt(classes.select("set_key", F.col("doc_id").alias("b"))), "set_key")
     repeated = same.groupBy("doc_id").agg(F.min("b").alias("b"), F.max("b").alias("most")).where("b <> most").select(F.explode(F.array("doc_id", "most")).alias("a"), "b")
     lengths = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("n_shingles") * BYTES).alias("n_bytes")).withColumnRenamed("doc_id", "node")
     met = meetings(groups, classes.select("doc_id", "bands"), lengths)
     found = components(links(docs, met, doc_id, text, percent).unionByName(repeated))
     of_class = classes.select("set_key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
-    full = rows.where("set_key IS NOT NULL").select("doc_id", "n_shingles", "set_key").join(of_class, "set_key").select("doc_id", "n_shingles", "component_id")
+    full = rows.where("set_key IS NOT NULL").select("doc_id", "n_shingles", "set_key").join(redealt(of_class), "set_key").select("doc_id", "n_shingles", "component_id")
     empty = rows.where("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
