@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from weft.llm.common import shared_dir
+from weft.llm.common import redealt, shared_dir
 
 #: Column, header.
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "profile": "WARC-Profile", "content_type": "Content-Type"}
@@ -338,7 +338,7 @@ def records_of_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url
     rows = pages.select(F.col(page_id).cast("long").alias("_id"), F.col(url).alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("_digest", F.sha2("payload", 256)).withColumn("payload_length", F.octet_length("payload").cast("long"))
     first = rows.select("_id", "_digest", "payload_length").where(F.col("payload_length") >= least).groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = rows.join(first, "_digest", "left")
+    joined = rows.join(redealt(first), "_digest", "left")
     revisit = F.coalesce(F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first")), F.lit(False))
 
     def name(c: Column) -> Column:
