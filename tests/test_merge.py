@@ -241,10 +241,10 @@ def test_histogram_overflow(spark):
 
 
 def test_config_and_command_line(tmp_path, capsys):
-    (tmp_path / "c.yaml").write_text("ListFiles:\n  InputPaths: [a, b]\n  FileAliases: {'*.x': X}\nMerge:\n  WriteTimestampPerLine: true\n  MinTimestamp: 2025-01-01T00:00:00Z\nUnknown: 1\n")
+    (tmp_path / "c.yaml").write_text("ListFiles:\n  InputPaths: [a, b]\n  FileAliases: {'*.x': X}\nMerge:\n  WriteTimestampPerLine: true\n  MinTimestamp: 2025-01-01T00:00:00.000000001Z\nUnknown: 1\nListFilesConfig:\n  IgnoreArchives: true\n")
     c = cli.configure(["--config", str(tmp_path / "c.yaml"), "-i", "more", "--alias", "*.y=Y", "-a"])
     assert (c.inputs, c.aliases, c.write_timestamp, c.write_line_alias) == (["a", "b", "more"], {"*.x": "X", "*.y": "Y"}, True, True)
-    assert c.merge_options().since == 1_735_689_600_000_000_000
+    assert c.merge_options().since == 1_735_689_600_000_000_001 and c.ignore_archives
     assert cli.configure(["--config", str(tmp_path / "c.yaml"), "z"]).inputs == ["z"] and Config().order == "stable"
     assert cli.main([str(tmp_path / "missing")]) == 1 and "missing" in capsys.readouterr().err
 

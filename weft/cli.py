@@ -20,6 +20,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config")
     p.add_argument("--in", "-i", dest="more", action="append", help="a further input")
     p.add_argument("--out", "-o", dest="output")
+    p.add_argument("--log", "-l", help="a file for the metrics; else they go to standard error")
+    p.add_argument("--version", "-v", action="version", version="weft 0.1")
+    for name in ("--buf-read", "--buf-write"):
+        p.add_argument(name, type=int, dest="_", help="taken and left alone: Spark sizes its buffers")
     p.add_argument("--exclude", "-e", dest="more_exclude", action="append")
     p.add_argument("--ignore-file")
     p.add_argument("--alias", action="append", help="pattern=name")
@@ -28,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--until")
     p.add_argument("--min-ts-len", type=int)
     p.add_argument("--ts-search-limit", type=int)
-    flags = {"ignore-archives": "", "follow-symlinks": "", "write-timestamp": "-t", "strip-timestamp": "-s", "write-level": "", "strip-level": "", "write-block-alias": "-b", "write-line-alias": "-a", "ignore-timezone": "", "drop-orphans": "", "metrics": "", "dry-run": ""}
+    flags = {"ignore-archives": "", "follow-symlinks": "", "write-timestamp": "-t", "strip-timestamp": "-s", "write-level": "", "strip-level": "", "write-block-alias": "-b", "write-line-alias": "-a", "ignore-timezone": "", "drop-orphans": "", "metrics": "", "progress": "-p", "dry-run": ""}
     for name, short in flags.items():
         p.add_argument(f"--{name}", *filter(None, [short]), action="store_true")
     return p
@@ -50,7 +54,7 @@ def configure(args: list[str]) -> Config:
 def main(args: list[str] | None = None) -> int:
     try:
         c = configure(sys.argv[1:] if args is None else args)
-        spark = SparkSession.builder.appName("weft").getOrCreate()
+        spark = SparkSession.builder.appName("weft").config("spark.ui.showConsoleProgress", str(c.progress).lower()).getOrCreate()
         merge = Merge(spark, c.inputs, c.merge_options(), c.exclude, c.aliases, c.ignore_archives, c.follow_symlinks)
         if c.dry_run:
             for s in merge.listing.sources:
@@ -62,7 +66,13 @@ def main(args: list[str] | None = None) -> int:
                 print(line)
         if c.metrics:
             listing = merge.listing
-            print(json.dumps(merge.counters().first().asDict() | {"dirs_scanned": listing.dirs_scanned, "files_scanned": listing.files_scanned, "files_matched": len(listing.sources)}), file=sys.stderr)
+            files = {"dirs_scanned": listing.dirs_scanned, "files_scanned": listing.files_scanned, "files_matched": len(listing.sources), "errors": listing.errors}
+            report = json.dumps(merge.counters().first().asDict() | merge.input_counters().first().asDict() | files)
+            if c.log:
+                with open(c.log, "w", encoding="utf-8") as f:
+                    f.write(report + "\n")
+            else:
+                print(report, file=sys.stderr)
         return 0
     except (OSError, ValueError) as error:
         print(f"weft: {error}", file=sys.stderr)

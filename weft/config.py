@@ -11,7 +11,7 @@ from weft.plans.merge import MergeOptions
 
 # The YAML file's names of the fields below.
 YAML_NAMES = {
-    "InputPaths": "inputs", "IgnorePatterns": "exclude", "FileAliases": "aliases", "FollowSymlinks": "follow_symlinks", "OutputFile": "output", "WriteTimestampPerLine": "write_timestamp", "WriteAliasPerLine": "write_line_alias", "WriteAliasPerBlock": "write_block_alias",
+    "InputPaths": "inputs", "IgnorePatterns": "exclude", "IgnoreArchives": "ignore_archives", "LogFile": "log", "MetricsTreeEnabled": "metrics", "PrintProgressEnabled": "progress", "FileAliases": "aliases", "FollowSymlinks": "follow_symlinks", "OutputFile": "output", "WriteTimestampPerLine": "write_timestamp", "WriteAliasPerLine": "write_line_alias", "WriteAliasPerBlock": "write_block_alias",
     "WriteLevelPerLine": "write_level", "StripOriginalTimestamp": "strip_timestamp", "StripOriginalLevel": "strip_level", "MinTimestamp": "since", "MaxTimestamp": "until", "IgnoreTimezoneInfo": "ignore_timezone", "ShortestTimestampLen": "min_ts_len", "TimestampSearchEndIndex": "ts_search_limit",
 }
 
@@ -24,6 +24,8 @@ class Config:
     ignore_archives: bool = False
     follow_symlinks: bool = False
     output: str | None = None
+    log: str | None = None
+    progress: bool = False
     write_timestamp: bool = False
     write_level: bool = False
     write_line_alias: bool = False
@@ -45,17 +47,21 @@ class Config:
         """Names are looked up at any depth; those not known here are left out."""
         import yaml
 
+        class Loader(yaml.SafeLoader):
+            """Times stay text, with all their digits."""
+
+        Loader.yaml_implicit_resolvers = {k: [x for x in v if x[0] != "tag:yaml.org,2002:timestamp"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
         known, out = {f.name for f in fields(cls)}, cls()
 
         def take(node: Any) -> None:
             for k, v in node.items():
                 name = YAML_NAMES.get(k, k)
                 if name in known and v is not None:
-                    setattr(out, name, v if name not in ("since", "until") else _text(v))
+                    setattr(out, name, v)
                 elif isinstance(v, dict):
                     take(v)
 
-        take(yaml.safe_load(text) or {})
+        take(yaml.load(text, Loader) or {})
         return out
 
     def overlaid(self, given: dict[str, Any]) -> Config:
@@ -69,6 +75,3 @@ class Config:
             render=RenderOptions(self.write_timestamp, self.write_level, self.write_line_alias, self.write_block_alias, self.strip_timestamp, self.strip_level),
         )
 
-
-def _text(value: Any) -> str:
-    return value if isinstance(value, str) else value.isoformat().replace("+00:00", "Z") + ("" if value.tzinfo else "Z")
