@@ -8,7 +8,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import lang_id, near_dedup, packing, substring_dedup
-from weft.llm.common import shared_dir, table
+from weft.llm.common import bounded_batches, shared_dir, table
 
 #: Texts with less than this share of n-grams known in their language are in none of those learned.
 LEAST_SCORE = 0.1
@@ -19,6 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     If no row is labelled there is nothing to tell languages by, and documents with letters stay.
     """
+    bounded_batches(spark)
     model = lang_id.learn(docs)
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -29,12 +30,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest doc_id; rows without an id stay."""
+    bounded_batches(spark)
     found = near_dedup.near_duplicates(docs).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of windows that start elsewhere too; texts without such words stay as they are."""
+    bounded_batches(spark)
     clashes = {c: f"_{c}" for c in ("n_words", "n_removed", "kept_sha256", "kept_text") if c in docs.columns}
     found = substring_dedup.remove_repeats(docs.withColumnsRenamed(clashes), kept_text=True)
     columns = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
@@ -43,6 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

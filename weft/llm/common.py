@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.operators.storage import shared_dir
 from weft.operators.storage import stored as cut
 
-__all__ = ["LOWER", "U64", "WordHashes", "as_bytes", "cut", "key_runs", "mix", "redealt", "shared_dir", "slices", "table", "union_find", "window_hashes"]
+__all__ = ["LOWER", "U64", "WordHashes", "as_bytes", "bounded_batches", "cut", "key_runs", "mix", "redealt", "shared_dir", "slices", "table", "union_find", "window_hashes"]
 
 #: Maps A-Z to a-z and leaves every other byte.
 LOWER = bytes(range(256)).lower()
@@ -30,7 +30,13 @@ def redealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the Arrow batches between executors and their Python workers: texts may be long, and each task holds some batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -88,7 +94,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, with a bounded memory of those seen."""
 
-    limit = 250_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)

@@ -147,7 +147,7 @@ def predict(df: DataFrame, model: LanguageFilter, text: str = "text") -> DataFra
     needed = [*kept, *([text] if text not in kept else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text, 1_000_000):
+        for b in slices(batches, text, 500_000):
             lang, score = held.value.predict(b[text])
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 

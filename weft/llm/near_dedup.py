@@ -38,8 +38,8 @@ PERCENT = 80
 BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
-BLOCK = 512
-BLOCK_BYTES = 8_000_000
+BLOCK = 256
+BLOCK_BYTES = 4_000_000
 #: Bytes that a shingle counts for.
 BYTES = 8
 
