@@ -12,20 +12,25 @@ from weft.llm.common import bounded_batches, shared_dir, table
 
 #: Texts with less than this share of n-grams known in their language are in none of those learned.
 LEAST_SCORE = 0.1
+#: Texts of fewer n-grams are too short to tell that, and stay if they have letters.
+LEAST_GRAMS = 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; texts without letters, null texts and texts of unknown languages go.
 
+    A text is judged as unknown only if it has LEAST_GRAMS n-grams; shorter ones with letters stay.
     If no row is labelled there is nothing to tell languages by, and documents with letters stay.
     """
     bounded_batches(spark)
     model = lang_id.learn(docs)
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = lang_id.predict(docs.withColumnsRenamed({"score": "_score", "lang_pred": "_lang_pred"}), model)
-    kept = found.where((F.col("lang_pred") != lang_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"_score": "score", "_lang_pred": "lang_pred"}).select(*docs.columns)
+    clashes = {"score": "_score", "lang_pred": "_lang_pred", "n_grams": "_n_grams"}
+    found = lang_id.predict(docs.withColumnsRenamed(clashes), model, n_grams=True)
+    known = (F.col("score") >= LEAST_SCORE) | (F.col("n_grams") < LEAST_GRAMS)
+    kept = found.where((F.col("lang_pred") != lang_id.UNDETERMINED) & known).drop(*clashes)
+    return kept.withColumnsRenamed({v: k for k, v in clashes.items()}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,13 @@ def test_language(stages):
     assert all(stages[1][1][d] == r for d, r in stages[0][1].items() if d in stages[1][1])
 
 
+def test_language_keeps_short_texts(spark, docs):
+    short = [(300, "Re.", "en", "s", 3), (301, "A.", "en", "s", 2), (302, "De", "fr", "s", 2), (303, "Rare words", "en", "s", 10), (304, "é", None, "s", 1)]
+    gone = [(305, "1.", "en", "s", 2), (306, "数学物理化学历史地理", None, "s", 10), (307, None, "en", "s", None)]
+    got = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(short + gone, docs.schema)), None).where("doc_id >= 300").collect()
+    assert sorted(tuple(r) for r in got) == short
+
+
 def test_near_duplicates(stages):
     comp = brute_components([(d, r["text"]) for d, r in stages[1][1].items()], 80)
     assert set(stages[2][1]) == set(comp.values()) and {200, 201} & set(comp.values()) == set()

@@ -95,14 +95,18 @@ class LanguageFilter:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score (0 to 1) of each text."""
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score (0 to 1) and number of n-grams of each text."""
         hits, count = self.counts(texts)
         share = np.clip((hits / np.maximum(count, 1)[:, None] - self.false) / (1 - np.minimum(self.false, 0.999)), 0, 1)
         letter = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
         if not self.languages:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), count
         best = share.argmax(axis=1)
         score = np.where(letter, share[np.arange(len(best)), best], 0.0)
-        return [self.languages[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), letter.tolist(), strict=True)], score
+        return [self.languages[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), letter.tolist(), strict=True)], score, count
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, bits: int = BITS, hashes: int = HASHES, n: int = NGRAM, least: int = LEAST) -> LanguageFilter:
@@ -140,15 +144,17 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return LanguageFilter(languages, table, hashes, n)
 
 
-def predict(df: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
-    """df with lang_pred and score of each text."""
+def predict(df: DataFrame, model: LanguageFilter, text: str = "text", n_grams: bool = False) -> DataFrame:
+    """df with lang_pred and score of each text, and its number of n-grams if asked for."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    fields = T._parse_datatype_string("lang_pred string, score double" + (", n_grams long" if n_grams else "")).fields
+    kept = [c for c in df.columns if c not in {f.name for f in fields}]
     needed = [*kept, *([text] if text not in kept else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text, 500_000):
-            lang, score = held.value.predict(b[text])
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+            lang, score, count = held.value.judged(b[text])
+            found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(count, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), *found[: len(fields)]], names=[*kept, *(f.name for f in fields)])
 
-    return df.select(*needed).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *T._parse_datatype_string("lang_pred string, score double").fields]))
+    return df.select(*needed).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *fields]))
