@@ -8,7 +8,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import lang_id, near_dedup, packing, substring_dedup
-from weft.llm.common import bounded_batches, shared_dir, table
+from weft.llm.common import bounded_batches, cut, redealt, shared_dir, table
 
 #: Texts with less than this share of n-grams known in their language are in none of those learned.
 LEAST_SCORE = 0.1
@@ -33,11 +33,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumnsRenamed({v: k for k, v in clashes.items()}).select(*docs.columns)
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a number for each row that stays the same whenever docs is read: by file and place in it, or else stored."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    path = docs.metadataColumn("_metadata")["file_path"]
+    files = sorted(r[0] for r in docs.select(path).distinct().collect())
+    known = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "_file string, _file_no long")
+    number = F.shiftleft("_file_no", 40) + docs.metadataColumn("_metadata")["row_index"]
+    return docs.join(F.broadcast(known), path == F.col("_file")).select(*(docs[c] for c in docs.columns), number.alias(row))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest doc_id; rows without an id stay."""
+    """One row of each group of near-duplicates, the one of the smallest doc_id (null is the largest).
+
+    Rows are told apart by numbers of their own, so repeated rows and rows without an id are in groups
+    like all others. Rows of one doc_id whose texts are no near-duplicates are not in one group.
+    """
     bounded_batches(spark)
-    found = near_dedup.near_duplicates(docs).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    row = "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    rows = numbered(docs, row)
+    copies = cut(near_dedup.near_duplicates(rows.select(row, "text"), row).where("NOT kept").select(F.col("doc_id").alias("_node"), "component_id"))
+    members = copies.unionByName(copies.select(F.col("component_id").alias("_node"), "component_id").distinct())
+    ranked = members.join(rows.select(F.col(row).alias("_node"), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("_rank")), "_node")
+    best = ranked.groupBy("component_id").agg(F.min("_rank")[row].alias("_best"))
+    found = members.join(redealt(best), "component_id").where("_node <> _best").select(F.col("_node").alias(row))
+    return rows.join(found, row, "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,31 @@ def test_near_duplicates(stages):
     assert all(stages[1][1][d] == r for d, r in stages[2][1].items())
 
 
+@pytest.mark.parametrize("files", [True, False])
+def test_near_duplicates_of_rows(spark, tmp_path, files):
+    """Repeated rows, repeated ids and null ids: one row of each group, by brute force over rows."""
+    rng = random.Random(31)
+    texts = [prose(rng, 60) for _ in range(12)]
+    rows = [(d, t, "en", "s", d) for d, t in enumerate(texts)]
+    rows += [rows[0], rows[1], rows[1], (None, texts[2], "en", "s", 20), (None, texts[3] + " more", "en", "s", 21), (4, texts[4] + " more", "en", "s", 22)]
+    alone = prose(rng, 50)
+    rows += [(None, alone, "en", "s", 23), (None, alone, "en", "s", 24), (None, alone + " more", "en", "s", 25), (5, prose(rng, 70), "en", "s", 26), (-3, texts[6] + " more", "en", "s", 27), (None, prose(rng, 40), "en", "s", 28)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    if files:
+        docs.write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+    groups = {}
+    for k, c in brute_components([(k, r[1]) for k, r in enumerate(rows)], 80).items():
+        groups.setdefault(c, []).append(rows[k])
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()]
+    assert len(got) == len(groups) == 15
+    for own in groups.values():
+        kept = [r for r in got if r in own]
+        least = min((r[0] is None, r[0] or 0) for r in own)
+        assert len(kept) == 1 and (kept[0][0] is None, kept[0][0] or 0) == least
+
+
 def test_repeated_passages(stages):
     before = [stages[2][1][d] for d in sorted(stages[2][1])]
     want = brute_repeats([r["text"] for r in before], 35)
