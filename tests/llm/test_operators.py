@@ -436,6 +436,19 @@ def test_long_texts_count_in_pieces(monkeypatch):
     assert abs(int(part_count[0]) - int(count[0])) <= 0.01 * count[0] and abs(int(part_hits[0, 0]) - int(hits[0, 0])) <= 0.01 * hits[0, 0]
 
 
+def test_many_and_rare_languages(spark):
+    """More languages than a mask has bits, some of one or two labelled rows."""
+    rng = random.Random(12)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(150)}
+    said = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    rows = [(j, said(x, 60), x) for j, x in enumerate(x for k, x in enumerate(words) for _ in range((1, 2, 5)[k % 3]))]
+    model = lang_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert model.languages == sorted(words) and model.table.shape == (3, lang_id.BITS)
+    asked = spark.createDataFrame([(j, said(x, 15), x) for j, x in enumerate(words)], "doc_id long, text string, lang string")
+    got = lang_id.predict(asked, model).collect()
+    assert len(got) == 150 and all(r["lang_pred"] == r["lang"] and r["score"] > 0.3 for r in got)
+
+
 def test_language_odd(odd_docs, no_docs):
     model = lang_id.learn(odd_docs.where("lang IS NOT NULL"))
     got = lang_id.predict(odd_docs, model).collect()

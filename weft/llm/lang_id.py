@@ -1,16 +1,17 @@
 """Language identification by a bit-sliced Bloom filter over character n-grams.
 
-The filter has `bits` positions, and each position holds one bit for each language: the mask of the
-languages that set it. The AND of an n-gram's positions is the mask of all languages that may hold
+The filter has `bits` positions, and each position holds one bit for each language, in as many 64-bit
+words as the languages need: the mask of the languages that set it. The AND of an n-gram's positions is the mask of all languages that may hold
 it, in one lookup. A text's n-grams are counted for each language, the count expected from the
 filter's false positives is taken off, and the largest share decides.
 
 Learning: `sample` labelled rows of each language (those of the smallest digests of their ids, a
 documented bound), whole texts. An n-gram is learned for a language if at least `least` of the
-sample's texts hold it. The filter is a table of at most `bits` rows, collected and broadcast.
+sample's texts hold it, or all of a smaller sample. The filter is a table of at most `bits` rows for
+every 64 languages, collected and broadcast.
 
 Null texts, and texts without a letter, are `und` with score 0; so is every text if nothing could be
-learned. At most 63 languages are learned, the most frequent. Repeated rows give repeated results;
+learned. All labels are learned, however many and however rare. Repeated rows give repeated results;
 ties go to the language that sorts first. Extra columns pass through, columns named as results are
 replaced.
 """
@@ -66,8 +67,9 @@ def positions(h: np.ndarray, bits: int = BITS, hashes: int = HASHES) -> Iterator
 
 class LanguageFilter:
     def __init__(self, languages: list[str], table: np.ndarray, hashes: int = HASHES, n: int = NGRAM):
-        self.languages, self.table, self.hashes, self.n = languages, table, hashes, n
-        filled = np.array([np.count_nonzero(table & U64(1 << i)) for i in range(len(languages))]) / len(table)
+        """table: the masks of all positions; with more than 64 languages, a row of masks for every 64."""
+        self.languages, self.table, self.hashes, self.n = languages, np.atleast_2d(table), hashes, n
+        filled = np.array([np.count_nonzero(self.table[i // 64] & U64(1 << i % 64)) for i in range(len(languages))]) / self.table.shape[1]
         self.false = filled**hashes
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +86,13 @@ class LanguageFilter:
 
     def _counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         h, first, count = grams(texts, self.n)
-        masks = np.full(len(h), ~U64(0), U64)
-        for p in positions(h, len(self.table), self.hashes):
-            masks &= self.table[p]
         hits = np.zeros((len(texts), len(self.languages)), np.int64)
         for i in range(len(self.languages)):
-            total = np.concatenate([[0], np.cumsum((masks >> U64(i)) & U64(1))])
+            if i % 64 == 0:
+                masks = np.full(len(h), ~U64(0), U64)
+                for p in positions(h, self.table.shape[1], self.hashes):
+                    masks &= self.table[i // 64][p]
+            total = np.concatenate([[0], np.cumsum((masks >> U64(i % 64)) & U64(1))])
             hits[:, i] = total[np.minimum(first + count, len(h))] - total[np.minimum(first, len(h))]
         return hits, count
 
@@ -112,36 +115,35 @@ class LanguageFilter:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, bits: int = BITS, hashes: int = HASHES, n: int = NGRAM, least: int = LEAST) -> LanguageFilter:
     """The filter of a bounded sample of labelled rows."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key).cast("string")).alias("_h"))
-    languages = sorted(r["_lang"] for r in rows.groupBy("_lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(63).collect())
-    number = {x: i for i, x in enumerate(languages)}
     # The least digests of each language, without the texts: partial limits come before the exchange
     picked = rows.select("_lang", "_h").withColumn("_k", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_k") <= sample)
-    bound = {r["_lang"]: r["_most"] for r in picked.groupBy("_lang").agg(F.max("_h").alias("_most")).collect() if r["_lang"] in number}
-    if not bound:
+    bounds = sorted(tuple(r) for r in picked.groupBy("_lang").agg(F.max("_h"), F.count("*")).collect())
+    languages = [x for x, _, _ in bounds]
+    words = max(1, -(-len(languages) // 64))
+    if not bounds:
         return LanguageFilter([], np.zeros(bits, U64), hashes, n)
-    chosen = F.lit(False)
-    for x, most in bound.items():
-        chosen = chosen | ((F.col("_lang") == x) & (F.col("_h") <= most))
+    known = F.broadcast(labelled.sparkSession.createDataFrame([(x, most, i, min(least, held)) for i, (x, most, held) in enumerate(bounds)], "_lang string, _most long, _l int, _least long"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
             h, first, count = grams(b["_text"], n)
-            for at, k, x in zip(first.tolist(), count.tolist(), b["_lang"].to_pylist(), strict=True):
+            for at, k, x in zip(first.tolist(), count.tolist(), b["_l"].to_pylist(), strict=True):
                 found = np.unique(h[at : at + k])
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), number[x], np.int32))], names=["_g", "_l"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), x, np.int32))], names=["_g", "_l"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, mask = b["_g"].to_numpy().view(U64), (np.int64(1) << b["_l"].to_numpy().astype(np.int64))
+            h, of = b["_g"].to_numpy().view(U64), b["_l"].to_numpy().astype(np.int64)
+            mask = np.int64(1) << of % 64
             for p in positions(h, bits, hashes):
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(mask)], names=["_p", "_m"])
+                yield pa.RecordBatch.from_arrays([pa.array(of // 64 * bits + p), pa.array(mask)], names=["_p", "_m"])
 
-    seen = rows.where(chosen).select("_text", "_lang").mapInArrow(extract, "_g long, _l int")
-    common = seen.groupBy("_g", "_l").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    seen = rows.join(known, "_lang").where("_h <= _most").select("_text", "_l").mapInArrow(extract, "_g long, _l int")
+    common = seen.groupBy("_g", "_l").agg(F.count("*").alias("_n")).join(known, "_l").where("_n >= _least")
     masks = common.select("_g", "_l").mapInArrow(place, "_p long, _m long").groupBy("_p").agg(F.bit_or("_m").alias("_m")).toArrow()
-    table = np.zeros(bits, U64)
+    table = np.zeros(words * bits, U64)
     table[masks["_p"].to_numpy()] = masks["_m"].to_numpy().view(U64)
-    return LanguageFilter(languages, table, hashes, n)
+    return LanguageFilter(languages, table.reshape(words, bits), hashes, n)
 
 
 def predict(df: DataFrame, model: LanguageFilter, text: str = "text", n_grams: bool = False) -> DataFrame:
