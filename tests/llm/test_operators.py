@@ -215,6 +215,23 @@ def test_license_suppression_by_brute_force():
         assert scanner.detections(t) == sorted(kept, key=lambda x: x[:2]) and kept
 
 
+def test_license_part_overlap_by_stated_rule():
+    """A detection goes only if a kept one contains it or overlaps it with higher priority."""
+    scanner = license_scan.Scanner()
+    assert {x[2].label for x in scanner.detections(b"zlib libpng license version 2")} >= {"zlib", "libpng"}
+    rng = random.Random(14)
+    parts = [r"a b c", r"b c d", r"c d", r"d e f g", r"f g a", r"a b", r"g a b c", r"b"]
+    for _ in range(60):
+        found = license_scan.rules("\n".join(f"l{k} | {rng.choice([50, 60, 70])} | {p}" for k, p in enumerate(parts)))
+        t = " ".join(rng.choice(["a b c d", "d e f g a", "b c", "f g a b c d", "e"]) for _ in range(6)).encode()
+        every = sorted(((m.start(), m.end(), r) for r in found for m in r.pattern.finditer(t)), key=lambda x: (-x[2].priority, x[0] - x[1], x[2].order, x[0]))
+        kept = []
+        for x in every:
+            if not any((y[0] <= x[0] and x[1] <= y[1]) or (y[0] < x[1] and x[0] < y[1] and y[2].priority > x[2].priority) for y in kept):
+                kept.append(x)
+        assert license_scan.Scanner(found).detections(t) == sorted(kept, key=lambda x: x[:2])
+
+
 def test_license_odd(odd_docs, no_docs):
     got = license_scan.scan_licenses(odd_docs)
     assert got.count() == odd_docs.count() and got.where("base_labels = 'mit'").count() == 1 and license_scan.scan_licenses(no_docs).count() == 0

@@ -4,7 +4,7 @@ A whole text is normalised in bytes: A-Z in lower case, words apart by one space
 expression with a label and a priority; it is tried only if the text holds its keyword, the longest
 plain stretch of its pattern, and one automaton finds all keywords. All matches are intervals of words. In order of priority,
 then length, then rule order, a detection is kept unless an interval kept already contains it or it
-overlaps one of higher priority. Base phrases are counted apart, and their labels always stay.
+overlaps one of higher priority; detections of one priority that overlap in part all stay. Base phrases are counted apart, and their labels always stay.
 
 Null and empty texts have no words and no labels, and score 0. Repeated rows give repeated results.
 Extra columns pass through; columns named as results are replaced.
@@ -81,7 +81,7 @@ class Scanner:
         kept: list[tuple[int, int, Rule]] = []
         taken = _Intervals()
         for x in found:
-            if taken.add(x[0], x[1]):
+            if taken.add(x[0], x[1], x[2].priority):
                 kept.append(x)
         return sorted(kept, key=lambda x: x[:2])
 
@@ -107,21 +107,24 @@ class Scanner:
 
 
 class _Intervals:
-    """Intervals kept apart, sorted by their starts."""
+    """Kept intervals, none in another, so sorted by their starts and by their ends."""
 
     def __init__(self) -> None:
         self.at: list[int] = []
         self.to: list[int] = []
+        self.priority: list[int] = []
 
-    def add(self, start: int, end: int) -> bool:
-        """Whether the interval overlaps none, and so was kept."""
-        from bisect import bisect_left
+    def add(self, start: int, end: int, priority: int) -> bool:
+        """Whether no kept interval contains this one or overlaps it with higher priority, and so it was kept. They come by priority, then length."""
+        from bisect import bisect_left, bisect_right
 
-        k = bisect_left(self.at, end)
-        if k and self.to[k - 1] > start:
-            return False
+        for k in range(bisect_right(self.to, start), bisect_left(self.at, end)):
+            if self.priority[k] > priority or (self.at[k] <= start and end <= self.to[k]):
+                return False
+        k = bisect_left(self.at, start)
         self.at.insert(k, start)
         self.to.insert(k, end)
+        self.priority.insert(k, priority)
         return True
 
 
