@@ -509,6 +509,18 @@ def test_neighbours_exact_and_recall(spark):
         assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
 
 
+def test_neighbours_of_each_length(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).astype(np.float32).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for x in ann.search(df, df.where("vec_id % 10 = 0"), k=7, shard=64, block=8, leaf=8, factor=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    held = {i: np.asarray(v, np.float64) for i, v in rows}
+    want = {q: sorted((i for i in held if i != q and len(held[i]) == len(held[q])), key=lambda i: (-(held[i] * held[q]).sum(), i))[:7] for q in range(0, 400, 10)}
+    assert got == want
+
+
 def test_neighbours_odd(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0, 0.0]), (21, [2.0, 0.0])], "vec_id long, embedding array<float>")
     got = rows_of(ann.search(df, df.where("vec_id % 20 = 0")), "query_id", "rank", "vec_id", "score")

@@ -12,8 +12,8 @@ Rows are dealt to shards of about `shard` rows by a digest of their ids, queries
 Equal vectors of a shard are one point with its smallest ids. Scores are sums of products in double
 precision, in an order that depends on the vectors alone.
 
-Null ids, and vectors that are null, zero, or hold null or non-finite components take no part, nor do
-vectors of another length than most. Repeated ids are candidates of their own (a query leaves out
+Null ids, and vectors that are null, zero, or hold null or non-finite components take no part. Vectors
+of each length are searched among themselves, in shards and blocks of their own. Repeated ids are candidates of their own (a query leaves out
 all rows of its own id; repeated query ids are answered once). Extra columns are left out.
 """
 
@@ -155,14 +155,17 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
         return df.where(F.col(vec_id).isNotNull() & usable(F.col(vector))).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("vector"), F.size(vector).alias("_d"))
 
     points, asked = ready(vectors), ready(queries).dropDuplicates(["id"])
-    sizes = points.groupBy("_d").count().orderBy(F.desc("count"), "_d").first()
-    d, n = (sizes["_d"], sizes["count"]) if sizes else (0, 0)
-    n_asked = asked.where(F.col("_d") == d).count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-n_asked // block))
-    dealt = points.where(F.col("_d") == d).select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+    n_asked = dict(tuple(x) for x in asked.groupBy("_d").count().collect())
+    known, shards, blocks = [], 0, 0
+    for d, n in sorted(tuple(x) for x in points.groupBy("_d").count().collect()):
+        known.append((d, shards, max(1, -(-n // shard)), blocks, max(1, -(-n_asked.get(d, 0) // block))))
+        shards, blocks = shards + known[-1][2], blocks + known[-1][4]
+    places = F.broadcast(vectors.sparkSession.createDataFrame(known, "_d int, _shard int, _shards int, _block int, _blocks int"))
+    dealt = points.join(places, "_d").select("id", "vector", (F.col("_shard") + F.pmod(F.xxhash64("id"), F.col("_shards"))).cast("int").alias("shard"))
     built = _gathered(dealt, "shard")
-    questions = asked.where(F.col("_d") == d).select("id", "vector", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    each = _gathered(questions, "block").select(F.col("data").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    questions = asked.join(places, "_d").select("id", "vector", (F.col("_block") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("_blocks"))).cast("int").alias("block"))
+    own = F.broadcast(places.select("_shard", "_shards", F.explode(F.sequence("_block", F.col("_block") + F.col("_blocks") - 1)).alias("block")))
+    each = _gathered(questions, "block").join(own, "block").select(F.col("data").alias("asked"), F.explode(F.sequence("_shard", F.col("_shard") + F.col("_shards") - 1)).alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tree = None, None
