@@ -3,9 +3,9 @@
 Only the histogram of piece lengths (at most `size` rows) reaches the driver. There, large lengths
 are sorted and cut into groups of equal cardinality, each length is rounded up to its group's
 largest, and the few rounded sizes are packed by column generation over configurations, whose whole
-parts are kept. Actual lengths take the places of the rounded ones, what is left is placed by best
-fit, largest first, and small pieces fill by best fit. Sequences with the same contents are one run
-with a count, so the plan stays small: for each (length, range of ranks) where it goes. The plan,
+parts are kept. Actual lengths take the places of the rounded ones; what is left, and what rounding
+left a useless gap beside, is placed by best fit, largest first, and small pieces fill by best fit.
+Sequences with the same contents are one run with a count, so the plan stays small: for each (length, range of ranks) where it goes. The plan,
 whose size depends on `size` and `groups` alone, is broadcast, and each piece looks its place up by
 its rank among the pieces of its length. Ranks come from counts per task, so no task sees all
 pieces of a length.
@@ -34,37 +34,58 @@ SIZE = 1024
 END = 2
 GROUPS = 160
 LARGE = 256
+#: Gaps (from, to before) of configured sequences that are taken apart again.
+GAPS = ((0, 0), (1, 8), (1, 16), (1, 32), (1, 1 << 30), (2, 1 << 30), (4, 1 << 30), (8, 1 << 30))
 _STEP = 1 << 48
 
 
-def _patterns(sizes: np.ndarray, demand: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations and how often each is used, by column generation; the whole parts only."""
+def configurations(sizes: np.ndarray, demand: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
+    """Configurations (how many of each size stand in a sequence) and how often each is used: the whole parts of a linear optimum.
+
+    Column generation: the dearest configuration under the current prices enters the basis until none is
+    worth more than a sequence. Sizes are large, so few stand in a sequence: the best values of up to half
+    of them are tables over capacities, and two of those make a configuration.
+    """
     n = len(sizes)
+    most = size // int(sizes.min())
     basis = np.diag((size // sizes).astype(float))
-    for _ in range(30 * n):
-        used = np.linalg.solve(basis, demand)
-        price = np.linalg.solve(basis.T, np.ones(n))
-        best, choice = np.zeros(size + 1), np.full(size + 1, -1)
-        for c in range(int(sizes.min()), size + 1):
-            can = np.flatnonzero(sizes <= c)
-            value = best[c - sizes[can]] + price[can]
-            k = int(value.argmax())
-            best[c], choice[c] = (value[k], can[k]) if value[k] > best[c - 1] + 1e-12 else (best[c - 1], -1)
-        if best[size] <= 1 + 1e-6:
+    inverse, used = np.linalg.inv(basis), demand / np.diag(basis)
+    room = np.arange(size + 1)[:, None] - sizes[None, :]
+    fits, before = room >= 0, np.maximum(room, 0)
+    everywhere = np.arange(size + 1)
+    for step in range(1, 30 * n):
+        price = inverse.sum(axis=0)
+        values, choices = [np.zeros(size + 1)], []
+        for _ in range(-(-most // 2)):
+            value = np.where(fits, values[-1][before] + price, -np.inf)
+            choice = value.argmax(axis=1)
+            better = value[everywhere, choice] > values[-1] + 1e-12
+            choices.append(np.where(better, choice, -1))
+            values.append(np.where(better, value[everywhere, choice], values[-1]))
+        halves = values[most // 2] + values[-1][::-1]
+        at = int(halves.argmax())
+        if halves[at] <= 1 + 1e-6:
             break
-        column, c = np.zeros(n), size
-        while c > 0:
-            if choice[c] < 0:
-                c -= 1
-            else:
-                column[choice[c]] += 1
-                c -= sizes[choice[c]]
-        step = np.linalg.solve(basis, column)
-        ok = step > 1e-9
-        ratio = np.where(ok, np.maximum(used, 0) / np.where(ok, step, 1), np.inf)
-        basis[:, int(ratio.argmin())] = column
-    used = np.floor(np.linalg.solve(basis, demand) + 1e-6).astype(np.int64)
-    return [(basis[:, i].astype(np.int64), int(used[i])) for i in range(n) if used[i] > 0]
+        column = np.zeros(n)
+        for level, c in ((most // 2, at), (len(choices), size - at)):
+            for choice in reversed(choices[:level]):
+                if choice[c] >= 0:
+                    column[choice[c]] += 1
+                    c -= sizes[choice[c]]
+        entering = inverse @ column
+        ratio = np.where(entering > 1e-9, np.maximum(used, 0) / np.where(entering > 1e-9, entering, 1), np.inf)
+        out = int(ratio.argmin())
+        basis[:, out] = column
+        row = inverse[out] / entering[out]
+        inverse -= np.outer(entering, row)
+        inverse[out] = row
+        used -= ratio[out] * entering
+        used[out] = ratio[out]
+        if step % 100 == 0:  # rounding errors don't add up
+            inverse = np.linalg.inv(basis)
+            used = inverse @ demand
+    whole = np.floor(np.linalg.solve(basis, demand) + 1e-6).astype(np.int64)
+    return [(basis[:, i].astype(np.int64), int(whole[i])) for i in range(n) if whole[i] > 0]
 
 
 class _Runs:
@@ -96,71 +117,84 @@ class _Runs:
             self.add(1 if count % each else 0, [length] * (count % each))
 
 
-def plan(counts: dict[int, int], size: int = SIZE, groups: int = GROUPS, large: int = LARGE) -> list[tuple[int, list[int]]]:
-    """Runs (count, lengths in a sequence) that hold counts[length] pieces of each length from 1 to size."""
-    runs, left = _Runs(size), {k: v for k, v in counts.items() if v}
-    runs.add(left.pop(size, 0), [size])
-    big = sorted((k for k in left if k >= large), reverse=True)
-    if big:
-        total = sum(left[k] for k in big)
-        each = max(1, -(-total // groups))
-        stock: list[list[list[int]]] = [[]]
-        room = each
-        for k in big:
-            n = left[k]
-            while n:
-                take = min(n, room)
-                stock[-1].append([k, take])
-                n, room = n - take, room - take
-                if not room:
-                    stock.append([])
-                    room = each
-        stock = [g for g in stock if g]
-        merged: dict[int, list[list[int]]] = {}
-        for g in stock:  # groups of the same rounded length are one size
-            merged.setdefault(g[0][0], []).extend(g)
-        sizes = sorted(merged, reverse=True)
-        demand = np.array([sum(n for _, n in merged[s]) for s in sizes], float)
-        for column, used in _patterns(np.array(sizes), demand, size):
-            slots = [s for s, n in zip(sizes, column.tolist(), strict=True) for _ in range(n)]
-            while used and slots:
-                need: dict[int, int] = {}
-                for s in slots:
-                    need[s] = need.get(s, 0) + 1
-                if any(sum(n for _, n in merged[s]) < k for s, k in need.items()):
-                    break
-                picks, step = [], used
-                for s, k in need.items():  # the k places take from the k largest stretches of this size
-                    stretch = [x for x in merged[s] if x[1]]
-                    if len(stretch) >= k:
-                        picks += [(x, 1) for x in stretch[:k]]
-                    else:
-                        share = k
-                        for i, x in enumerate(stretch):
-                            part = -(-share // (len(stretch) - i))
+def grouped(lengths: dict[int, int], groups: int) -> dict[int, list[list[int]]]:
+    """The lengths, largest first, in groups of equal cardinality: for each group's largest length, its [length, count]."""
+    each = max(1, -(-sum(lengths.values()) // groups))
+    out: dict[int, list[list[int]]] = {}
+    largest, room = 0, 0
+    for k in sorted(lengths, reverse=True):
+        n = lengths[k]
+        while n:
+            if not room:
+                largest, room = k, each
+            take = min(n, room)
+            out.setdefault(largest, []).append([k, take])
+            n, room = n - take, room - take
+    return out
+
+
+def substituted(stock: dict[int, list[list[int]]], size: int) -> Iterator[tuple[int, list[int]]]:
+    """Runs of the configurations of rounded sizes, with actual lengths in their places; what they take leaves the stock."""
+    sizes = sorted(stock, reverse=True)
+    demand = np.array([sum(n for _, n in stock[s]) for s in sizes], float)
+    for column, used in configurations(np.array(sizes), demand, size):
+        need = {s: n for s, n in zip(sizes, column.tolist(), strict=True) if n}
+        while used and need and all(sum(n for _, n in stock[s]) >= k for s, k in need.items()):
+            picks, step = [], used
+            for s, k in need.items():  # the k places take from the k largest stretches of this size
+                stretch = [x for x in stock[s] if x[1]]
+                if len(stretch) >= k:
+                    picks += [(x, 1) for x in stretch[:k]]
+                else:
+                    share = k
+                    for i, x in enumerate(stretch):
+                        part = -(-share // (len(stretch) - i))
+                        picks.append((x, part))
+                        share -= part
+            step = min([step, *(x[1] // part for x, part in picks)])
+            if not step:  # a last sequence of what is there
+                picks, step = [], 1
+                for s, k in need.items():
+                    for x in stock[s]:
+                        part = min(x[1], k)
+                        k -= part
+                        if part:
                             picks.append((x, part))
-                            share -= part
-                step = min([step, *(x[1] // part for x, part in picks)])
-                if not step:  # a last sequence of what is there
-                    picks, step = [], 1
-                    for s, k in need.items():
-                        for x in merged[s]:
-                            part = min(x[1], k)
-                            k -= part
-                            if part:
-                                picks.append((x, part))
-                for x, part in picks:
-                    x[1] -= part * step
-                runs.add(step, [x[0] for x, part in picks for _ in range(part)])
-                used -= step
-        left = {k: v for k, v in left.items() if k < large}
-        for g in merged.values():
-            for k, n in g:
-                if n:
-                    left[k] = left.get(k, 0) + n
+            for x, part in picks:
+                x[1] -= part * step
+            yield step, [x[0] for x, part in picks for _ in range(part)]
+            used -= step
+
+
+def finished(runs: list[tuple[int, list[int]]], left: dict[int, int], size: int, low: int, high: int) -> list[tuple[int, list[int]]]:
+    """The runs but those with a gap of low to high - 1, and all other pieces by best fit, largest first."""
+    out, left = _Runs(size), dict(left)
+    for n, items in runs:
+        if low <= size - sum(items) < high:
+            for k in items:
+                left[k] = left.get(k, 0) + n
+        else:
+            out.add(n, items)
     for k in sorted(left, reverse=True):
-        runs.best_fit(k, left[k])
-    return [r for free in runs.by_free for r in free]
+        out.best_fit(k, left[k])
+    return [r for free in out.by_free for r in free]
+
+
+def plan(counts: dict[int, int], size: int = SIZE, groups: int = GROUPS, large: int = LARGE) -> list[tuple[int, list[int]]]:
+    """Runs (count, lengths in a sequence) that hold counts[length] pieces of each length from 1 to size.
+
+    Rounding leaves gaps in the configured sequences. Those whose gap small pieces rarely fill are taken
+    apart before the small ones come; which gaps these are depends on the lengths, so each of `GAPS` is
+    finished, and the one of the fewest sequences stays.
+    """
+    runs, left = [], {k: n for k, n in counts.items() if n}
+    if big := {k: left.pop(k) for k in list(left) if large <= k < size}:
+        stock = grouped(big, groups)
+        runs = list(substituted(stock, size))
+        for own in stock.values():
+            for k, n in own:
+                left[k] = left.get(k, 0) + n
+    return min((finished(runs, left, size, low, high) for low, high in GAPS), key=lambda found: sum(n for n, _ in found))
 
 
 def places(runs: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
