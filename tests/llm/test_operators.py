@@ -70,7 +70,32 @@ def test_pack_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = packing.pack(docs).collect()
     used = check_packed(rows, {r["doc_id"]: r["text"] for r in docs.collect()})
-    assert used <= 1.01 * sum(r["length"] for r in rows) / 1024 + 1
+    counts = {}
+    for r in rows:
+        counts[r["length"]] = counts.get(r["length"], 0) + 1
+    assert used == sum(n for n, _ in packing.plan(counts)) <= best_fit_decreasing(counts)
+
+
+def best_fit_decreasing(counts, size=1024):
+    free = [0] * (size + 1)
+    for k in sorted(counts, reverse=True):
+        for _ in range(counts[k]):
+            at = next((f for f in range(k, size + 1) if free[f]), None)
+            if at is not None:
+                free[at] -= 1
+            free[(size if at is None else at) - k] += 1
+    return sum(free)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_is_no_worse_than_best_fit_decreasing(seed):
+    rng = random.Random(seed)
+    draw = [lambda: rng.randrange(1, 1025), lambda: int(rng.triangular(200, 1024, 700)), lambda: min(1024, int(rng.lognormvariate(5.5, 1.2)) + 1)][seed % 3]
+    counts = {}
+    for _ in range(4000):
+        k = draw()
+        counts[k] = counts.get(k, 0) + 1
+    assert sum(n for n, _ in packing.plan(counts)) <= best_fit_decreasing(counts)
 
 
 def test_pack_odd(odd_docs, no_docs):
@@ -521,6 +546,25 @@ def test_neighbours_of_each_length(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("shard", "leaf"), [(10_000, 1000), (10_000, 16), (100, 16)])
+def test_neighbours_with_many_ties(spark, shard, leaf):
+    """Hundreds of different vectors of one score, in one leaf, over leaves and over shards."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [1.0, *rng.integers(-9, 9, 5).astype(float).tolist()]) for i in rng.permutation(400).tolist()]
+    rows += [(1000 + i, [0.5, *rng.normal(size=5).tolist()]) for i in range(200)] + [(5000, [1.0] + [0.0] * 5), (5001, [0.0, 1.0] + [0.0] * 4)]
+    rows += [(7000, [1.0, 2.0] + [0.0] * 4)] * 60  # a repeated id
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in ann.search(df, df.where("vec_id >= 5000 AND vec_id < 7000 OR vec_id = 7"), k=30, shard=shard, block=2, leaf=leaf, factor=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    held = [(i, np.asarray(v, np.float32).astype(np.float64)) for i, v in rows]
+    for q in (7, 5000, 5001):
+        x = next(v for i, v in held if i == q)
+        want = sorted((-float(np.cumsum(v * x)[-1]), i) for i, v in held if i != q)[:30]
+        assert got[q] == [(i, -s) for s, i in want]
+    assert [i for i, _ in got[5000]] == list(range(30))
+
+
 def test_neighbours_odd(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (20, [1.0, 0.0]), (21, [2.0, 0.0])], "vec_id long, embedding array<float>")
     got = rows_of(ann.search(df, df.where("vec_id % 20 = 0")), "query_id", "rank", "vec_id", "score")

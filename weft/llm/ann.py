@@ -10,11 +10,14 @@ larger one leaves more out.
 Rows are dealt to shards of about `shard` rows by a digest of their ids, queries to blocks of about
 `block`, and each block meets each shard once, so neither side is ever in one place as a whole.
 Equal vectors of a shard are one point with its smallest ids. Scores are sums of products in double
-precision, in an order that depends on the vectors alone.
-
-Null ids, and vectors that are null, zero, or hold null or non-finite components take no part. Vectors
-of each length are searched among themselves, in shards and blocks of their own. Repeated ids are candidates of their own (a query leaves out
-all rows of its own id; repeated query ids are answered once). Extra columns are left out.
+precision, from the first component to the last.
+
+Ties, of equal vectors or of others, go to the smaller ids, however many there are. Bounds are compared
+with room for rounding, so that a factor of 1 loses nothing. Null ids, and vectors that are null, zero,
+or hold null or non-finite components take no part. Vectors of each length are searched among
+themselves, in shards and blocks of their own. Repeated ids are candidates of their own (a query leaves
+out all rows of its own id; a repeated query id is answered once, for its smallest vector). An empty
+table on either side gives an empty result. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -42,13 +45,15 @@ class Tree:
     """Points in leaves, and for each inner node its vantage point and the ranges of its halves."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int = K, leaf: int = LEAF):
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order].astype(np.float64)
-        self.x, which = np.unique(x, axis=0, return_inverse=True)
-        which = which.ravel()
-        by = np.argsort(which, kind="stable")
-        start = np.searchsorted(which[by], np.arange(len(self.x) + 1))
-        self.ids = [ids[by[a : min(b, a + k + 1)]] for a, b in zip(start, start[1:], strict=False)]
+        self.x, which = np.unique(x.astype(np.float64), axis=0, return_inverse=True)
+        by = np.lexsort((ids, which.ravel()))
+        ids, which = ids[by], which.ravel()[by]
+        new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (which[1:] != which[:-1])])
+        copy = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+        ids, which = ids[copy < k], which[copy < k]
+        start = np.searchsorted(which, np.arange(len(self.x) + 1))
+        #: The smallest ids of each point: k besides those of any one id.
+        self.ids = [ids[a : min(b, a + 2 * k)] for a, b in zip(start, start[1:], strict=False)]
         norm = (self.x**2).sum(axis=1)
         self.reach = norm.max()
         self.points = np.column_stack([self.x, np.sqrt(np.maximum(self.reach - norm, 0))])
@@ -74,10 +79,16 @@ class Tree:
         self.nodes.append((vantage, d[0], d[half - 1], first, second, d[half], d[-1], len(self.leaves)))
 
     def search(self, ids: np.ndarray, q: np.ndarray, k: int = K, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query's number, neighbour's id, score), the k best of each query in any order; a query's own id is left out."""
+        """(query's number, neighbour's id, score), the k best of each query, ties to smaller ids; a query's own id is left out.
+
+        Products of matrices find the candidates: all points within rounding of the k-th best so far, however
+        many are tied. Their scores are then summed component by component, and those decide.
+        """
         q = q.astype(np.float64)
-        n, wide = len(q), k + 10
-        square = self.reach + (q**2).sum(axis=1)
+        n, wide = len(q), k + 1  # a query's own point may be among the best
+        norm = np.sqrt((q**2).sum(axis=1))
+        square = self.reach + norm**2
+        slack, margin = 1e-6 * np.sqrt(square), 1e-15 * (q.shape[1] + 8) * norm * np.sqrt(self.reach)
         apart = lambda products: np.sqrt(np.maximum(square[:, None] - 2 * products, 0))
         bound = np.zeros((n, len(self.leaves)))
         if self.nodes:
@@ -86,42 +97,43 @@ class Tree:
                 at = d[:, c, None]
                 np.maximum(bound[:, first:second], np.maximum(at - near_b, near_a - at), out=bound[:, first:second])
                 np.maximum(bound[:, second:end], np.maximum(at - far_b, far_a - at), out=bound[:, second:end])
-        best = np.full((n, wide), -np.inf)  # inner products
-        point = np.full((n, wide), -1, np.int64)
+        best = np.full((n, wide), -np.inf)  # inner products, the least first
         seen = np.zeros(bound.shape, bool)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def visit(leaf: int, who: np.ndarray) -> None:
             if not len(who):
                 return
             own = self.leaves[leaf]
             seen[who, leaf] = True
-            score = np.concatenate([best[who], q[who] @ self.x[own].T], axis=1)
-            where = np.concatenate([point[who], np.broadcast_to(own, (len(who), len(own)))], axis=1)
-            top = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
-            best[who], point[who] = np.take_along_axis(score, top, 1), np.take_along_axis(where, top, 1)
+            score = q[who] @ self.x[own].T
+            i, j = np.nonzero(score >= best[who, :1] - margin[who, None])
+            found.append((who[i], own[j], score[i, j]))
+            some = np.unique(i)
+            both = np.concatenate([best[who[some]], score[some]], axis=1)
+            best[who[some]] = np.partition(both, both.shape[1] - wide, axis=1)[:, -wide:]
 
         nearest = np.argsort(bound, axis=1, kind="stable")[:, :2]
         for r in range(nearest.shape[1]):  # a first radius, from the most promising leaves
             for leaf in np.unique(nearest[:, r]):
                 visit(leaf, np.flatnonzero(nearest[:, r] == leaf))
         for leaf in np.argsort(bound.mean(axis=0), kind="stable"):
-            # one point more than k: a query's own may be among them
-            kth = np.partition(best, wide - k - 1, axis=1)[:, wide - k - 1]
-            radius = np.where(np.isfinite(kth), np.sqrt(np.maximum(square - 2 * np.where(np.isfinite(kth), kth, 0), 0)), np.inf)
-            visit(leaf, np.flatnonzero(~seen[:, leaf] & (bound[:, leaf] * factor <= radius)))
-        rows, others, scores = [], [], []
-        for i in range(n):
-            p = point[i][point[i] >= 0]
-            exact = (self.x[p] * q[i]).sum(axis=1)
-            found = np.concatenate([self.ids[x] for x in p]) if len(p) else np.zeros(0, np.int64)
-            score = np.repeat(exact, [len(self.ids[x]) for x in p]) if len(p) else exact
-            keep = found != ids[i]
-            found, score = found[keep], score[keep]
-            order = np.lexsort((found, -score))[:k]
-            rows.append(np.full(len(order), i))
-            others.append(found[order])
-            scores.append(score[order])
-        return np.concatenate(rows), np.concatenate(others), np.concatenate(scores)
+            radius = np.sqrt(np.maximum(square - 2 * best[:, 0], 0))
+            visit(leaf, np.flatnonzero(~seen[:, leaf] & (bound[:, leaf] * factor <= radius + slack)))
+        i, p, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        near = score >= best[i, 0] - margin[i]
+        i, p = i[near], p[near]
+        exact = np.zeros(len(i))
+        for c in range(q.shape[1]):
+            exact += self.x[p, c] * q[i, c]
+        many = np.array([len(x) for x in self.ids])[p]
+        i, exact, other = np.repeat(i, many), np.repeat(exact, many) + 0.0, np.concatenate([self.ids[x] for x in p])
+        keep = other != ids[i]
+        i, exact, other = i[keep], exact[keep], other[keep]
+        order = np.lexsort((other, -exact, i))
+        i, exact, other = i[order], exact[order], other[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        return i[rank < k], other[rank < k], exact[rank < k]
 
 
 def usable(vector: Column) -> Column:
@@ -154,7 +166,8 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
     def ready(df: DataFrame) -> DataFrame:
         return df.where(F.col(vec_id).isNotNull() & usable(F.col(vector))).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("vector"), F.size(vector).alias("_d"))
 
-    points, asked = ready(vectors), ready(queries).dropDuplicates(["id"])
+    points = ready(vectors)
+    asked = ready(queries).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("_d", F.size("vector"))
     n_asked = dict(tuple(x) for x in asked.groupBy("_d").count().collect())
     known, shards, blocks = [], 0, 0
     for d, n in sorted(tuple(x) for x in points.groupBy("_d").count().collect()):
