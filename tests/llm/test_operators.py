@@ -593,6 +593,30 @@ def test_media(spark, odd_docs, no_docs):
     assert wave
 
 
+def naive_pairs(payload):
+    """Peak pairs frame by frame, by sums of sines and cosines."""
+    k, bins = np.arange(576), []
+    turns = 2 * np.pi * np.outer(np.arange(1, 289), k) / 576
+    for at in range(0, len(payload) - 575, 288):
+        x = (np.frombuffer(payload[at : at + 576], np.uint8).astype(float) - 128) * (0.5 - 0.5 * np.cos(2 * np.pi * k / 575))
+        power = np.hypot((x * np.cos(turns)).sum(axis=1), (x * np.sin(turns)).sum(axis=1))
+        tops = [f for f in range(1, 287) if power[f] > power[f - 1] and power[f] >= power[f + 1]]
+        bins.append([f + 1 for f in sorted(tops, key=lambda f: -power[f])[:3]])
+    return sorted((t, a << 20 | b << 8 | d) for t in range(len(bins)) for d in (1, 2, 3) if t + d < len(bins) for a in bins[t] for b in bins[t + d])
+
+
+def test_fingerprints_by_naive_transforms(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = [prose(rng, n) for n in (0, 1, 100, 700, 2500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.media_columns(docs).collect():
+        got, want = [(p["time"], p["code"]) for p in r["pairs"]], naive_pairs(media.from_wav(bytes(r["media"])))
+        assert got == want and r["feature"].split(":")[1] == str(len(want))
+    monkeypatch.setattr(media, "BLOCK", 7)
+    times, codes = media.fingerprint(media.padded(texts[-1].encode()))
+    assert list(zip(times.tolist(), codes.tolist(), strict=True)) == naive_pairs(media.padded(texts[-1].encode()))
+
+
 def test_fingerprint_finds_tones():
     t = np.arange(8000)
     tone = (128 + 60 * np.sin(2 * np.pi * 40 * t / 576)).astype(np.uint8).tobytes()

@@ -52,7 +52,7 @@ def op9_vantage_point_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), pairs=False, media=False).drop("text")
+    return media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), media=False).drop("text")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
