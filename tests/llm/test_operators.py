@@ -364,7 +364,7 @@ def test_tree_concatenation_of_mixed_texts():
         assert codec.encode_tree(text, rng.choice([4, 16, 40])) == codec.slow.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("leaf", [64, 65_536])
+@pytest.mark.parametrize("leaf", [64, bpe.LEAF])
 def test_encode_texts(spark, odd_docs, no_docs, leaf):
     assert bpe.encode_texts(no_docs, leaf=leaf).count() == 0
     slow = bpe.Codec.of().slow
@@ -377,12 +377,41 @@ def test_encode_texts(spark, odd_docs, no_docs, leaf):
         assert r["decoded_sha256"] == hashlib.sha256(slow.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_encode_documents(spark):
+def test_tree_concatenation_of_contractions_and_signs():
+    codec, rng = bpe.Codec.of(), random.Random(24)
+    for _ in range(1500):
+        text = "".join(rng.choice(["'", "''", "'s", "'ll", "tuff", "s", "l", "ll", "re", "ve", " '", " ", "  ", "\n", "0", "12", "!", "?!", "-" * 9, "é", "世", "界" * 7, "\u0301", "\u0558", "\ua7ce", "\U0003fc3f", "a" * 9, "\U0001f600", "\u200d"]) for _ in range(rng.randrange(2, 60)))
+        assert codec.encode_tree(text, rng.choice([3, 5, 12, 30])) == codec.slow.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["a" * 50_000, "世界" * 9000, "0123456789" * 5000, "ab1!" * 9000, " " * 40_000, "\n" * 20_000 + "x", "'" * 30_000, "it's " * 8000, "x" * 20_000 + " " * 20_000 + "y" * 20_000])
+def test_tree_concatenation_of_unsplit_texts(text):
+    codec = bpe.Codec.of()
+    assert codec.encode_tree(text, 1000) == codec.slow.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("leaf", [500, bpe.LEAF])
+def test_encode_documents(spark, leaf):
     slow = bpe.Codec.of().slow
-    for r in bpe.encode_texts(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), ids=True).collect():
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    assert docs.where(F.octet_length("text") > leaf).count() >= 9
+    for r in bpe.encode_texts(docs, leaf=leaf, ids=True).collect():
         assert r["ids"] == slow.encode(r["text"], add_special_tokens=False).ids
 
 
+def test_query_takes_the_tree(spark):
+    from weft.llm.queries import op6_bpe
+
+    slow = bpe.Codec.of().slow
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = op6_bpe(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = slow.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        want = hashlib.sha256(slow.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), want)
+
+
 # 7 repeated windows
 
 
