@@ -487,8 +487,56 @@ def test_language_filter_has_no_false_negatives():
     for p in lang_id.positions(h, 1 << 12):
         table[p] |= np.uint64(1)
     model = lang_id.LanguageFilter(["x"], table)
-    assert model.predict(texts)[0] == ["x", "x", "und", "und", "x"] or model.predict(texts)[0] == ["x", "und", "und", "und", "x"]
-    assert model.predict(texts)[1].tolist()[0] == 1.0
+    assert model.predict(texts)[0] == ["x", "und", "und", "und", "x"]
+    assert model.predict(texts)[1].tolist() == [1, 0, 0, 0, 1]
+
+
+def brute_grams(text):
+    clean = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    data = f" {' '.join(clean)} ".encode()
+    return [data[i : i + 5] for i in range(len(data) - 4)]
+
+
+def brute_places(gram, bits):
+    x, full = int.from_bytes(gram, "big"), (1 << 64) - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & full
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & full
+    x ^= x >> 31
+    return {(x >> 32 * i) % bits for i in range(2)}
+
+
+@pytest.mark.parametrize("sample", [400, 6])
+def test_language_by_brute_force(spark, sample):
+    """Sample, n-grams, filter, counts and decision, in plain Python."""
+    rng, bits = random.Random(17), 1 << 12
+    words = {x: ["".join(rng.choice("abcdefghijé") for _ in range(rng.randrange(2, 8))) for _ in range(30)] for x in ("aa", "bb", "cc")}
+    rows = [(d, " ".join(rng.choice(words[x]) + rng.choice(["", ",", " 7"]) for _ in range(rng.randrange(1, 40))), x) for d, x in enumerate(rng.choice(list(words)) for _ in range(40))]
+    rows += [rows[0], rows[0], (50, None, "aa"), (51, "no label", None), (None, "Ünder Ünder", "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    digests = {(r[0], r[1]): r[2] for r in df.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text")).collect()}
+    filters = {}
+    for x in words:
+        own = sorted({(digests[d, t], t) for d, t, lang in rows if lang == x and t is not None})[:sample]
+        held = {}
+        for _, t in own:
+            for g in set(brute_grams(t)):
+                held[g] = held.get(g, 0) + 1
+        filters[x] = set().union(*(brute_places(g, bits) for g, n in held.items() if n >= min(3, len(own))))
+    model = lang_id.learn(df, sample=sample, bits=bits)
+    assert model.languages == sorted(words)
+    for i, x in enumerate(model.languages):
+        assert set(np.flatnonzero(model.table[0] >> np.uint64(i) & np.uint64(1)).tolist()) == filters[x]
+    for r in lang_id.predict(df, model).collect():
+        grams = brute_grams(r["text"])
+        shares = []
+        for x in model.languages:
+            wrong = (len(filters[x]) / bits) ** 2
+            hit = sum(brute_places(g, bits) <= filters[x] for g in grams) / max(len(grams), 1)
+            shares.append(min(1, max(0, (hit - wrong) / (1 - wrong))))
+        letters = any(c.isalpha() for c in r["text"] or "")
+        assert r["lang_pred"] == (model.languages[shares.index(max(shares))] if letters else "und") and r["score"] == pytest.approx(max(shares) if letters else 0)
 
 
 def test_long_texts_count_in_pieces(monkeypatch):

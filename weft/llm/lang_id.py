@@ -1,19 +1,22 @@
 """Language identification by a bit-sliced Bloom filter over character n-grams.
 
 The filter has `bits` positions, and each position holds one bit for each language, in as many 64-bit
-words as the languages need: the mask of the languages that set it. The AND of an n-gram's positions is the mask of all languages that may hold
-it, in one lookup. A text's n-grams are counted for each language, the count expected from the
-filter's false positives is taken off, and the largest share decides.
-
-Learning: `sample` labelled rows of each language (those of the smallest digests of their ids, a
-documented bound), whole texts. An n-gram is learned for a language if at least `least` of the
-sample's texts hold it, or all of a smaller sample. The filter is a table of at most `bits` rows for
-every 64 languages, collected and broadcast.
+words as the languages need: the mask of the languages that set it. The AND of an n-gram's positions is
+the mask of all languages that may hold it, in one lookup. A text's n-grams are counted for each
+language, the count expected from the filter's false positives is taken off, and the largest share
+decides.
+
+Learning: `sample` labelled rows of each language (those of the smallest digests of id and text, a
+documented bound), whole texts; rows of one id and text are one. The digests that a language may need
+are told by an estimate of how many it has, so no task sees more than a few times `sample` rows of a
+language. An n-gram is learned for a language if at least `least` of the sample's texts hold it, or all
+of a smaller sample. The filter is a table of at most `bits` rows for every 64 languages, collected and
+broadcast.
 
 Null texts, and texts without a letter, are `und` with score 0; so is every text if nothing could be
 learned. All labels are learned, however many and however rare. Repeated rows give repeated results;
-ties go to the language that sorts first. Extra columns pass through, columns named as results are
-replaced.
+ties go to the language that sorts first. An empty table gives an empty result. Extra columns pass
+through, columns named as results are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from weft.llm.common import U64, mix, slices
+from weft.llm.common import U64, cut, mix, slices
 
 #: The production parameters: positions of the filter, hashes of an n-gram, bytes of an n-gram, rows learned of a language, texts that must hold an n-gram.
 BITS = 1 << 20
@@ -37,6 +40,8 @@ HASHES = 2
 NGRAM = 5
 SAMPLE = 400
 LEAST = 3
+#: Times `sample` of a language's rows that are looked at, so that an estimate a little high still finds them.
+SPARE = 2.5
 UNDETERMINED = "und"
 #: Characters of a long text that are counted at a time.
 PIECE = 2_000_000
@@ -114,15 +119,19 @@ class LanguageFilter:
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, bits: int = BITS, hashes: int = HASHES, n: int = NGRAM, least: int = LEAST) -> LanguageFilter:
     """The filter of a bounded sample of labelled rows."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key).cast("string")).alias("_h"))
-    # The least digests of each language, without the texts: partial limits come before the exchange
-    picked = rows.select("_lang", "_h").withColumn("_k", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_k") <= sample)
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key).cast("string"), text).alias("_h"))
+    sizes = rows.groupBy("_lang").agg(F.approx_count_distinct("_h", 0.02)).collect()
+    share = {x: min(1.0, SPARE * sample / max(n, 1)) for x, n in sizes}
+    most = spark.createDataFrame([(x, (1 << 63) - 1 if s == 1 else int(s * 2**64) - 2**63) for x, s in share.items()], "_lang string, _most long")
+    near = cut(rows.join(F.broadcast(most), "_lang").where("_h <= _most").groupBy("_lang", "_h").agg(F.first("_text").alias("_text")))
+    picked = near.select("_lang", "_h").withColumn("_k", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_k") <= sample)
     bounds = sorted(tuple(r) for r in picked.groupBy("_lang").agg(F.max("_h"), F.count("*")).collect())
     languages = [x for x, _, _ in bounds]
     words = max(1, -(-len(languages) // 64))
     if not bounds:
         return LanguageFilter([], np.zeros(bits, U64), hashes, n)
-    known = F.broadcast(labelled.sparkSession.createDataFrame([(x, most, i, min(least, held)) for i, (x, most, held) in enumerate(bounds)], "_lang string, _most long, _l int, _least long"))
+    known = F.broadcast(spark.createDataFrame([(x, most, i, min(least, held)) for i, (x, most, held) in enumerate(bounds)], "_lang string, _most long, _l int, _least long"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
@@ -138,7 +147,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
             for p in positions(h, bits, hashes):
                 yield pa.RecordBatch.from_arrays([pa.array(of // 64 * bits + p), pa.array(mask)], names=["_p", "_m"])
 
-    seen = rows.join(known, "_lang").where("_h <= _most").select("_text", "_l").mapInArrow(extract, "_g long, _l int")
+    seen = near.join(known, "_lang").where("_h <= _most").select("_text", "_l").mapInArrow(extract, "_g long, _l int")
     common = seen.groupBy("_g", "_l").agg(F.count("*").alias("_n")).join(known, "_l").where("_n >= _least")
     masks = common.select("_g", "_l").mapInArrow(place, "_p long, _m long").groupBy("_p").agg(F.bit_or("_m").alias("_m")).toArrow()
     table = np.zeros(words * bits, U64)
