@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from weft.operators.storage import shared_dir
 from weft.operators.storage import stored as cut
 
-__all__ = ["LOWER", "U64", "WordHashes", "as_bytes", "bounded_batches", "cut", "key_runs", "mix", "redealt", "shared_dir", "slices", "table", "union_find", "window_hashes"]
+__all__ = ["LOWER", "U64", "WordHashes", "as_bytes", "bounded_batches", "cut", "key_runs", "mix", "redealt", "shared_dir", "slices", "table", "window_hashes"]
 
 #: Maps A-Z to a-z and leaves every other byte.
 LOWER = bytes(range(256)).lower()
 U64 = np.uint64
-_MASK = (1 << 64) - 1
 
 
 def redealt(df: DataFrame) -> DataFrame:
@@ -116,23 +115,3 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
         h *= U64(0x9E3779B97F4A7C15)
         h += words[i : i + n]
     return mix(h)
-
-
-def union_find(n: int) -> tuple[Callable[[int], int], Callable[[int, int], bool]]:
-    """find, and join (whether the two were apart)."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def join(x: int, y: int) -> bool:
-        x, y = find(x), find(y)
-        if x == y:
-            return False
-        parent[max(x, y)] = min(x, y)
-        return True
-
-    return find, join

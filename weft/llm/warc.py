@@ -7,11 +7,18 @@ plain files and in members that carry their length (the public `sl` extra field
 writer sets), else by inflating without keeping. Options: path (a file or folder), payload (bytes or
 none), partition_bytes.
 
-Writing: each task writes files of about `file_bytes`, one gzip member for each record, under a
-name of its own; a commit moves them in, so a repeated task leaves nothing twice. Options: path,
-file_bytes, compress (true or false).
+Writing: each task writes files of about `file_bytes`, which are a partition's size, one gzip member
+for each record, under a name of its own; a commit moves them in and deletes what lost or failed
+attempts of the job left, so a repeated task leaves nothing twice. Options: path, file_bytes, compress
+(true or false).
 
 Paths are opened by pyarrow.fs: file, hdfs, s3, gs and plain paths.
+
+Null cells are left out of headers; a null payload is an empty one. Ties (equal payloads) are told apart
+by page ids, see records_of_pages(). A payload is held as a whole by the task that writes or reads it, in
+batches of about 4 MB or one record. Repeated rows are records of their own. An empty table writes no
+file, and an empty folder reads as no rows. Columns that are none of the format's are not written, so
+names that clash don't matter.
 """
 
 from __future__ import annotations
@@ -40,7 +47,7 @@ SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", payload_length long, pay
 LENGTH = "X-Payload-Length"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARTITION_BYTES = 64_000_000
-FILE_BYTES = 256_000_000
+FILE_BYTES = PARTITION_BYTES
 #: The production parameter: payloads of fewer bytes are never revisits.
 LEAST = 100
 EPOCH = "1970-01-01T00:00:00Z"
@@ -263,6 +270,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path = options["path"]
         self.gzip = options.get("compress", "true") != "false"
         self.size = int(options.get("file_bytes", FILE_BYTES))
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, folder = _open(self.path)
@@ -274,7 +282,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if file is None or room < len(data):
                     if file:
                         file.close()
-                    name = f"part-{uuid.uuid4().hex}.warc" + (".gz" if self.gzip else "")
+                    name = f"part-{self.job}-{uuid.uuid4().hex}.warc" + (".gz" if self.gzip else "")
                     names.append((f"{folder}/{name}.open", f"{folder}/{name}"))
                     file, room = store.open_output_stream(names[-1][0]), self.size
                     info = record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": EPOCH, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
@@ -299,12 +307,17 @@ class WarcWriter(DataSourceArrowWriter):
         for m in messages:
             for now, then in m.names if m else ():
                 store.move(now, then)
+        self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, _ = _open(self.path)
-        for m in messages:
-            for now, _then in m.names if m else ():
-                store.delete_file(now)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Deletes the job's files that no commit moved in."""
+        store, folder = _open(self.path)
+        for x in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if x.base_name.startswith(f"part-{self.job}-") and x.base_name.endswith(".open"):
+                store.delete_file(x.path)
 
 
 class WarcSource(DataSource):
