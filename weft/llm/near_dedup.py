@@ -3,12 +3,14 @@
 A document's set is its distinct shingles of five lower-case (A-Z) words; with fewer words, the whole
 sequence. Equal sets are one class, and one member stands for it. Classes that share a band of their
 signatures are candidates; a star for each band's bucket (every member to the smallest) gives groups
-that no candidate pair leaves. A group's texts meet in one task, or, beyond `block` members, in a
-task for each pair of the group's blocks, so no task grows with a group. There, signatures are
-compared in batches, and a pair goes when the posterior probability (uniform prior) that its
-similarity reaches the threshold falls under `miss`. Survivors are confirmed on full sets, and a
-spanning star of each connected part goes on. Connected components are found by alternating large
-and small stars, whose edges never reach the driver.
+that no candidate pair leaves. A group's texts meet in one task. Beyond `block` members, those of each
+large bucket first meet its smallest, their leader, in blocks; members linked with one leader are
+connected and need not meet again, and the others meet each other and them, in a task for each pair of
+blocks. So no task grows with a group, and a group of n copies of one text moves about n texts. In a
+task, signatures are compared in batches, and a pair goes when the posterior probability (uniform
+prior) that its similarity reaches the threshold falls under `miss`. Survivors are confirmed on full
+sets, and a spanning star of each connected part goes on. Connected components are found by
+alternating large and small stars, whose edges never reach the driver.
 
 A pair at the threshold of 0.8 shares no band with probability under 4e-6 (bands=32, rows=5), and is
 pruned in a batch with probability about `miss`.
@@ -200,37 +202,81 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     return components(keys.join(redealt(buckets), "key").select(F.col("doc_id").alias("a"), "b"))
 
 
-def meetings(groups: DataFrame, classes: DataFrame, lengths: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, bucket_cost: float = 1.0) -> DataFrame:
-    """node, at, _own, _x, _y: the tasks (at, _x, _y) in which a node meets all candidates, and its block in them.
+def _blocks(n: Column, size: Column, block: int, block_bytes: int) -> Column:
+    """How many blocks hold n members of so many bytes."""
+    return F.when(n > 0, F.greatest(F.ceil(n / block), F.ceil(size / block_bytes), F.lit(1))).otherwise(0).cast("int")
 
-    groups: node, component. classes: doc_id, bands. lengths: node, n_bytes. A group of one block meets
-    in one task. A larger one meets either in all pairs of its blocks, or bucket by bucket of the bands
-    (each in pairs of its own blocks), whichever moves fewer rows: a chain of loosely related documents
-    falls into small buckets, true copies share them all.
-    """
-
-    def blocks(n: str, size: str) -> Column:
-        return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(size) / block_bytes), F.lit(1)).cast("int")
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
-        both = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        return both.select("node", "at", "_own", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"))
 
+def sized(groups: DataFrame, lengths: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """node, component, n_bytes and large (whether the group fills more than one block). groups: node, component. lengths: node, n_bytes."""
     nodes = groups.join(lengths, "node")
-    size = nodes.groupBy("component").agg(F.count("*").alias("_rows"), F.sum("n_bytes").alias("_bytes")).withColumn("_blocks", blocks("_rows", "_bytes"))
-    large = nodes.join(size.where("_blocks > 1").select("component"), "component")
-    keys = classes.join(large, F.col("doc_id") == F.col("node")).select("node", "component", "n_bytes", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("component", "key").agg(F.count("*").alias("_rows"), F.sum("n_bytes").alias("_bytes")).where("_rows > 1").withColumn("_blocks", blocks("_rows", "_bytes"))
-    moved = buckets.groupBy("component").agg(F.sum(F.col("_rows") * F.col("_blocks")).alias("_moved"))
-    chosen = size.join(moved, "component", "left").select("component", "_blocks", F.coalesce(F.col("_moved") * bucket_cost < F.col("_rows") * F.col("_blocks"), F.lit(False)).alias("_by_bucket"))
-    whole = groups.join(chosen.where("NOT _by_bucket"), "component").select("node", F.concat(F.lit("g"), F.col("component").cast("string")).alias("at"), "_blocks")
-    parted = keys.join(chosen.where("_by_bucket").select("component"), "component").join(buckets.select("component", "key", "_blocks"), ["component", "key"])
-    return dealt(whole).unionByName(dealt(parted.select("node", F.concat(F.lit("b"), F.col("key").cast("string")).alias("at"), "_blocks")))
+    size = nodes.groupBy("component").agg((_blocks(F.count("*"), F.sum("n_bytes"), block, block_bytes) > 1).alias("large"))
+    return nodes.join(redealt(size), "component").select("node", "component", "n_bytes", "large")
+
+
+def followers(nodes: DataFrame, classes: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """node, at, _own, _x, _y: the tasks in which the members of a bucket of more than one block meet its smallest, block by block."""
+    keys = classes.join(nodes.select("node", "n_bytes"), F.col("doc_id") == F.col("node")).select("node", "n_bytes", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("node").alias("_leader"), F.count("*").alias("_rows"), F.sum("n_bytes").alias("_bytes"))
+    hot = buckets.where(_blocks(F.col("_rows"), F.col("_bytes"), block, block_bytes) > 1).select("key", "_leader")
+    pairs = keys.join(redealt(hot), "key").where("node <> _leader").select("node", "_leader", "n_bytes").distinct()
+    led = pairs.groupBy("_leader").agg(_blocks(F.count("*"), F.sum("n_bytes"), block, block_bytes).alias("_n"))
+    at = F.concat(F.lit("l"), F.col("_leader").cast("string")).alias("at")
+    own = pairs.join(redealt(led), "_leader").select("node", at, F.pmod(F.xxhash64("node"), F.col("_n")).cast("int").alias("_own"))
+    leaders = led.select(F.col("_leader").alias("node"), at, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_y"))
+    return own.select("node", "at", "_own", F.lit(-1).alias("_x"), F.col("_own").alias("_y")).unionByName(leaders.select("node", "at", F.lit(-1).alias("_own"), F.lit(-1).alias("_x"), "_y"))
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """node, label of the nodes linked with leaders (a: node, b: leader): equal labels are connected."""
+    own = edges.groupBy("a").agg(F.min("b").alias("b"))
+    for _ in range(2):  # leaders have leaders
+        further = own.select(F.col("a").alias("b"), F.col("b").alias("_c"))
+        own = own.join(further, "b", "left").select("a", F.coalesce(F.least("b", "_c"), "b").alias("b"))
+    both = own.unionByName(own.select(F.col("b").alias("a"), "b"))
+    return both.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+
+
+def meetings(nodes: DataFrame, classes: DataFrame, known: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, bucket_cost: float = 1.0) -> DataFrame:
+    """node, at, _own, _x, _y: the tasks (at, _x, _y) in which members of large groups meet the candidates they aren't connected with, and their blocks in them.
+
+    nodes: of sized(). classes: doc_id, bands. known: node, label. A group meets either as a whole, or
+    bucket by bucket of the bands, whichever moves fewer rows: a chain of loosely related documents falls
+    into small buckets, others share them all. Members of the most frequent label are in blocks of their
+    own, which don't meet each other.
+    """
+
+    def plans(members: DataFrame) -> DataFrame:
+        """at, _top, _others, _sames, _moved of members (at, node, label, n_bytes): the label of most, the blocks of the others and of its own, the rows to move."""
+        of_label = members.groupBy("at", "label").agg(F.count("*").alias("_n"), F.sum("n_bytes").alias("_b"))
+        top = of_label.groupBy("at").agg(F.sum("_n").alias("_rows"), F.sum("_b").alias("_bytes"), F.max(F.struct("_n", "_b", "label")).alias("_t"))
+        apart = (_blocks(F.col("_rows"), F.col("_bytes"), block, block_bytes) > 1) & (F.col("_t._n") > 1)
+        same, same_bytes = F.when(apart, F.col("_t._n")).otherwise(0), F.when(apart, F.col("_t._b")).otherwise(0)
+        others, sames = _blocks(F.col("_rows") - same, F.col("_bytes") - same_bytes, block, block_bytes), _blocks(same, same_bytes, block, block_bytes)
+        return top.select("at", F.col("_t.label").alias("_top"), others.alias("_others"), sames.alias("_sames"), ((F.col("_rows") - same) * (others + sames) + same * others).alias("_moved"), (F.col("_rows") > 1).alias("_some"))
+
+    def dealt(members: DataFrame, plan: DataFrame, kind: str) -> DataFrame:
+        rows = members.join(plan.where("_others > 0 AND _some"), "at")
+        same = (F.col("_sames") > 0) & (F.col("label") == F.col("_top"))
+        at = F.xxhash64("node")
+        own = F.when(same, F.col("_others") + F.pmod(at, F.greatest("_sames", F.lit(1)))).otherwise(F.pmod(at, F.col("_others"))).cast("int")
+        last = F.when(same, F.col("_others")).otherwise(F.col("_others") + F.col("_sames")) - 1
+        both = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+        return both.select("node", F.concat(F.lit(kind), F.col("at").cast("string")).alias("at"), "_own", F.least("_own", "_other").alias("_x"), F.greatest("_own", "_other").alias("_y"))
+
+    labelled = nodes.join(known, "node", "left").select("node", "component", "n_bytes", F.coalesce("label", "node").alias("label"))
+    whole = labelled.select("node", "label", "n_bytes", F.col("component").alias("at"))
+    of_group = plans(whole)
+    keys = classes.join(labelled, F.col("doc_id") == F.col("node")).select("node", "component", "label", "n_bytes", F.explode("bands").alias("at"))
+    of_bucket = plans(keys)
+    moved = keys.select("component", "at").distinct().join(of_bucket.where("_some"), "at").groupBy("component").agg(F.sum("_moved").alias("_parted"))
+    chosen = of_group.join(moved.withColumnRenamed("component", "at"), "at", "left").withColumn("_by_bucket", F.coalesce(F.col("_parted") * bucket_cost < F.col("_moved"), F.lit(False)))
+    parted = keys.join(chosen.where("_by_bucket").select(F.col("at").alias("component")), "component").select("node", "label", "n_bytes", "at")
+    return dealt(whole, chosen.where("NOT _by_bucket"), "g").unionByName(dealt(parted, of_bucket, "b"))
 
 
 def links(docs: DataFrame, met: DataFrame, doc_id: str, text: str, percent: int, miss: float = MISS) -> DataFrame:
-    """Edges (a, b) that span the connected parts of each task's links."""
+    """Edges (a, b) that span the connected parts of each task's links; of a leader's task, they are stars around it."""
     dealt = met.join(docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("_text")), "node").select("at", "_x", "_y", "node", "_own", "_text")
     keys = ["at", "_x", "_y"]
 
@@ -251,7 +297,7 @@ def links(docs: DataFrame, met: DataFrame, doc_id: str, text: str, percent: int,
             apart = np.flatnonzero(low != np.arange(len(low)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(nodes[low[apart]])], names=["a", "b"])
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "_own").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -263,8 +309,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key").join(redealt(classes.select("set_key", F.col("doc_id").alias("b"))), "set_key")
     repeated = same.groupBy("doc_id").agg(F.min("b").alias("b"), F.max("b").alias("most")).where("b <> most").select(F.explode(F.array("doc_id", "most")).alias("a"), "b")
     lengths = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("n_shingles") * BYTES).alias("n_bytes")).withColumnRenamed("doc_id", "node")
-    met = meetings(groups, classes.select("doc_id", "bands"), lengths)
-    found = components(links(docs, met, doc_id, text, percent).unionByName(repeated))
+    nodes = cut(sized(groups, lengths))
+    met = nodes.where("NOT large").select("node", F.concat(F.lit("g"), F.col("component").cast("string")).alias("at"), *(F.lit(0).alias(c) for c in ("_own", "_x", "_y")))
+    large, banded, edges = nodes.where("large"), classes.select("doc_id", "bands"), repeated
+    if not large.isEmpty():
+        led = cut(links(docs, followers(large, banded), doc_id, text, percent))
+        met, edges = met.unionByName(meetings(large, banded, labels(led))), edges.unionByName(led)
+    found = components(links(docs, met, doc_id, text, percent).unionByName(edges))
     of_class = classes.select("set_key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
     full = rows.where("set_key IS NOT NULL").select("doc_id", "n_shingles", "set_key").join(redealt(of_class), "set_key").select("doc_id", "n_shingles", "component_id")
     empty = rows.where("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
