@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used if the cluster names no shared folder (tests on one machine).
+#: Used in local mode if no folder is named (tests on one machine).
 LOCAL = "/tmp/checkpoints/weft"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL
+    """The folder that spark.checkpoint.dir names. On a cluster it must be named: no other is known to be shared."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or LOCAL
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -19,3 +22,9 @@ def stored(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
