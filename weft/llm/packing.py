@@ -49,7 +49,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, size: int) -> list[tup
     n = len(sizes)
     most = size // int(sizes.min())
     basis = np.diag((size // sizes).astype(float))
-    inverse, used = np.linalg.inv(basis), demand / np.diag(basis)
+    inverse, used = np.diag(1 / np.diag(basis)), demand / np.diag(basis)
+    dot = lambda a, b: np.einsum("ij,j...->i...", a, b)  # noqa: E731  (small, and without the threads of a linear algebra library in the driver)
     room = np.arange(size + 1)[:, None] - sizes[None, :]
     fits, before = room >= 0, np.maximum(room, 0)
     everywhere = np.arange(size + 1)
@@ -72,7 +73,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, size: int) -> list[tup
                 if choice[c] >= 0:
                     column[choice[c]] += 1
                     c -= sizes[choice[c]]
-        entering = inverse @ column
+        entering = dot(inverse, column)
         ratio = np.where(entering > 1e-9, np.maximum(used, 0) / np.where(entering > 1e-9, entering, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = column
@@ -81,10 +82,10 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, size: int) -> list[tup
         inverse[out] = row
         used -= ratio[out] * entering
         used[out] = ratio[out]
-        if step % 100 == 0:  # rounding errors don't add up
-            inverse = np.linalg.inv(basis)
-            used = inverse @ demand
-    whole = np.floor(np.linalg.solve(basis, demand) + 1e-6).astype(np.int64)
+        if step % 100 == 0:  # a Newton step, so that rounding errors don't add up
+            inverse += dot(inverse, np.eye(n) - dot(basis, inverse))
+            used = dot(inverse, demand)
+    whole = np.floor(used + 1e-6).astype(np.int64)
     return [(basis[:, i].astype(np.int64), int(whole[i])) for i in range(n) if whole[i] > 0]
 
 
