@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weft.llm import lang_id, near_dedup, packing, substring_dedup
 from weft.llm.common import bounded_batches, cut, redealt, shared_dir, table
+from weft.operators.storage import deleted
 
 #: Texts with less than this share of n-grams known in their language are in none of those learned.
 LEAST_SCORE = 0.1
@@ -85,10 +86,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again."""
+    """The stages over documents, each written to the shared folder and read again.
+
+    The last stage stores what its result needs, so the stages before it are deleted.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    result = STAGES[-1][1](spark, docs, sf_dir)
+    deleted(spark, folder)
+    return result
