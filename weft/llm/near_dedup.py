@@ -312,10 +312,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = cut(sized(groups, lengths))
     met = nodes.where("NOT large").select("node", F.concat(F.lit("g"), F.col("component").cast("string")).alias("at"), *(F.lit(0).alias(c) for c in ("_own", "_x", "_y")))
     large, banded, edges = nodes.where("large"), classes.select("doc_id", "bands"), repeated
+    # one exchange of all texts; candidates' are few, and may meet twice
+    texts = cut(docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("_text")).join(nodes.select("node"), "node"))
     if not large.isEmpty():
-        led = cut(links(docs, followers(large, banded), doc_id, text, percent))
+        led = cut(links(texts, followers(large, banded), "node", "_text", percent))
         met, edges = met.unionByName(meetings(large, banded, labels(led))), edges.unionByName(led)
-    found = components(links(docs, met, doc_id, text, percent).unionByName(edges))
+    found = components(links(texts, met, "node", "_text", percent).unionByName(edges))
     of_class = classes.select("set_key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
     full = rows.where("set_key IS NOT NULL").select("doc_id", "n_shingles", "set_key").join(redealt(of_class), "set_key").select("doc_id", "n_shingles", "component_id")
     empty = rows.where("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
