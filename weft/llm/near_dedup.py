@@ -303,7 +303,7 @@ def links(docs: DataFrame, met: DataFrame, doc_id: str, text: str, percent: int,
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; links are pairs with 100 * shared >= percent * united."""
     rows = cut(features(docs, doc_id, text))
-    classes = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    classes = cut(rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     groups = candidate_groups(classes.where("doc_id IS NOT NULL").select("doc_id", "bands"))
     # rows of one doc_id are one document, so their classes are one component
     same = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key").join(redealt(classes.select("set_key", F.col("doc_id").alias("b"))), "set_key")
@@ -311,10 +311,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lengths = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("n_shingles") * BYTES).alias("n_bytes")).withColumnRenamed("doc_id", "node")
     nodes = cut(sized(groups, lengths))
     met = nodes.where("NOT large").select("node", F.concat(F.lit("g"), F.col("component").cast("string")).alias("at"), *(F.lit(0).alias(c) for c in ("_own", "_x", "_y")))
-    large, banded, edges = nodes.where("large"), classes.select("doc_id", "bands"), repeated
+    large, edges = nodes.where("large"), repeated
     # one exchange of all texts; candidates' are few, and may meet twice
     texts = cut(docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("_text")).join(nodes.select("node"), "node"))
     if not large.isEmpty():
+        banded = cut(classes.select("doc_id", "bands").join(large.select(F.col("node").alias("doc_id")), "doc_id"))
         led = cut(links(texts, followers(large, banded), "node", "_text", percent))
         met, edges = met.unionByName(meetings(large, banded, labels(led))), edges.unionByName(led)
     found = components(links(texts, met, "node", "_text", percent).unionByName(edges))
