@@ -244,6 +244,35 @@ def test_sources(spark, tree):
     assert all(s.kind == "plain" for s in Merge(spark, [tree], ignore_archives=True).listing.sources)
 
 
+def test_archives_with_repeated_names_and_damage(spark, tmp_path):
+    """Members are told apart by their places; damage ends a source, is told, and leaves the rest."""
+    for name, mode in (("a.tar", "w"), ("b.tar.gz", "w:gz")):
+        with tarfile.open(tmp_path / name, mode) as t:
+            for member, text in (("x.log", b"one\ntwo\n"), ("y.log", b"three\n"), ("x.log", b"four\n")):
+                info = tarfile.TarInfo(member)
+                info.size = len(text)
+                t.addfile(info, io.BytesIO(text))
+    with pytest.warns(UserWarning), zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        for member, text in (("x.log", "five\n"), ("bad.log", "no\n" * 99), ("x.log", "six\n")):
+            z.writestr(member, text)
+    data = (tmp_path / "c.zip").read_bytes()
+    (tmp_path / "c.zip").write_bytes(data.replace(b"no\nno\n", b"no\nNO\n", 1))  # its checksum no longer holds
+    whole = lzma.compress(b"".join(b"line %d\n" % i for i in range(50_000)))
+    (tmp_path / "d.log.xz").write_bytes(whole[: len(whole) // 2])
+    m = Merge(spark, [str(tmp_path)])
+    names = {i: s.source_path.removeprefix(f"{tmp_path}/") for i, s in enumerate(m.listing.sources)}
+    got = {}
+    for r in m.parsed().select("file_idx", "line_no", "line").orderBy("file_idx", "line_no").collect():
+        got.setdefault(r["file_idx"], []).append(r["line"])
+    read = [(names[i], x) for i, x in got.items() if not names[i].startswith(("d", "c.zip!/bad"))]
+    a = [("x.log", ["one", "two"]), ("y.log", ["three"]), ("x.log", ["four"])]
+    assert read == [(f"a.tar!/{n}", x) for n, x in a] + [(f"b.tar.gz!/{n}", x) for n, x in a] + [("c.zip!/x.log", ["five"]), ("c.zip!/x.log", ["six"])]
+    partly = next((x for i, x in got.items() if names[i] == "d.log.xz"), [])
+    assert partly == [f"line {i}" for i in range(len(partly))][: len(partly) - 1] + partly[-1:]
+    errors = {r["path"].removeprefix(f"{tmp_path}/"): r["error"] for r in m.errors().collect()}
+    assert set(errors) == {"c.zip!/bad.log", "d.log.xz"} and "BadZipFile" in errors["c.zip!/bad.log"]
+
+
 def test_endings_are_kept(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(b"2024-01-01 00:00:00 a\r\n2024-01-01 00:00:01 b\r2024-01-01 00:00:02 c")
     m = Merge(spark, [str(tmp_path)], MergeOptions(byte_fidelity=True))

@@ -14,7 +14,7 @@ from weft.operators import metrics, replay, timeline
 from weft.operators.render import RenderOptions, alias_width, render, with_body
 from weft.sources.listing import Listing, list_sources
 from weft.sources.match import ARCHIVES, Matcher
-from weft.sources.scan import read_lines
+from weft.sources.scan import read_errors, read_lines
 
 
 @dataclass
@@ -62,6 +62,10 @@ class Merge:
     def files(self) -> DataFrame:
         return self.listing.to_df(self.spark)
 
+    def errors(self) -> DataFrame:
+        """path, line_no and error of sources that are damaged."""
+        return read_errors(self.spark, self.listing, self.options.byte_fidelity)
+
     def parsed(self) -> DataFrame:
         return parse_lines(read_lines(self.spark, self.listing, self.options.byte_fidelity), self.options.timestamps, self.parser)
 

@@ -25,6 +25,8 @@ class Source:
     alias: str
     size: int
     kind: str
+    #: The place among the regular members of its archive: names may repeat.
+    ordinal: int = 0
 
 
 @dataclass
@@ -85,10 +87,10 @@ def list_sources(inputs: Iterable[str], matcher: Matcher | None = None, aliases:
             kind = kind_of(path)
             try:
                 if kind in ("zip", "tar"):
-                    for name, size in _members(path, kind):
+                    for ordinal, (name, size) in enumerate(_members(path, kind)):
                         member = f"{path}{MEMBER}{name}"
                         if matcher.includes(member, f"{relative}{MEMBER}{name}"):
-                            found.sources.append(Source(member, path, alias_of(member, root, aliases), size, kind))
+                            found.sources.append(Source(member, path, alias_of(member, root, aliases), size, kind, ordinal))
                 else:
                     with open(path, "rb"):
                         found.sources.append(Source(path, path, alias_of(path, root, aliases), os.path.getsize(path), kind))

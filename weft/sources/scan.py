@@ -1,9 +1,10 @@
 """Lines of all listed sources: raw_lines(file_idx, line_no, line, eol).
 
 Plain, gzip and bzip2 files go through Spark's text reader, all in one scan, and their lines are
-numbered by the place of their split in the file and in the split. Other kinds are read in Python,
-member by member and in bounded batches; a damaged member ends there, and the rest of its archive
-stays. With byte fidelity, lines keep what ended them; \\n, \\r\\n and a lone \\r all end a line.
+numbered by the place of their split in the file and in the split. Other kinds are read in Python, a
+container at a time: its members once, in their order, and in bounded batches. A damaged source ends
+where the damage is met, and read_errors() tells which and why; what else goes wrong (a file that an
+executor can't see, a failing disk) fails the task. With byte fidelity, lines keep what ended them; \\n, \\r\\n and a lone \\r all end a line.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import lzma
 import os
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from typing import IO
 
@@ -22,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.sources.listing import MEMBER, Listing, Source
+from weft.sources.listing import Listing, Source
 
 LINES = "file_idx int, line_no bigint, line string, eol string"
 BATCH_BYTES = 4_000_000
+#: Bytes of containers that a task reads, if there are enough.
+TASK_BYTES = 64_000_000
 
 
 def _uri(path: str) -> str:
@@ -75,57 +79,100 @@ def _parted(line: bytes) -> tuple[bytes, str]:
     return line, ""
 
 
-def _opened(source: tuple[str, str, str]) -> Iterator[IO[bytes]]:
-    path, container, kind = source
+def _opened(container: str, kind: str, wanted: list[tuple[int, int]]) -> Iterator[tuple[int, IO[bytes]]]:
+    """(source, stream) of the wanted (ordinal, source) of a container, in its order."""
     if kind == "zip":
-        with zipfile.ZipFile(container) as z, z.open(path[len(container) + len(MEMBER) :]) as f:
-            yield f
+        with zipfile.ZipFile(container) as z:
+            members = [m for m in z.infolist() if not m.is_dir()]
+            for ordinal, i in wanted:
+                with z.open(members[ordinal]) as f:
+                    yield i, f
     elif kind == "tar":
-        with tarfile.open(container) as t:
-            f = t.extractfile(path[len(container) + len(MEMBER) :])
-            if f:
-                yield f
+        left = dict(wanted)
+        with tarfile.open(container, "r|*") as t:
+            for ordinal, member in enumerate(m for m in t if m.isreg()):
+                if ordinal in left:
+                    yield left.pop(ordinal), t.extractfile(member)
+                if not left:
+                    return
     else:
         with {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open, "plain": open}[kind](container, "rb") as f:
-            yield f
+            yield wanted[0][1], f
 
 
-def _batch(index: int, first: int, rows: list[tuple[bytes, str]]) -> pa.RecordBatch:
-    n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.array([index] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), pa.array([r[0].decode("utf-8", "replace") for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["file_idx", "line_no", "line", "eol"])
+def _damage(error: Exception) -> bool:
+    """Whether the bytes are at fault: errors of formats, and those of decoders, which carry no number."""
+    return not isinstance(error, OSError) or isinstance(error, gzip.BadGzipFile) or error.errno is None
 
 
 def streamed_lines(spark: SparkSession, sources: dict[int, Source]) -> DataFrame:
-    """Lines of sources that Python opens, a task for some sources each."""
-    rows = spark.createDataFrame([(i, s.source_path, s.container_path, s.kind) for i, s in sources.items()], "i int, path string, container string, kind string")
+    """Lines of sources that Python opens, and a row with the column error (and no line) where one is damaged."""
+    held: dict[tuple[str, str], list[tuple[int, int]]] = {}
+    for i, s in sources.items():
+        held.setdefault((s.container_path, s.kind) if s.kind in ("zip", "tar") else (s.source_path, s.kind), []).append((s.ordinal, i))
+    rows = spark.createDataFrame([(c, k, sorted(m)) for (c, k), m in held.items()], "container string, kind string, wanted array<struct<ordinal:int,i:int>>")
+    tasks = max(min(len(held), spark.sparkContext.defaultParallelism), min(len(held), -(-sum(s.size for s in sources.values()) // TASK_BYTES)))
+    fields = pa.schema([("file_idx", pa.int32()), ("line_no", pa.int64()), ("line", pa.string()), ("eol", pa.string()), ("error", pa.string())])
+
+    def batch(index: int, first: int, lines: list[tuple[bytes, str]], error: str | None = None) -> pa.RecordBatch:
+        n = len(lines)
+        columns = [[index] * n, range(first, first + n), [x.decode("utf-8", "replace") for x, _ in lines], [end for _, end in lines], [None] * n]
+        if error is not None:
+            columns = [[*c, x] for c, x in zip(columns, (index, first + n, None, None, error), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                held, size, first = [], 0, 0
+        for row in (r for b in batches for r in b.to_pylist()):
+            wanted = [(m["ordinal"], m["i"]) for m in row["wanted"]]
+            lines, size, first, at = [], 0, 0, wanted[0][1]
+            while wanted:
                 try:
-                    for file in _opened((row["path"], row["container"], row["kind"])):
+                    for at, file in _opened(row["container"], row["kind"], wanted):
+                        lines, size, first = [], 0, 0
                         for line in split_lines(file):
-                            held.append(line)
+                            lines.append(line)
                             size += len(line[0]) + 16
                             if size >= BATCH_BYTES:
-                                yield _batch(row["i"], first, held)
-                                first, held, size = first + len(held), [], 0
-                except (OSError, tarfile.TarError, zipfile.BadZipFile, EOFError, lzma.LZMAError, KeyError):
-                    pass  # what was read before the damage stays
-                if held:
-                    yield _batch(row["i"], first, held)
-
-    return rows.repartition(min(len(sources), 200), "i").mapInArrow(run, LINES)
-
-
-def read_lines(spark: SparkSession, listing: Listing, byte_fidelity: bool = False) -> DataFrame:
-    """raw_lines of a listing."""
+                                yield batch(at, first, lines)
+                                first, lines, size = first + len(lines), [], 0
+                        if lines:
+                            yield batch(at, first, lines)
+                        wanted, lines = [m for m in wanted if m[1] != at], []
+                    wanted = []
+                except (OSError, tarfile.TarError, zipfile.BadZipFile, EOFError, lzma.LZMAError, zlib.error) as error:
+                    if not _damage(error):
+                        raise
+                    at = at if any(m[1] == at for m in wanted) else wanted[0][1]
+                    yield batch(at, first, lines, f"{type(error).__name__}: {error}")
+                    # a zip's other members can still be found; what follows in a stream can't
+                    wanted, lines, first = [m for m in wanted if m[1] != at] if row["kind"] == "zip" else [], [], 0
+
+    return rows.repartition(tasks).mapInArrow(run, LINES + ", error string")
+
+
+def _divided(listing: Listing, byte_fidelity: bool) -> tuple[dict[int, str], dict[int, Source]]:
+    """Sources for Spark's text reader, and those that Python opens."""
     plain, other = {}, {}
     for i, s in enumerate(listing.sources):
         if s.kind in ("plain", "gz", "bz2") and not byte_fidelity and not (s.kind == "plain" and s.source_path.endswith((".deflate", ".lz4", ".snappy", ".zst"))):
             plain[i] = s.source_path
         else:
             other[i] = s
-    parts = ([text_lines(spark, plain)] if plain else []) + ([streamed_lines(spark, other)] if other else [])
+    return plain, other
+
+
+def read_lines(spark: SparkSession, listing: Listing, byte_fidelity: bool = False) -> DataFrame:
+    """raw_lines of a listing."""
+    plain, other = _divided(listing, byte_fidelity)
+    parts = ([text_lines(spark, plain)] if plain else []) + ([streamed_lines(spark, other).where("error IS NULL").drop("error")] if other else [])
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def read_errors(spark: SparkSession, listing: Listing, byte_fidelity: bool = False) -> DataFrame:
+    """path, line_no (the lines read before it) and error of damaged sources: those found on listing, and those met while reading."""
+    listed = spark.createDataFrame([(p, None, e) for p, e in listing.errors], "path string, line_no bigint, error string")
+    other = _divided(listing, byte_fidelity)[1]
+    if not other:
+        return listed
+    files = listing.to_df(spark).select("file_idx", F.col("source_path").alias("path"))
+    return listed.unionByName(streamed_lines(spark, other).where("error IS NOT NULL").join(files, "file_idx").select("path", "line_no", "error"))
