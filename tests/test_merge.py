@@ -345,13 +345,13 @@ def test_command_line_merge(spark, capsys, tmp_path, small):
 def test_streaming_keys(spark, tmp_path):
     from weft.streaming.timeline import streaming_timeline
 
-    rows = [(0, 0, "2024-01-01 00:00:05 a"), (0, 1, "  more"), (0, 2, "2024-01-01 00:00:03 b"), (1, 0, "none")]
+    rows = [(0, 0, "2024-01-01 00:00:05.000000007 a"), (0, 1, "  more"), (0, 2, "2024-01-01 00:00:03 b"), (1, 0, "none")]
     spark.createDataFrame(rows, "file_idx int, line_no bigint, line string").coalesce(1).write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema("file_idx int, line_no bigint, line string").parquet(str(tmp_path / "s"))
     streaming_timeline(stream).writeStream.format("memory").queryName("keys").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    five = 1_704_067_205_000_000_000
+    five = 1_704_067_205_000_000_007
     got = {(r["file_idx"], r["line_no"]): (r["merge_key"], r["block_ts"]) for r in spark.table("keys").collect()}
-    assert got == {(0, 0): (five, five), (0, 1): (five, five), (0, 2): (five, five - 2_000_000_000), (1, 0): (0, None)}
+    assert got == {(0, 0): (five, five), (0, 1): (five, five), (0, 2): (five, five - 2_000_000_007), (1, 0): (0, None)}
 
 
 def test_custom_parser(spark):

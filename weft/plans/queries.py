@@ -26,7 +26,8 @@ from weft.operators.storage import shared_dir
 from weft.operators.render import RenderOptions, render, with_body
 from weft.plans.merge import Merge, MergeOptions, build_timeline, parse_lines, positioned
 from weft.sources.listing import list_sources
-from weft.streaming.timeline import event_counts
+from weft.sources.match import ARCHIVES
+from weft.streaming.timeline import event_counts, streaming_timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,6 +213,8 @@ _parsing("parse_none", lambda: _body(), "NULL", "NULL", "NULL")
 _parsing("parse_day_overflow", lambda: F.concat(F.lit("2024-02-3"), (F.col("event_id") % 2).cast("string"), F.lit(" 10:00:00 message")), "(1709287200 + event_id % 2 * 86400) * 1000000000", "0", "19")
 _parsing("parse_search_limit", _with("yyyy-MM-dd HH:mm:ss", "x" * 60), "NULL", "NULL", "NULL", TimestampOptions(search_limit=60))
 
+_parsing("parse_min_length", _with("yyyy-MM-dd HH:mm:ss"), "NULL", "NULL", "NULL", TimestampOptions(shortest=60))
+
 
 @query("format_ts", f"WITH {_E} SELECT event_id, {_TEXT} || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || ' ' AS text FROM e")
 def format_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,6 +362,17 @@ def input_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.input_counters(timeline.with_running(_shuffled(spark, sf_dir)), _BOUNDS)
 
 
+_KEPT = f"{_E}, k AS (SELECT *, row_number() OVER (ORDER BY ns, file_idx, line_no) AS p FROM e WHERE ns BETWEEN {SINCE} AND {UNTIL}), l AS (SELECT *, coalesce(file_idx <> lag(file_idx) OVER (ORDER BY p), true) AS starts FROM k), b AS (SELECT file_idx, count(*) FILTER (starts) AS blocks FROM l GROUP BY file_idx), f AS (SELECT file_idx, count(*) FILTER (ns < {SINCE}) AS n FROM e GROUP BY file_idx HAVING count(*) FILTER (ns <= {UNTIL}) > 0)"
+
+
+@query("skipped_line_hist", f"WITH {_KEPT}, v AS (SELECT n FROM f UNION ALL SELECT 0 FROM (SELECT unnest(range(blocks - 1)) FROM b)) SELECT 'SkippedLineCounts' AS name, CAST({_bucket_sql('n', metrics.LINE_COUNTS)} AS INTEGER) AS le, count(*) AS n FROM v GROUP BY ALL")
+def skipped_line_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = MergeOptions(since=SINCE, until=UNTIL)
+    run = timeline.with_running(_lines(spark, sf_dir))
+    kept = timeline.with_blocks(positioned(timeline.bounded(run, SINCE, UNTIL)), "file_idx")
+    return metrics.histogram(metrics.skipped_sizes(run, kept, options), "n", metrics.LINE_COUNTS, "SkippedLineCounts")
+
+
 # Catalogues
 
 _P = "p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/(.*)$', 1) AS path FROM pages)"
@@ -379,6 +393,14 @@ _filtering("file_filter_doublestar", ["**", "!**/*7*"], "regexp_matches(path, '(
 _filtering("file_filter_root", ["/*1*"], "NOT regexp_matches(path, '^[^/]*1[^/]*$')")
 
 
+@query("file_filter_archives", f"WITH {_P}, x AS (SELECT page_id, path || ['.zip', '.log', '.tgz', '.gz.txt', '.XZ'][page_id % 5 + 1] AS path FROM p) SELECT page_id, path FROM x WHERE NOT regexp_matches(path, '\\.(zip|tar|gz|rar|7z|tgz|bz2|tbz2|xz|txz)$')")
+def file_filter_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+/(.*)$", 1).alias("path"))
+    ends = F.array(*map(F.lit, (".zip", ".log", ".tgz", ".gz.txt", ".XZ")))
+    named = p.select("page_id", F.concat("path", F.element_at(ends, (F.col("page_id") % 5 + 1).cast("int"))).alias("path"))
+    return named.where(paths.includes(F.col("path"), ARCHIVES))
+
+
 @query("alias_resolve", f"WITH {_P} SELECT page_id, CASE WHEN regexp_matches(path, '(^|/)[^/]*1[^/]*$') THEN 'one' WHEN regexp_matches(path, '(^|/)[^/]*2[^/]*$') THEN 'two' ELSE path END AS alias FROM p")
 def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+/(.*)$", 1).alias("path"))
@@ -428,9 +450,50 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_sources([_archives(spark, sf_dir)], Matcher(["*.tmp", "*.zip", "*.tar.xz", "**/in/**"])).to_df(spark).select("alias", "kind")
 
 
+def _repeated_members(spark: SparkSession, sf_dir: str) -> str:
+    """A tar with a member for each region, all of one name, and a log cut off in its middle."""
+    rows = _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:") + f"/sources-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    with tarfile.open(f"{folder}/all.tar.gz", "w:gz") as t:
+        for r in range(5):
+            text = "".join(f"{x['n_name']}\n" for x in rows if x["n_regionkey"] == r).encode()
+            info = tarfile.TarInfo("region.log")
+            info.size = len(text)
+            t.addfile(info, io.BytesIO(text))
+    with open(f"{folder}/cut.log.xz", "wb") as f:
+        f.write(lzma.compress(b"lost\n")[:20])
+    return folder
+
+
+_MEMBERS = "n AS (SELECT n_regionkey AS file_idx, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS line_no, n_name AS line FROM nation)"
+
+
+@query("archive_repeated_members", f"WITH {_MEMBERS} SELECT CAST(file_idx AS INTEGER) AS file_idx, line_no, line FROM n")
+def archive_repeated_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Merge(spark, [_repeated_members(spark, sf_dir)]).parsed().select("file_idx", "line_no", "line")
+
+
+@query("source_errors", "SELECT 'cut.log.xz' AS name, CAST(0 AS BIGINT) AS line_no")
+def source_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Merge(spark, [_repeated_members(spark, sf_dir)]).errors().select(F.element_at(F.split("path", "/"), -1).alias("name"), "line_no")
+
+
 # Streaming
 
 
+@query("stream_keys", f"WITH {_E} SELECT event_id, ns AS block_ts, ns AS merge_key FROM e")
+def stream_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge keys with state for each source, written to the shared folder by the stream and read again."""
+    source = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    line = F.concat(_stamp("yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" "), _pick(LEVEL_OF), F.lit(" event"))
+    lines = source.select(_pick({t: i for i, t in enumerate(TYPES)}).cast("int").alias("file_idx"), F.col("event_id").alias("line_no"), line.alias("line"))
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    keyed = streaming_timeline(lines).select(F.col("line_no").alias("event_id"), "block_ts", "merge_key")
+    keyed.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
 @query("stream_counts", f"WITH {_E} SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS start, {_LEVEL} AS level, count(*) AS n FROM e GROUP BY ALL")
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")

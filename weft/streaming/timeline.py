@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +22,26 @@ SCHEMA = "file_idx int, line_no bigint, line string, ts_ns bigint, level int, bl
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A batch's lines of one source, behind those of the batches before."""
     high, last, seen = state.get if state.exists else (0, None, False)
+    # one order for the batch's lines of the source; values run on through arrays
     rows = pd.concat(list(frames)).sort_values("line_no", kind="stable")
-    keys, blocks = [], []
-    for ts in rows["ts_ns"]:
-        if pd.notna(ts):
-            high, last, seen = (max(high, int(ts)) if seen else max(0, int(ts))), int(ts), True
-        keys.append(high)
-        blocks.append(last)
+    known, ts = rows["_timed"].to_numpy(bool), rows["ts_ns"].to_numpy(np.int64)
+    keys = np.maximum.accumulate(np.concatenate([[high], ts]))[1:]
+    at = np.maximum.accumulate(np.where(known, np.arange(len(ts)), -1))
+    blocks = pd.array(np.where(at >= 0, ts[np.maximum(at, 0)], last or 0), dtype="Int64")
+    if not seen:
+        blocks[at < 0] = pd.NA
+    if known.any():
+        high, last, seen = int(keys[-1]), int(ts[known][-1]), True
     state.update((high, last, seen))
-    yield rows.assign(block_ts=pd.array(blocks, dtype="Int64"), merge_key=keys)[["file_idx", "line_no", "line", "ts_ns", "level", "block_ts", "merge_key"]]
+    own = pd.array(ts, dtype="Int64")
+    own[~known] = pd.NA
+    yield rows.assign(ts_ns=own, block_ts=blocks, merge_key=keys)[["file_idx", "line_no", "line", "ts_ns", "level", "block_ts", "merge_key"]]
 
 
 def streaming_timeline(lines: DataFrame) -> DataFrame:
     """merge_key and block_ts of a stream raw_lines(file_idx, line_no, line); a source's state is three values."""
-    parsed = parse_lines(lines).select("file_idx", "line_no", "line", "ts_ns", "level")
+    # a nullable number would reach pandas as a double, which loses nanoseconds
+    parsed = parse_lines(lines).select("file_idx", "line_no", "line", F.coalesce("ts_ns", F.lit(0)).alias("ts_ns"), F.col("ts_ns").isNotNull().alias("_timed"), "level")
     return parsed.groupBy("file_idx").applyInPandasWithState(_advance, SCHEMA, "high bigint, last bigint, seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
