@@ -315,8 +315,6 @@ def near_rows():
 @pytest.mark.parametrize(("percent", "block", "bucket_cost"), [(80, 512, 1.0), (85, 512, 1.0), (85, 5, 1.0), (85, 5, 0.0)])
 def test_near_duplicates_by_brute_force(spark, percent, block, bucket_cost, monkeypatch):
     monkeypatch.setattr(near_dedup.meetings, "__defaults__", (block, near_dedup.BLOCK_BYTES, bucket_cost))
-    monkeypatch.setattr(near_dedup.followers, "__defaults__", (block, near_dedup.BLOCK_BYTES))
-    monkeypatch.setattr(near_dedup.sized, "__defaults__", (block, near_dedup.BLOCK_BYTES))
     rows = near_rows()
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=percent).collect()}
     want = brute_components(rows, percent)
@@ -324,24 +322,6 @@ def test_near_duplicates_by_brute_force(spark, percent, block, bucket_cost, monk
     assert all(got[d]["n_shingles"] == len(shingles(t)) and got[d]["kept"] == (d == want[d]) for d, t in rows)
 
 
-def test_rows_moved_grow_with_a_group(spark):
-    """A group of near-copies of one text: rows that meet, for four times as many."""
-    moved = []
-    for n in (60, 240):
-        rng = random.Random(8)
-        base = prose(rng, 200, 5000).split()
-        rows = [(d, " ".join([*base[: (k := rng.randrange(200))], f"n{d}", *base[k:]])) for d in range(n)]
-        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-        found = near_dedup.cut(near_dedup.features(docs))
-        classes, lengths = found.select("doc_id", "bands"), found.select(F.col("doc_id").alias("node"), (F.col("n_shingles") * 8).alias("n_bytes"))
-        nodes = near_dedup.cut(near_dedup.sized(near_dedup.candidate_groups(classes), lengths, 10))
-        led = near_dedup.followers(nodes, classes, 10)
-        edges = near_dedup.cut(near_dedup.links(docs, led, "doc_id", "text", 80))
-        met = near_dedup.meetings(nodes, classes, near_dedup.labels(edges), 10)
-        moved.append(led.count() + met.count())
-    assert moved[1] < 5 * moved[0], moved
-
-
 def test_confirmed_by_matrix_is_by_sets():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(80)]
