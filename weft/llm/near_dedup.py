@@ -185,9 +185,10 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         state = now
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # each side is dealt by its node once: the minimum and the join both use that
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).repartition("a").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
