@@ -5,6 +5,7 @@ import gzip
 import heapq
 import io
 import itertools
+import json
 import lzma
 import os
 import random
@@ -319,6 +320,13 @@ def test_histogram_overflow(spark):
     assert sorted(((r["le"], r["n"]) for r in metrics.histogram(df, "n", metrics.LINE_COUNTS, "x").collect()), key=str) == [(0, 1), (1, 1), (100, 1), (None, 1)]
     assert len(metrics.LINE_LENGTHS) == 69 and len(metrics.LINE_COUNTS) == 32
     assert metrics.human(1902, 1024) == "1.86 K" and metrics.share(1, 0) == 0
+    assert [metrics.human_time(n) for n in (0, 999, 1500, 2_000_000, 61_500_000_000)] == ["0 ns", "999 ns", "1.500 µs", "2.000 ms", "61.500 s"]
+    assert metrics.per_second(3000, 2_000_000_000) == "1.50 K/s" and metrics.per_second(5, 0) == "0/s"
+
+
+def test_histogram_of_weighted_rows(spark):
+    df = spark.createDataFrame([(0, 5), (0, 2), (1000, 3)], "n int, times bigint")
+    assert sorted((r["le"] is None, r["n"]) for r in metrics.histogram(df, "n", metrics.LINE_COUNTS, "x", "times").collect()) == [(False, 7), (True, 3)]
 
 
 def test_config_and_command_line(tmp_path, capsys):
@@ -336,6 +344,8 @@ def test_command_line_merge(spark, capsys, tmp_path, small):
     assert cli.main([folder, "-t", "-a", "--order", "replay", "--metrics"]) == 0
     out = capsys.readouterr()
     assert out.out.splitlines() == want and f'"lines_read": {len(want)}' in out.err
+    report = json.loads(next(x for x in out.err.splitlines() if x.startswith("{")))
+    assert sum(report["histograms"]["LineLengths"].values()) == len(want) and report["bytes_speed"].endswith("/s")
     assert cli.main([folder, "--dry-run"]) == 0 and capsys.readouterr().out.splitlines() == [f"{folder}/api.log", f"{folder}/gateway.log"]
     assert cli.main([folder, "-t", "-a", "--order", "replay", "-o", str(tmp_path / "out")]) == 0
     text = "".join((tmp_path / "out" / p).read_text() for p in sorted(os.listdir(tmp_path / "out")) if p.startswith("part-"))

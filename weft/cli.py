@@ -5,11 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 from typing import Any
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from weft.config import Config
+from weft.operators import metrics
 from weft.plans.merge import Merge
 from weft.sources.match import read_ignore_file
 
@@ -54,6 +57,7 @@ def configure(args: list[str]) -> Config:
 def main(args: list[str] | None = None) -> int:
     try:
         c = configure(sys.argv[1:] if args is None else args)
+        began = time.monotonic_ns()
         spark = SparkSession.builder.appName("weft").config("spark.ui.showConsoleProgress", str(c.progress).lower()).getOrCreate()
         merge = Merge(spark, c.inputs, c.merge_options(), c.exclude, c.aliases, c.ignore_archives, c.follow_symlinks)
         if c.dry_run:
@@ -67,7 +71,13 @@ def main(args: list[str] | None = None) -> int:
         if c.metrics:
             listing = merge.listing
             files = {"dirs_scanned": listing.dirs_scanned, "files_scanned": listing.files_scanned, "files_matched": len(listing.sources), "errors": listing.errors}
-            report = json.dumps(merge.counters().first().asDict() | merge.input_counters().first().asDict() | files)
+            took = time.monotonic_ns() - began
+            counted = merge.counters().first().asDict() | merge.input_counters().first().asDict()
+            speed = {"duration": metrics.human_time(took), "lines_speed": metrics.per_second(counted["lines_read"], took), "bytes_speed": metrics.per_second(counted["bytes_read"], took, 1024)}
+            histograms: dict[str, dict[str, int]] = {}
+            for r in merge.histograms().orderBy("name", F.col("le").asc_nulls_last()).collect():  # as many rows as levels at most
+                histograms.setdefault(r["name"], {})["more" if r["le"] is None else str(r["le"])] = r["n"]
+            report = json.dumps(counted | files | speed | {"histograms": histograms})
             if c.log:
                 with open(c.log, "w", encoding="utf-8") as f:
                     f.write(report + "\n")

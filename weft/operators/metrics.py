@@ -23,9 +23,10 @@ def bucket(value: Column, levels: tuple[int, ...]) -> Column:
     return F.try_element_at(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= value), F.lit(1))
 
 
-def histogram(df: DataFrame, value: str, levels: tuple[int, ...], name: str) -> DataFrame:
-    """name, le (NULL: above all levels) and n of the levels that occur."""
-    return df.groupBy(bucket(F.col(value), levels).alias("le")).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "le", "n")
+def histogram(df: DataFrame, value: str, levels: tuple[int, ...], name: str, times: str | None = None) -> DataFrame:
+    """name, le (NULL: above all levels) and n of the levels that occur; the column times tells how often a row counts (else once)."""
+    n = F.sum(F.col(times).cast("bigint")) if times else F.count("*")
+    return df.groupBy(bucket(F.col(value), levels).alias("le")).agg(n.alias("n")).select(F.lit(name).alias("name"), "le", "n")
 
 
 def cumulative(df: DataFrame) -> DataFrame:
@@ -101,12 +102,12 @@ def _left_out(options: MergeOptions) -> tuple[Column, Column]:
 
 
 def skipped_sizes(unbounded: DataFrame, blocks: DataFrame, options: MergeOptions) -> DataFrame:
-    """n, the lines skipped before each block of output: all that a file skips before its first, none before its others."""
+    """n, the lines skipped before a block of output, and times, the blocks that it holds for: a file skips all before its first, none before its others."""
     beyond, skipped = _left_out(options)
     of_file = unbounded.groupBy("file_idx").agg(F.count_if(~beyond & skipped).alias("n"), F.count_if(~beyond & ~skipped).alias("_kept"))
-    first = of_file.where("n > 0 OR _kept > 0").select("n")
+    first = of_file.where("n > 0 OR _kept > 0").select("n", F.lit(1).cast("bigint").alias("times"))
     each = blocks.groupBy("file_idx").agg(F.countDistinct("block_id").alias("_blocks"))
-    rest = each.where("_blocks > 1").select(F.explode(F.sequence(F.lit(2), F.col("_blocks").cast("int"))).alias("_")).select(F.lit(0).cast("bigint").alias("n"))
+    rest = each.where("_blocks > 1").select(F.lit(0).cast("bigint").alias("n"), (F.col("_blocks") - 1).alias("times"))
     return first.unionByName(rest)
 
 
@@ -124,6 +125,19 @@ def human(value: float, step: int = 1000, units: tuple[str, ...] = ("", "K", "M"
     return f"{value:.2f} {units[k]}".strip() if k else f"{value:g}"
 
 
+def human_time(ns: int) -> str:
+    """A duration with three digits in the largest unit that it fills, up to seconds."""
+    for size, unit in ((1_000_000_000, "s"), (1_000_000, "ms"), (1000, "µs")):
+        if abs(ns) >= size:
+            return f"{ns / size:.3f} {unit}"
+    return f"{ns} ns"
+
+
+def per_second(n: float, ns: int, step: int = 1000) -> str:
+    """A speed with its unit; 0 of no time."""
+    return f"{human(n / ns * 1e9 if ns else 0.0, step)}/s"
+
+
 def share(part: float, whole: float) -> float:
     """Percent, or 0 of nothing."""
     return 100 * part / whole if whole else 0.0

@@ -101,5 +101,5 @@ class Merge:
         line = with_body(timeline.with_blocks(self.timeline(), "file_idx"), self.options.render)
         lengths = metrics.histogram(line.withColumn("n", F.octet_length("body")), "n", metrics.LINE_LENGTHS, "LineLengths")
         events = metrics.histogram(metrics.event_sizes(line), "n", metrics.LINE_COUNTS, "SuccessiveLineCounts")
-        skipped = metrics.histogram(metrics.skipped_sizes(timeline.with_running(self.parsed()), line, self.options), "n", metrics.LINE_COUNTS, "SkippedLineCounts")
+        skipped = metrics.histogram(metrics.skipped_sizes(timeline.with_running(self.parsed()), line, self.options), "n", metrics.LINE_COUNTS, "SkippedLineCounts", "times")
         return lengths.unionByName(events).unionByName(metrics.histogram(metrics.block_sizes(line), "n", metrics.LINE_COUNTS, "BlockLineCounts")).unionByName(skipped)

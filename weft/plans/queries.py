@@ -370,7 +370,7 @@ def skipped_line_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = MergeOptions(since=SINCE, until=UNTIL)
     run = timeline.with_running(_lines(spark, sf_dir))
     kept = timeline.with_blocks(positioned(timeline.bounded(run, SINCE, UNTIL)), "file_idx")
-    return metrics.histogram(metrics.skipped_sizes(run, kept, options), "n", metrics.LINE_COUNTS, "SkippedLineCounts")
+    return metrics.histogram(metrics.skipped_sizes(run, kept, options), "n", metrics.LINE_COUNTS, "SkippedLineCounts", "times")
 
 
 # Catalogues
