@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import alignment, ann, bpe, lang_id, license_scan, media, near_dedup, packing, sharding, substring_dedup, warc, whitening
+from weft.llm import alignment, ann, bpe, lang_id, license_scan, media, near_dedup, packing, sharding, substring_dedup, vector_packing, warc, whitening
 from weft.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))  # a contract's long; the operator has all digits
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_warc, op3_sharding, op4_license_scan, op5_minhash_near_dedup, op6_bpe, op7_substring_dedup, op8_language_id, op9_vantage_point_ann, op10_media, op11_cross_tokenizer_alignment, op13_embedding_whitening, pipeline)
+    found = (op1_best_fit_packing, op2_warc, op3_sharding, op4_license_scan, op5_minhash_near_dedup, op6_bpe, op7_substring_dedup, op8_language_id, op9_vantage_point_ann, op10_media, op11_cross_tokenizer_alignment, op12_vector_packing, op13_embedding_whitening, pipeline)
     return {f.__name__: f for f in found}
 
 
