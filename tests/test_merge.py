@@ -9,6 +9,7 @@ import json
 import lzma
 import os
 import random
+import re
 import tarfile
 import zipfile
 
@@ -174,24 +175,43 @@ def test_bounds(spark):
     assert kept(since=20, until=20) == [(0, 1), (0, 2), (0, 3), (1, 0)]
 
 
-STRIPPED = [
-    ("<21> 2032-10-11T12:13:14Z unit7 up", "<21> unit7 up"), ("[2032-10-11 12:13:14,555] [pool] up", "[pool] up"), ("2032-10-11 12:13:14,555 | WARN | up", "WARN | up"), ("W20321011 12:13:14.000555 77 run.cc", "W 77 run.cc"), ("2032-10-11T12:13:14.555+0300: 9.5", "9.5"),
-    ("2032-10-11 12:13:14|DEBUG", "DEBUG"), ("2032-10-11 12:13:14+01:00 | DEBUG", "DEBUG"), ("2032-10-11 12:13:14Z rows", "rows"), ("Mon Oct 11 12:13:14 UTC 2032 all is well", "all is well"), ("<job> Oct 11 12:13:14 2032 up", "<job> up"), ("2032-10-11 12:13:14 042 DEBUG Loop", "DEBUG Loop"), ("timeless", "timeless"), ("2032-10-11 12:13:14", ""), ("f(2032-10-11 12:13:14) g", "f( g"),
-]
+def bodies(spark, lines, **options):
+    df = parse_lines(spark.createDataFrame(list(enumerate(lines)), "i int, line string"))
+    return [r["body"] for r in with_body(df, RenderOptions(**options)).orderBy("i").collect()]
+
+
+def strip_cases():
+    """(line, what is left of it): every opening, bracket run, zone and run of delimiters, by the stated rule."""
+    rng = random.Random(8)
+    for before, brackets, zone, n in itertools.product(("", "job 7 ", "disk\t", "q=", "a:"), ("", "[", "([", "[[[", "(((("), ("", "Z", "-04:30"), range(6)):
+        after = "".join(rng.choice(" |)]}:,\t") for _ in range(n))
+        tail = rng.choice(["up", "=9", "done now"]) if n else "=up"
+        stamp = f"20{rng.randrange(10, 50)}-0{rng.randrange(1, 10)}-1{rng.randrange(10)}T0{rng.randrange(10)}:4{rng.randrange(10)}:5{rng.randrange(10)}.{rng.randrange(100, 1000)}{zone}"
+        kept = before if 1 <= len(brackets) <= 3 and before[-1:] in ("", " ", "\t") else before + brackets
+        rest = after[min(n, 3 if zone else 4) :] + tail
+        apart = kept and kept[-1] not in " \t" and rest[0] not in " \t"
+        yield before + brackets + stamp + after + tail, kept + (" " if apart else "") + rest
 
 
 def test_strip_timestamp(spark):
-    df = parse_lines(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(STRIPPED)], "i int, line string"))
-    got = [r["body"] for r in with_body(df, RenderOptions(strip_timestamp=True)).orderBy("i").collect()]
-    assert got[:-1] == [x for _, x in STRIPPED[:-1]] and got[-1].startswith("f(")
+    cases = list(strip_cases())
+    assert bodies(spark, [x for x, _ in cases], strip_timestamp=True) == [x for _, x in cases] and len(cases) == 450
+    assert bodies(spark, ["no time", "", "2031-02-03 04:05:06"], strip_timestamp=True) == ["no time", "", ""]
 
 
 def test_strip_level(spark):
-    lines = ["2032-10-11 12:13:14,555 | INFO | msg", "ERROR bare", "I20321011 12:13:14.000555 3 x", "nothing"]
-    df = parse_lines(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string"))
-    body = lambda **o: [r["body"] for r in with_body(df, RenderOptions(**o)).orderBy("i").collect()]
-    assert body(strip_level=True) == ["2032-10-11 12:13:14,555 | | msg", "bare", "20321011 12:13:14.000555 3 x", "nothing"]
-    assert body(strip_level=True, strip_timestamp=True) == ["| msg", "bare", "I 3 x", "nothing"]
+    """A level goes with one delimiter behind it, with or without its timestamp; other words stay."""
+    rng, lines, bare, without = random.Random(4), [], [], []
+    for word, behind, lead in itertools.product(("INFO", "warning", "Fatal", "upper"), (" ", "|", ":", ")", "] ", " |"), ("", "2031-02-03 04:05:06.7Z")):
+        between, tail = (rng.choice([" ", " | ", " ["]) if lead else ""), f"t{rng.randrange(99)}"
+        lines.append(lead + between + word + behind + tail)
+        left = tail if word == "upper" else behind[1:] + tail
+        left = word + behind + tail if word == "upper" else left
+        bare.append(lead + between + left)
+        gone = len(between) - len(between[min(3, len(re.match(r"[ |]*", between)[0])) :]) if lead else 0
+        without.append(between[gone:] + left)
+    assert bodies(spark, lines, strip_level=True) == bare
+    assert bodies(spark, lines, strip_level=True, strip_timestamp=True) == without
 
 
 @pytest.fixture
@@ -268,9 +288,10 @@ def test_archives_with_repeated_names_and_damage(spark, tmp_path):
     read = [(names[i], x) for i, x in got.items() if not names[i].startswith(("d", "c.zip!/bad"))]
     a = [("x.log", ["one", "two"]), ("y.log", ["three"]), ("x.log", ["four"])]
     assert read == [(f"a.tar!/{n}", x) for n, x in a] + [(f"b.tar.gz!/{n}", x) for n, x in a] + [("c.zip!/x.log", ["five"]), ("c.zip!/x.log", ["six"])]
-    partly = next((x for i, x in got.items() if names[i] == "d.log.xz"), [])
-    assert partly == [f"line {i}" for i in range(len(partly))][: len(partly) - 1] + partly[-1:]
+    partly = next(x for i, x in got.items() if names[i] == "d.log.xz")
+    assert len(partly) > 10_000 and partly[:-1] == [f"line {i}" for i in range(len(partly) - 1)] and f"line {len(partly) - 1}".startswith(partly[-1])
     errors = {r["path"].removeprefix(f"{tmp_path}/"): r["error"] for r in m.errors().collect()}
+    assert [x for i, x in got.items() if names[i] == "c.zip!/bad.log"] == [["no", "NO", *["no"] * 97]]
     assert set(errors) == {"c.zip!/bad.log", "d.log.xz"} and "BadZipFile" in errors["c.zip!/bad.log"]
 
 

@@ -8,6 +8,8 @@ import sys
 import time
 from typing import Any
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ def main(args: list[str] | None = None) -> int:
             else:
                 print(report, file=sys.stderr)
         return 0
-    except (OSError, ValueError) as error:
+    except (OSError, ValueError, PySparkException, Py4JError) as error:
         print(f"weft: {error}", file=sys.stderr)
         return 1
 

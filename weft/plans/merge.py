@@ -14,12 +14,16 @@ from weft.operators import metrics, replay, timeline
 from weft.operators.render import RenderOptions, alias_width, render, with_body
 from weft.sources.listing import Listing, list_sources
 from weft.sources.match import ARCHIVES, Matcher
-from weft.sources.scan import read_errors, read_lines
+from weft.sources.scan import PACKED_BYTES, SPLIT_BYTES, read_errors, read_lines
 
 
 @dataclass
 class MergeOptions:
-    """order: stable (by key, file and line, over any number of rows) or replay (tied files in heap order)."""
+    """order: stable (by key, file and line, over any number of rows) or replay (tied files in heap order).
+
+    dense_lines: whether lines of a source are numbered without gaps, for which files of many ranges are
+    read twice. split_bytes and packed_bytes: of a range of plain and of compressed files.
+    """
 
     since: int | None = None
     until: int | None = None
@@ -28,6 +32,9 @@ class MergeOptions:
     timestamps: TimestampOptions = field(default_factory=TimestampOptions)
     render: RenderOptions = field(default_factory=RenderOptions)
     byte_fidelity: bool = False
+    dense_lines: bool = True
+    split_bytes: int = SPLIT_BYTES
+    packed_bytes: int = PACKED_BYTES
 
 
 def parse_lines(lines: DataFrame, options: TimestampOptions | None = None, parser: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -64,10 +71,14 @@ class Merge:
 
     def errors(self) -> DataFrame:
         """path, line_no and error of sources that are damaged."""
-        return read_errors(self.spark, self.listing, self.options.byte_fidelity)
+        return read_errors(self.spark, self.listing, self.options.split_bytes, self.options.packed_bytes)
+
+    def _read(self) -> DataFrame:
+        o = self.options
+        return read_lines(self.spark, self.listing, o.byte_fidelity, o.dense_lines, o.split_bytes, o.packed_bytes)
 
     def parsed(self) -> DataFrame:
-        return parse_lines(read_lines(self.spark, self.listing, self.options.byte_fidelity), self.options.timestamps, self.parser)
+        return parse_lines(self._read(), self.options.timestamps, self.parser)
 
     def timeline(self) -> DataFrame:
         """All columns of the merged lines: parsed values, block_ts, merge_key, alias, out_pos."""

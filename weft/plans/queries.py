@@ -10,12 +10,13 @@ import bz2
 import gzip
 import io
 import lzma
-import os
 import tarfile
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ from weft.operators import metrics, timeline
 from weft.operators.storage import shared_dir
 from weft.operators.render import RenderOptions, render, with_body
 from weft.plans.merge import Merge, MergeOptions, build_timeline, parse_lines, positioned
+from weft.sources import scan
 from weft.sources.listing import list_sources
-from weft.sources.match import ARCHIVES
+from weft.sources.match import ARCHIVES, Matcher
+from weft.sources.stores import store_of
 from weft.streaming.timeline import event_counts, streaming_timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -410,73 +413,137 @@ def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Files
 
 
-def _archives(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with the nations of each region in a source of another kind. Both tables are fixed and tiny."""
-    rows = _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
-    text = {r: "".join(f"2024-01-{x['n_nationkey'] + 1:02d} 00:00:00 INFO {x['n_name']}\n" for x in rows if x["n_regionkey"] == r).encode() for r in range(5)}
-    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:") + f"/sources-{uuid.uuid4().hex}"
-    os.makedirs(folder)
-    with gzip.open(f"{folder}/r0.log.gz", "wb") as f:
-        f.write(text[0])
-    with bz2.open(f"{folder}/r1.log.bz2", "wb") as f:
-        f.write(text[1])
-    with lzma.open(f"{folder}/r2.log.xz", "wb") as f:
-        f.write(text[2])
-    with zipfile.ZipFile(f"{folder}/r3.zip", "w") as z:
-        z.writestr("in/r3.log", text[3])
-        z.writestr("in/r3.tmp", b"left out")
-    with tarfile.open(f"{folder}/r4.tar.xz", "w:xz") as t:
-        info = tarfile.TarInfo("r4.log")
-        info.size = len(text[4])
-        t.addfile(info, io.BytesIO(text[4]))
-    with open(f"{folder}/r5.log", "wb") as f:
-        f.write(b"".join(text.values()).replace(b"\n", b"\r\n"))
+_PART = 1000  # events of a file
+_HALF = _PART // 2
+
+
+def _written(spark: SparkSession, sf_dir: str, write: Callable[[str, list[str], list[str]], bytes], names: Callable[[int], str]) -> str:
+    """A folder of files that tasks write: one for each _PART events, in their order. write: its name, the lines and their types."""
+    folder = f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
+
+    def put(key: tuple, rows: pa.Table) -> pa.Table:
+        name = names(key[0].as_py())
+        rows = rows.sort_by("event_id")
+        system, inner = store_of(f"{folder}/{name}")
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(inner, compression=None) as f:
+            f.write(write(name, rows["line"].to_pylist(), rows["event_type"].to_pylist()))
+        return pa.table({"name": [name]})
+
+    lines = _logged(_events(spark, sf_dir)).select("event_id", "event_type", "line", F.floor(F.col("event_id") / _PART).alias("_file"))
+    lines.groupBy("_file").applyInArrow(put, "name string").count()  # the files are the result
     return folder
 
 
-_NATIONS = "n AS (SELECT n_regionkey AS r, n_nationkey AS k, '2024-01-' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0') || ' 00:00:00 INFO ' || n_name AS line FROM nation), f AS (SELECT ['r0.log.gz', 'r1.log.bz2', 'r2.log.xz', 'r3.zip!/in/r3.log', 'r4.tar.xz!/r4.log'][r + 1] AS alias, row_number() OVER (PARTITION BY r ORDER BY k) - 1 AS line_no, line, k FROM n UNION ALL SELECT 'r5.log', row_number() OVER (ORDER BY r, k) - 1, line, k FROM n)"
+def _logged(e: DataFrame) -> DataFrame:
+    return e.withColumn("line", F.concat(_stamp("yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" | "), F.col("lv"), F.lit(" | "), _body()))
+
+
+_KINDS = (".log", ".log.gz", ".log.bz2", ".log.xz", ".zip", ".tar", ".tar.xz")
+
+
+def _tarred(members: list[tuple[str, bytes]], mode: str) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode=mode) as t:
+        for name, data in members:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def _source(name: str, lines: list[str], _: list[str]) -> bytes:
+    """A source of the kind that its name tells: archives have two members of lines and one to leave out; xz files have many blocks."""
+    ended = [f"{x}\n".encode() for x in lines]
+    members = [("in/a.log", b"".join(ended[:_HALF])), ("left.tmp", b"out"), ("in/b.log", b"".join(ended[_HALF:]))]
+    if name.endswith(".zip"):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for member, data in members:
+                z.writestr(member, data)
+        return out.getvalue()
+    if ".tar" in name:
+        return _tarred(members, "w:xz" if name.endswith("xz") else "w")
+    if name.endswith(".xz"):
+        return b"".join(lzma.compress(b"".join(ended[i : i + 150])) for i in range(0, len(ended), 150))
+    data = b"".join(ended)
+    if name.endswith(".log"):
+        return data.replace(b"\n", b"\r\n")[:-2]
+    return gzip.compress(data) if name.endswith(".gz") else bz2.compress(data, 1)
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> str:
+    return _written(spark, sf_dir, _source, lambda k: f"{k % 3}/{k:06d}{_KINDS[k % len(_KINDS)]}")
+
 
+_CUT = f"{_E}, k AS (SELECT *, event_id // {_PART} AS k, event_id % {_PART} AS i FROM e), s AS (SELECT *, {list(_KINDS)}[CAST(k % {len(_KINDS)} + 1 AS INTEGER)] AS kind FROM k)"
+_SOURCES = f"{_CUT}, f AS (SELECT *, (k % 3) || '/' || lpad(CAST(k AS VARCHAR), 6, '0') || kind || CASE WHEN kind IN ('.zip', '.tar', '.tar.xz') THEN CASE WHEN i < {_HALF} THEN '!/in/a.log' ELSE '!/in/b.log' END ELSE '' END AS source FROM s)"
 
-@query("archive_scan", f"WITH {_NATIONS} SELECT alias, line_no, line, CAST(k + 19723 AS BIGINT) * 86400 * 1000000000 AS ts_ns FROM f")
+
+@query("archive_scan", f"WITH {_SOURCES} SELECT source AS alias, row_number() OVER (PARTITION BY source ORDER BY event_id) - 1 AS line_no, line, ns AS ts_ns FROM f")
 def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = Merge(spark, [_archives(spark, sf_dir)], exclude=["*.tmp"])
+    """All events from files of every kind, cut in ranges far smaller than they are."""
+    m = Merge(spark, [_archives(spark, sf_dir)], MergeOptions(split_bytes=30_011, packed_bytes=5_003), exclude=["*.tmp"])
     return m.parsed().join(m.files.select("file_idx", "alias"), "file_idx").select("alias", "line_no", "line", "ts_ns")
 
 
-@query("file_listing", "SELECT unnest(['r0.log.gz', 'r1.log.bz2', 'r2.log.xz', 'r5.log']) AS alias, unnest(['gz', 'bz2', 'xz', 'plain']) AS kind")
+_SIZE = "CAST(sum(octet_length(encode(line)) + CASE kind WHEN '.log' THEN 2 ELSE 1 END) - max(CASE kind WHEN '.log' THEN 2 ELSE 0 END) AS BIGINT)"
+
+
+@query("file_listing", f"WITH {_SOURCES} SELECT source AS alias, CASE kind WHEN '.log' THEN 'plain' WHEN '.zip' THEN 'zip' ELSE 'tar' END AS kind, {_SIZE} AS size FROM f WHERE kind IN ('.log', '.zip', '.tar', '.tar.xz') AND k % 3 <> 2 GROUP BY source, kind")
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weft.sources.match import Matcher
-
-    return list_sources([_archives(spark, sf_dir)], Matcher(["*.tmp", "*.zip", "*.tar.xz", "**/in/**"])).to_df(spark).select("alias", "kind")
-
-
-def _repeated_members(spark: SparkSession, sf_dir: str) -> str:
-    """A tar with a member for each region, all of one name, and a log cut off in its middle."""
-    rows = _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
-    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:") + f"/sources-{uuid.uuid4().hex}"
-    os.makedirs(folder)
-    with tarfile.open(f"{folder}/all.tar.gz", "w:gz") as t:
-        for r in range(5):
-            text = "".join(f"{x['n_name']}\n" for x in rows if x["n_regionkey"] == r).encode()
-            info = tarfile.TarInfo("region.log")
-            info.size = len(text)
-            t.addfile(info, io.BytesIO(text))
-    with open(f"{folder}/cut.log.xz", "wb") as f:
-        f.write(lzma.compress(b"lost\n")[:20])
-    return folder
+    """Sources with their sizes by rules on folders, files and members; archives are indexed, not read."""
+    return list_sources([_archives(spark, sf_dir)], Matcher(["*.tmp", "*.gz", "*.bz2", "*.xz", "!*.tar.xz", "/2/**"]), spark=spark).to_df(spark).select("alias", "kind", "size")
 
 
-_MEMBERS = "n AS (SELECT n_regionkey AS file_idx, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS line_no, n_name AS line FROM nation)"
+@query("lines_of_sources", f"WITH {_SOURCES} SELECT source AS alias, line FROM f WHERE source LIKE '1/%' AND kind IN ('.log', '.zip')")
+def lines_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data source itself; the predicate on aliases chooses sources before any is opened."""
+    scan.register(spark)
+    rows = spark.read.format("weft_lines").option("exclude", '["*.tmp", "*.log.*", "*.tar*"]').option("split_bytes", 40_009).load(_archives(spark, sf_dir))
+    return rows.where("error IS NULL").where(F.col("alias").startswith("1/")).select("alias", "line")
 
 
-@query("archive_repeated_members", f"WITH {_MEMBERS} SELECT CAST(file_idx AS INTEGER) AS file_idx, line_no, line FROM n")
+def _repeated_members(name: str, lines: list[str], types: list[str]) -> bytes:
+    """A tar with a member for each event type, all of one name."""
+    return _tarred([("x.log", "".join(f"{x}\n" for x, y in zip(lines, types, strict=True) if y == t).encode()) for t in TYPES], "w:gz")
+
+
+@query("archive_repeated_members", f"WITH {_CUT} SELECT CAST(k * 5 + file_idx AS INTEGER) AS file_idx, row_number() OVER (PARTITION BY k, file_idx ORDER BY event_id) - 1 AS line_no, line FROM s")
 def archive_repeated_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Merge(spark, [_repeated_members(spark, sf_dir)]).parsed().select("file_idx", "line_no", "line")
+    folder = _written(spark, sf_dir, _repeated_members, lambda k: f"{k:06d}.tgz")
+    return Merge(spark, [folder]).parsed().select("file_idx", "line_no", "line")
+
 
+def _damaged(name: str, lines: list[str], _: list[str]) -> bytes:
+    """Half of the lines, then what can't be decoded any more."""
+    half = len(lines) // 2
+    good, bad = (b"".join(f"{x}\n".encode() for x in own) for own in (lines[:half], lines[half:]))
+    if name.endswith(".gz"):
+        z = zlib.compressobj(wbits=31)
+        return z.compress(good) + z.flush(zlib.Z_FULL_FLUSH)
+    pack = bz2.compress if name.endswith(".bz2") else lzma.compress
+    return pack(good) + pack(bad)[:20]
 
-@query("source_errors", "SELECT 'cut.log.xz' AS name, CAST(0 AS BIGINT) AS line_no")
+
+_BROKEN = (".log.gz", ".log.bz2", ".log.xz")
+_CUTS = f"{_E}, k AS (SELECT event_id, line, lpad(CAST(event_id // {_PART} AS VARCHAR), 6, '0') || {list(_BROKEN)}[CAST((event_id // {_PART}) % 3 + 1 AS INTEGER)] AS name, row_number() OVER (PARTITION BY event_id // {_PART} ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_id // {_PART}) // 2 AS n FROM e)"
+
+
+def _cut_files(spark: SparkSession, sf_dir: str) -> Merge:
+    return Merge(spark, [_written(spark, sf_dir, _damaged, lambda k: f"{k:06d}{_BROKEN[k % 3]}")])
+
+
+@query("source_errors", f"WITH {_CUTS} SELECT DISTINCT name, n AS line_no FROM k")
 def source_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Merge(spark, [_repeated_members(spark, sf_dir)]).errors().select(F.element_at(F.split("path", "/"), -1).alias("name"), "line_no")
+    """Where each damaged file ends: after all lines that can be decoded."""
+    return _cut_files(spark, sf_dir).errors().select(F.element_at(F.split("path", "/"), -1).alias("name"), "line_no")
+
+
+@query("lines_before_damage", f"WITH {_CUTS} SELECT name AS alias, i AS line_no, line FROM k WHERE i < n")
+def lines_before_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _cut_files(spark, sf_dir)
+    return m.parsed().join(m.files.select("file_idx", "alias"), "file_idx").select("alias", "line_no", "line")
 
 
 # Streaming
