@@ -5,7 +5,14 @@ predicates on headers are pushed down; a record's header is parsed first, and th
 that a predicate leaves out, or all blocks with the option payload=none, is passed over: by a seek in
 plain files and in members that carry their length (the public `sl` extra field of gzip, which the
 writer sets), else by inflating without keeping. Options: path (a file or folder), payload (bytes or
-none), partition_bytes.
+none), partition_bytes, damage (fail or row).
+
+A record that isn't whole (cut anywhere, a header without an end or a length, no closing line, a member
+that doesn't inflate or whose checksum doesn't hold, a block with another SHA-256 than its header's)
+never reads as one. It fails the query with the file and the byte where it begins, or with damage=row is a
+row whose column error tells that and whose others are null. The records before it are there, those
+behind it are not, as nothing tells where they begin; behind a block whose digest alone is wrong they
+are. Of blocks that are passed over only the lengths are checked. Zeros behind the last member are no damage.
 
 Writing: each task writes files of about `file_bytes`, which are a partition's size, one gzip member
 for each record, under a name of its own; a commit moves them in and deletes what lost or failed
@@ -23,6 +30,7 @@ names that clash don't matter.
 
 from __future__ import annotations
 
+import hashlib
 import operator
 import re
 import struct
@@ -45,6 +53,9 @@ HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_ur
 SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", payload_length long, payload binary"
 #: A header of our own: the bytes of the full payload, also where a revisit does not hold them.
 LENGTH = "X-Payload-Length"
+BLOCK = "WARC-Block-Digest"
+#: A header is shorter than this.
+MOST_HEADER = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARTITION_BYTES = 64_000_000
 FILE_BYTES = PARTITION_BYTES
@@ -83,86 +94,170 @@ def parse_headers(head: bytes) -> dict[str, str]:
     return {k.strip().lower().decode(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines[1:] if x)}
 
 
-class _Plain:
-    """Records of an uncompressed file."""
-
-    def __init__(self, file: pa.NativeFile):
-        self.file = file
-
-    def __iter__(self) -> Iterator[tuple[bytes, Callable[[int], bytes]]]:
-        at, size = 0, self.file.size()
-        while at < size:
-            self.file.seek(at)
-            head = b""
-            while b"\r\n\r\n" not in head:
-                more = self.file.read(2048)
-                if not more:
-                    break
-                head += more
-            head = head.lstrip(b"\r\n") if not head.startswith(b"WARC/") else head
-            if b"\r\n\r\n" not in head:
-                return
-            end = head.index(b"\r\n\r\n")
-            skipped = self.file.tell() - at - len(head)
-            start = at + skipped + end + 4
-            length = int(parse_headers(head[:end])["content-length"])
-            yield head[:end], lambda n, start=start: self._block(start, n)
-            at = start + length + 4
-
-    def _block(self, start: int, n: int) -> bytes:
-        self.file.seek(start)
-        return self.file.read(n)
-
-
-class _Gzip:
-    """Records of a file with a gzip member for each."""
+class Damage(ValueError):
+    """What is wrong with an archive, and at which byte its record (or that record's gzip member) begins."""
+
+    def __init__(self, at: int, what: str):
+        super().__init__(f"the record at byte {at} is damaged: {what}")
+
+
+class Records:
+    """The records of a file: header(), then block() or passed(), again and again. Damage is raised where a record isn't whole: cut anywhere, its
+    header without an end or a length, without its closing line, a gzip member that doesn't inflate or
+    whose checksum doesn't hold. Of what is passed over only the lengths are checked.
+    """
 
     def __init__(self, file: pa.NativeFile, piece: int = 16_384):
-        self.file, self.piece = file, piece
-
-    def __iter__(self) -> Iterator[tuple[bytes, Callable[[int], bytes]]]:
-        at, size = 0, self.file.size()
-        while at < size:
-            self.file.seek(at)
-            raw = self.file.read(self.piece)
-            length = None
-            if len(raw) > 24 and raw[3] & 4 and raw[12:14] == b"sl":
-                length = struct.unpack("<I", raw[16:20])[0]
-            inflate = zlib.decompressobj(31)
-            out = inflate.decompress(raw, self.piece)
-            used = len(raw)
-            pending = inflate.unconsumed_tail
-
-            def more(inflate=inflate) -> bytes:
-                nonlocal pending, used
-                if not pending and not inflate.eof:
-                    pending = self.file.read(self.piece)
-                    used += len(pending)
-                got = inflate.decompress(pending, 1 << 20)
-                pending = inflate.unconsumed_tail
-                return got
-
-            while b"\r\n\r\n" not in out and not inflate.eof and (pending or used + at < size):
-                out += more()
-            if b"\r\n\r\n" not in out:
-                return
-            end = out.index(b"\r\n\r\n")
-            body = [out[end + 4 :]]
-
-            def block(n: int, inflate=inflate, body=body) -> bytes:
-                have = len(body[0])
-                while have < n and not inflate.eof:
-                    body.append(more(inflate))
-                    have += len(body[-1])
-                return b"".join(body)[:n]
-
-            yield out[:end], block
-            if length:
-                at += length
-            else:
-                while not inflate.eof and (pending or used + at < size):
-                    more()
-                at += used - len(inflate.unused_data)
+        self.file, self.size, self.piece = file, file.size(), piece
+        self.held, self.at = bytearray(), 0
+        self.start()
+
+    def start(self) -> None:
+        self.file.seek(0)
+
+    def more(self) -> bytes:
+        """The next decoded bytes; none at the end."""
+        return self.file.read(self.piece)
+
+    def place(self) -> int:
+        """The byte of the file where what is held begins."""
+        return self.file.tell() - len(self.held)
+
+    def jump(self, n: int) -> bool:
+        """Passes over n bytes behind what is held, without reading them, if that can be done."""
+        if self.file.tell() + n > self.size:
+            raise Damage(self.at, "it is cut")
+        self.file.seek(self.file.tell() + n)
+        return True
+
+    def fill(self, n: int) -> bool:
+        while len(self.held) < n:
+            data = self.more()
+            if not data:
+                return False
+            self.held += data
+        return True
+
+    def take(self, n: int) -> bytes:
+        if not self.fill(n):
+            raise Damage(self.at, "it is cut")
+        data = bytes(memoryview(self.held)[:n])
+        del self.held[:n]
+        return data
+
+    def skip(self, n: int) -> None:
+        if n > len(self.held) and self.jump(n - len(self.held)):
+            self.held.clear()
+            return
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held.clear()
+            if not self.fill(1):
+                raise Damage(self.at, "it is cut")
+        del self.held[:n]
+
+    def head(self) -> bytes | None:
+        """The next header, without its end; None behind the last record."""
+        while self.fill(1) and self.held[0] in b"\r\n":
+            del self.held[:1]
+        if not self.held:
+            return None
+        self.at, seen = self.place(), 0
+        while (end := self.held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(self.held)
+            if seen > MOST_HEADER or not self.fill(seen + 1):
+                raise Damage(self.at, "its header has no end")
+        return self.take(end + 4)[:-4]
+
+    def header(self) -> tuple[dict[str, str], int] | None:
+        """The next record's headers and the length of its block; None behind the last record."""
+        head = self.head()
+        if head is None:
+            return None
+        try:
+            headers = parse_headers(head)
+            length = int(headers["content-length"])
+        except (KeyError, ValueError):
+            length = -1
+        if length < 0:
+            raise Damage(self.at, "its header is none")
+        return headers, length
+
+    def block(self, length: int) -> bytes:
+        """The record's block; what closes the record is read and checked too."""
+        data = self.take(length)
+        if self.take(4) != b"\r\n\r\n":
+            raise Damage(self.at, "its closing line is missing")
+        self.finish()
+        return data
+
+    def passed(self, length: int) -> None:
+        """Goes on to the next record."""
+        self.skip(length + 4)
+        if not self.held and not self.jump(0):
+            self.finish()
+
+    def finish(self) -> None:
+        """Reads on to where what holds the record ends."""
+
+
+class _Gzip(Records):
+    """The same of gzip members, one for each record or for many; a member that carries its lengths is passed over by a seek."""
+
+    def start(self) -> None:
+        self.next, self.member, self.inflate, self.raw = 0, 0, None, b""
+
+    def place(self) -> int:
+        return self.member
+
+    def more(self) -> bytes:
+        while True:
+            if self.inflate is None:
+                self.file.seek(self.next)
+                self.raw = self.file.read(self.piece)
+                if not self.raw.strip(b"\0") and self.next + len(self.raw) >= self.size:
+                    return b""
+                self.member, self.inflate, self.lengths, self.given = self.next, zlib.decompressobj(31), None, 0
+                if len(self.raw) > 24 and self.raw[:3] == b"\x1f\x8b\x08" and self.raw[3] & 4 and self.raw[12:16] == b"sl\x08\0":
+                    self.lengths = struct.unpack("<II", self.raw[16:24])
+            if out := self.step():
+                return out
+
+    def step(self) -> bytes:
+        """The next bytes of the member, which may be none; it is left at its end."""
+        if not self.raw:
+            self.raw = self.file.read(self.piece)
+            if not self.raw:
+                raise Damage(self.member, "it is cut")
+        try:
+            out = self.inflate.decompress(self.raw, 1 << 20)
+        except zlib.error as error:
+            raise Damage(self.member, str(error)) from error
+        self.raw = self.inflate.unconsumed_tail
+        self.given += len(out)
+        if self.inflate.eof:
+            self.next, self.inflate = self.file.tell() - len(self.inflate.unused_data), None
+        return out
+
+    def finish(self) -> None:
+        while self.inflate is not None and not self.held:
+            self.held += self.step()
+
+    def jump(self, n: int) -> bool:
+        if self.inflate is None:
+            return n == 0
+        if not self.lengths or self.given + n != self.lengths[1]:
+            return False
+        if self.member + self.lengths[0] > self.size:
+            raise Damage(self.member, "it is cut")
+        self.next, self.inflate = self.member + self.lengths[0], None
+        return True
+
+
+def digest_holds(headers: dict[str, str], block: bytes) -> bool:
+    """Whether a block has the SHA-256 that its header tells, if it tells one."""
+    named, _, want = headers.get("warc-block-digest", "").partition(":")
+    return named.lower() != "sha256" or hashlib.sha256(block).hexdigest() == want.lower()
 
 
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
@@ -206,6 +301,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.payload = options.get("payload", "bytes") != "none"
+        self.keep = options.get("damage", "fail") == "row"
         self.size = int(options.get("partition_bytes", PARTITION_BYTES))
         self.filters: list[Filter] = []
 
@@ -236,26 +332,44 @@ class WarcReader(DataSourceReader):
         held = 0
         for path in partition.paths:
             with store.open_input_file(path) as file:
-                for head, block in (_Gzip if path.endswith(".gz") else _Plain)(file):
-                    headers = parse_headers(head)
-                    length = int(headers["content-length"])
-                    row = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
-                    own = headers.get(LENGTH.lower())
-                    row["payload_length"] = int(own) if own else None
-                    if not all(passes(f, row) for f in self.filters):
-                        continue
-                    data = payload_of(headers, block(length)) if self.payload else None
-                    rows.append((*row.values(), data))
+                for row, data, error in self._rows((_Gzip if path.endswith(".gz") else Records)(file)):
+                    if error and not self.keep:
+                        raise ValueError(f"{path}: {error}") from error
+                    rows.append((*row.values(), data, error and f"{path}: {error}"))
                     held += len(data or b"") + 500
                     if held > 4_000_000:
                         yield self._batch(rows)
                         rows, held = [], 0
         yield self._batch(rows)
 
+    def _rows(self, records: Records) -> Iterator[tuple[dict[str, Any], bytes | None, Damage | None]]:
+        """(columns of the header, payload, damage) of the records that pass, each when it has been checked."""
+        nothing = dict.fromkeys([*HEADERS, "payload_length"])
+        try:
+            while (found := records.header()) is not None:
+                headers, length = found
+                own = headers.get(LENGTH.lower())
+                row = {c: headers.get(h.lower()) for c, h in HEADERS.items()} | {"payload_length": int(own) if own and own.isdigit() else None}
+                wanted = all(passes(f, row) for f in self.filters)
+                if not wanted or not self.payload:
+                    records.passed(length)
+                    if wanted:
+                        yield row, None, None
+                    continue
+                block = records.block(length)
+                if digest_holds(headers, block):
+                    yield row, payload_of(headers, block), None
+                else:
+                    yield nothing, None, Damage(records.at, "its block has another digest")
+        except Damage as error:
+            yield nothing, None, error
+
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [*[pa.string()] * len(HEADERS), pa.int64(), pa.binary()]
+        kinds = [*[pa.string()] * len(HEADERS), pa.int64(), pa.binary(), pa.string()]
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*HEADERS, "payload_length", "payload"])
+        names = [*HEADERS, "payload_length", "payload", "error"]
+        k = len(kinds) if self.keep else len(kinds) - 1
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:k], kinds[:k], strict=True)], names=names[:k])
 
 
 @dataclass
@@ -298,6 +412,8 @@ class WarcWriter(DataSourceArrowWriter):
         headers = {h: row.get(c) for c, h in HEADERS.items()} | {LENGTH: row.get("payload_length")}
         revisit = row.get("record_type") == "revisit"
         block = http_block(b"" if revisit else payload, row.get("payload_length")) if (row.get("content_type") or "").startswith("application/http") else payload
+        if not self.gzip:  # members have checksums
+            headers[BLOCK] = f"sha256:{hashlib.sha256(block).hexdigest()}"
         data = record(headers, block)
         return member(data) if self.gzip else data
 
@@ -326,7 +442,7 @@ class WarcSource(DataSource):
         return "warc"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + (", error string" if self.options.get("damage") == "row" else "")
 
     def reader(self, schema: Any) -> WarcReader:
         return WarcReader(self.options)
