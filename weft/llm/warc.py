@@ -215,7 +215,10 @@ class _Gzip(Records):
             if self.inflate is None:
                 self.file.seek(self.next)
                 self.raw = self.file.read(self.piece)
-                if not self.raw.strip(b"\0") and self.next + len(self.raw) >= self.size:
+                while self.raw and not self.raw.strip(b"\0"):  # padding
+                    self.next += len(self.raw)
+                    self.raw = self.file.read(self.piece)
+                if not self.raw:
                     return b""
                 self.member, self.inflate, self.lengths, self.given = self.next, zlib.decompressobj(31), None, 0
                 if len(self.raw) > 24 and self.raw[:3] == b"\x1f\x8b\x08" and self.raw[3] & 4 and self.raw[12:16] == b"sl\x08\0":
