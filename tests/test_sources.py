@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from weft import cli
+from weft.operators.render import RenderOptions
 from weft.plans.merge import Merge, MergeOptions
 from weft.sources import codecs, listing, scan
 from weft.sources.listing import Listing, Source, list_sources
@@ -95,11 +96,11 @@ def test_a_large_xz_file_is_read_by_many_tasks(spark, tmp_path):
     data = one_stream(parts)
     assert lzma.decompress(data) == b"".join(parts)
     (tmp_path / "big.log.xz").write_bytes(data)
-    m = Merge(spark, [str(tmp_path)], MergeOptions(packed_bytes=3000))
-    rows = m._read().withColumn("task", F.spark_partition_id()).orderBy("line_no").collect()
+    found = list_sources([str(tmp_path)], spark=spark)
+    rows = scan.read_lines(spark, found, packed=3000).withColumn("task", F.spark_partition_id()).orderBy("line_no").collect()
     assert [r["line"] for r in rows] == b"".join(parts).decode().splitlines() and [r["line_no"] for r in rows] == list(range(36_000))
     assert len({r["task"] for r in rows}) >= 3
-    sparse = Merge(spark, [str(tmp_path)], MergeOptions(packed_bytes=3000, dense_lines=False))._read().orderBy("line_no").collect()
+    sparse = Merge(spark, [str(tmp_path)], MergeOptions(packed_bytes=3000, dense_lines=False)).parsed().orderBy("line_no").collect()
     assert [r["line"] for r in sparse] == [r["line"] for r in rows] and sparse[-1]["line_no"] > 36_000
 
 
@@ -224,8 +225,7 @@ def test_members_of_one_archive_are_read_by_many_tasks(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for k in range(8):
             z.writestr(f"{k}.log", f"member {k}\n" * 5000, [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA][k % 4])
-    m = Merge(spark, [str(tmp_path)])
-    rows = m._read().withColumn("task", F.spark_partition_id()).groupBy("file_idx", "line").agg(F.count("*").alias("n"), F.max("task").alias("task")).orderBy("file_idx").collect()
+    rows = scan.read_lines(spark, list_sources([str(tmp_path)], spark=spark)).withColumn("task", F.spark_partition_id()).groupBy("file_idx", "line").agg(F.count("*").alias("n"), F.max("task").alias("task")).orderBy("file_idx").collect()
     assert [(r["line"], r["n"]) for r in rows] == [(f"member {k}", 5000) for k in range(8)] and len({r["task"] for r in rows}) >= 3
 
 
@@ -256,3 +256,25 @@ def test_stores_of_ones_own_and_uris(spark, tmp_path):
         assert [r["line"] for r in one.collect()] == ["member"] and one.rdd.getNumPartitions() == 1
         assert df.where(F.col("source_path").startswith(f"{path}/deep")).count() == 3000
         assert df.where(F.col("alias").isin("z.zip!/m.log", "none")).count() == 1 and df.where("file_idx = 0").count() == 1000
+
+
+def test_sources_are_read_and_parsed_once(spark, tmp_path):
+    """Counters are observed by the job that writes; when sources are gone, all that is known of them is still there."""
+    rng, folder = random.Random(2), tmp_path / "in"
+    folder.mkdir()
+    for name in "abc":
+        (folder / f"{name}.log").write_text("".join(f"2031-01-01 00:{rng.randrange(60):02d}:{rng.randrange(60):02d} INFO {name}{i}\n" if rng.random() < 0.8 else f"  more of {name}\n" for i in range(700)))
+    (folder / "d.log.gz").write_bytes(gzip.compress(b"2031-01-01 00:30:00 cut off\n" * 99)[:-9])
+    render = RenderOptions(write_timestamp=True, write_level=True, write_line_alias=True, strip_timestamp=True)
+    for options in (MergeOptions(render=render, split_bytes=1500), MergeOptions(render=render, since=1_924_993_800_000_000_000, until=1_924_995_000_000_000_000, drop_orphans=True)):
+        with Merge(spark, [str(folder)], options) as first:
+            want = [list(first.lines()), first.counters().first(), first.input_counters().first(), sorted(first.histograms().collect(), key=repr), first.errors().collect()]
+        m = Merge(spark, [str(folder)], options)
+        m.write(str(tmp_path / "out"))
+        (tmp_path / "in").rename(tmp_path / "gone")
+        text = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+        assert m._counted is not None
+        got = [list(m.lines()), m.counters().first(), m.input_counters().first(), sorted(m.histograms().collect(), key=repr), m.errors().collect()]
+        assert text == want[0] and got == want and len(text) > 100
+        m.close()
+        (tmp_path / "gone").rename(tmp_path / "in")

@@ -56,35 +56,48 @@ def configure(args: list[str]) -> Config:
     return base.overlaid(given)
 
 
+def run(merge: Merge, c: Config, began: int) -> None:
+    """What the command line asks of a merge."""
+    if c.dry_run:
+        for s in merge.listing.sources:
+            print(s.source_path)
+    elif c.output:
+        merge.write(c.output)
+    else:
+        for line in merge.lines():
+            print(line)
+    took = time.monotonic_ns() - began
+    damaged = merge.listing.errors if c.dry_run else [(r["path"], r["error"]) for r in merge.errors().toLocalIterator()]
+    for path, error in damaged:
+        print(f"weft: {path}: {error}", file=sys.stderr)
+    if c.metrics:
+        report = json.dumps(measured(merge, took) | {"errors": damaged})
+        if c.log:
+            with open(c.log, "w", encoding="utf-8") as f:
+                f.write(report + "\n")
+        else:
+            print(report, file=sys.stderr)
+
+
+def measured(merge: Merge, took: int) -> dict[str, Any]:
+    """Counters, histograms and speeds; the sources aren't read or parsed again."""
+    listing = merge.listing
+    files = {"dirs_scanned": listing.dirs_scanned, "files_scanned": listing.files_scanned, "files_matched": len(listing.sources)}
+    counted = merge.counters().first().asDict() | merge.input_counters().first().asDict()
+    speed = {"duration": metrics.human_time(took), "lines_speed": metrics.per_second(counted["lines_read"], took), "bytes_speed": metrics.per_second(counted["bytes_read"], took, 1024)}
+    histograms: dict[str, dict[str, int]] = {}
+    for r in merge.histograms().orderBy("name", F.col("le").asc_nulls_last()).collect():  # as many rows as levels at most
+        histograms.setdefault(r["name"], {})["more" if r["le"] is None else str(r["le"])] = r["n"]
+    return counted | files | speed | {"histograms": histograms}
+
+
 def main(args: list[str] | None = None) -> int:
     try:
         c = configure(sys.argv[1:] if args is None else args)
         began = time.monotonic_ns()
         spark = SparkSession.builder.appName("weft").config("spark.ui.showConsoleProgress", str(c.progress).lower()).getOrCreate()
-        merge = Merge(spark, c.inputs, c.merge_options(), c.exclude, c.aliases, c.ignore_archives, c.follow_symlinks)
-        if c.dry_run:
-            for s in merge.listing.sources:
-                print(s.source_path)
-        elif c.output:
-            merge.write(c.output)
-        else:
-            for line in merge.lines():
-                print(line)
-        if c.metrics:
-            listing = merge.listing
-            files = {"dirs_scanned": listing.dirs_scanned, "files_scanned": listing.files_scanned, "files_matched": len(listing.sources), "errors": listing.errors}
-            took = time.monotonic_ns() - began
-            counted = merge.counters().first().asDict() | merge.input_counters().first().asDict()
-            speed = {"duration": metrics.human_time(took), "lines_speed": metrics.per_second(counted["lines_read"], took), "bytes_speed": metrics.per_second(counted["bytes_read"], took, 1024)}
-            histograms: dict[str, dict[str, int]] = {}
-            for r in merge.histograms().orderBy("name", F.col("le").asc_nulls_last()).collect():  # as many rows as levels at most
-                histograms.setdefault(r["name"], {})["more" if r["le"] is None else str(r["le"])] = r["n"]
-            report = json.dumps(counted | files | speed | {"histograms": histograms})
-            if c.log:
-                with open(c.log, "w", encoding="utf-8") as f:
-                    f.write(report + "\n")
-            else:
-                print(report, file=sys.stderr)
+        with Merge(spark, c.inputs, c.merge_options(), c.exclude, c.aliases, c.ignore_archives, c.follow_symlinks) as merge:
+            run(merge, c, began)
         return 0
     except (OSError, ValueError, PySparkException, Py4JError) as error:
         print(f"weft: {error}", file=sys.stderr)

@@ -56,8 +56,8 @@ def block_sizes(positioned: DataFrame) -> DataFrame:
     return positioned.groupBy("block_id").agg(F.count("*").alias("n"))
 
 
-def counters(rendered: DataFrame, options: RenderOptions, width: int = 0) -> DataFrame:
-    """One row of line and byte counters of timeline rows with body (and block_start for block headers)."""
+def counter_columns(options: RenderOptions, width: int = 0) -> list[Column]:
+    """The line and byte counters of timeline rows with body (and block_start for block headers), as aggregates."""
     of = lambda **on: F.sum(F.octet_length(prefix(RenderOptions(**on), width))).cast("bigint") if on else F.lit(0)
     blocks = F.sum(F.when(F.col("block_start"), F.octet_length(header(F.col("alias")))).otherwise(0)) if options.write_block_alias else F.lit(0)
     parts = {
@@ -72,9 +72,17 @@ def counters(rendered: DataFrame, options: RenderOptions, width: int = 0) -> Dat
         "bytes_block_alias": blocks,
         "bytes_missing_newlines": F.count_if(~F.col("eol").endswith("\n")),
     }
-    out = rendered.agg(*[F.coalesce(v, F.lit(0)).cast("bigint").alias(k) for k, v in parts.items()])
+    return [F.coalesce(v, F.lit(0)).cast("bigint").alias(k) for k, v in parts.items()]
+
+
+def with_totals(counted: DataFrame) -> DataFrame:
     total = F.col("bytes_raw") + F.col("bytes_timestamps") + F.col("bytes_levels") + F.col("bytes_line_alias") + F.col("bytes_block_alias") + F.col("bytes_missing_newlines")
-    return out.withColumn("bytes_output", total).withColumn("bytes_overhead", F.col("bytes_output") - F.col("bytes_raw"))
+    return counted.withColumn("bytes_output", total).withColumn("bytes_overhead", F.col("bytes_output") - F.col("bytes_raw"))
+
+
+def counters(rendered: DataFrame, options: RenderOptions, width: int = 0) -> DataFrame:
+    """One row of counter_columns() with their totals."""
+    return with_totals(rendered.agg(*counter_columns(options, width)))
 
 
 def input_counters(unbounded: DataFrame, options: MergeOptions) -> DataFrame:

@@ -77,17 +77,19 @@ def header(alias: Column) -> Column:
     return F.concat(F.lit(HEADER[0]), alias, F.lit(HEADER[1]))
 
 
-def render(df: DataFrame, options: RenderOptions, width: int = 0) -> DataFrame:
-    """out_pos, part (0: header, 1: line) and text of all rows of output; headers need with_blocks().
+def render(df: DataFrame, options: RenderOptions, width: int = 0, bodies: bool = False) -> DataFrame:
+    """out_pos (if df has it), part (0: header, 1: line) and text of all rows of output; headers need with_blocks().
 
     A line that ended in a carriage return (with byte fidelity) keeps it; the sink adds the newline.
+    bodies: df has its bodies already.
     """
     ending = F.when(F.col("eol").startswith("\r"), "\r").otherwise("") if "eol" in df.columns else F.lit("")
     text = F.concat(prefix(options, width), F.col("body"), ending)
-    lines = with_body(df, options)
+    lines = df if bodies else with_body(df, options)
+    place = [c for c in ("out_pos",) if c in df.columns]
     if not options.write_block_alias:
-        return lines.select("out_pos", F.lit(1).alias("part"), text.alias("text"))
+        return lines.select(*place, F.lit(1).alias("part"), text.alias("text"))
     row = F.struct(F.lit(1).alias("part"), text.alias("text"))
     head = F.struct(F.lit(0).alias("part"), F.rtrim(header(F.col("alias")), F.lit("\n")).alias("text"))
     rows = F.when(F.col("block_start"), F.array(head, row)).otherwise(F.array(row))
-    return lines.select("out_pos", F.explode(rows).alias("r")).select("out_pos", "r.part", "r.text")
+    return lines.select(*place, F.explode(rows).alias("r")).select(*place, "r.part", "r.text")

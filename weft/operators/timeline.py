@@ -9,14 +9,22 @@ carried into it come from a window over the chunks' totals, one row each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weft.operators.storage import stored
 
 #: Lines of a chunk.
 CHUNK = 100_000
+_NONE = -(1 << 63)  # no timestamp: years end in 2050
 
 
 def with_running(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -25,13 +33,47 @@ def with_running(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     Lines are parsed once: the chunks' own values are stored, and what follows reads them.
     """
     in_chunk = Window.partitionBy("file_idx", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("file_idx").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     own = df.withColumn("_chunk", F.floor(F.col("line_no") / chunk))
     run = stored(own.withColumns({"_own_max": F.max("ts_ns").over(in_chunk), "_own_last": F.last("ts_ns", True).over(in_chunk)}))
+    return carried(run).select(*df.columns, "block_ts", "merge_key")
+
+
+def carried(run: DataFrame) -> DataFrame:
+    """block_ts and merge_key from the chunks' own values (_chunk, _own_max, _own_last) and those of the chunks before them."""
+    before = Window.partitionBy("file_idx").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = run.groupBy("file_idx", "_chunk").agg(F.max("_own_max").alias("_max"), F.max_by("_own_last", "line_no").alias("_last"))
-    carried = totals.select("file_idx", "_chunk", F.max("_max").over(before).alias("_max"), F.last("_last", True).over(before).alias("_last"))
+    into = totals.select("file_idx", "_chunk", F.max("_max").over(before).alias("_max"), F.last("_last", True).over(before).alias("_last"))
     key = F.coalesce(F.greatest("_own_max", "_max"), F.lit(0)).cast("bigint")
-    return run.join(carried, ["file_idx", "_chunk"]).withColumns({"block_ts": F.coalesce("_own_last", "_last"), "merge_key": key}).select(*df.columns, "block_ts", "merge_key")
+    return run.join(into, ["file_idx", "_chunk"]).withColumns({"block_ts": F.coalesce("_own_last", "_last"), "merge_key": key}).drop("_chunk", "_own_max", "_own_last", "_max", "_last")
+
+
+def in_read_order(df: DataFrame) -> DataFrame:
+    """df with _chunk, _own_max and _own_last, where each partition holds stretches of files in their order, as the line source reads them.
+
+    A partition is a chunk of each of its files, so nothing is shuffled or sorted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, last_file, top, last = TaskContext.get().partitionId(), None, _NONE, _NONE
+        for b in batches:
+            if not b.num_rows:
+                continue
+            files = b["file_idx"].to_numpy()
+            ts = pc.fill_null(b["ts_ns"], _NONE).to_numpy()
+            tops, lasts = np.empty(len(ts), np.int64), np.empty(len(ts), np.int64)
+            starts = [0, *(np.flatnonzero(np.diff(files)) + 1).tolist(), len(ts)]
+            for x, y in zip(starts, starts[1:], strict=False):
+                if files[x] != last_file:
+                    last_file, top, last = files[x], _NONE, _NONE
+                tops[x:y] = np.maximum(np.maximum.accumulate(ts[x:y]), top)
+                at = np.maximum.accumulate(np.where(ts[x:y] == _NONE, -1, np.arange(y - x)))
+                lasts[x:y] = np.where(at < 0, last, ts[x:y][at])
+                top, last = tops[y - 1], lasts[y - 1]
+            own = [pa.array(np.full(len(ts), chunk, np.int64)), *(pa.array(v, mask=v == _NONE) for v in (tops, lasts))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*b.schema.names, "_chunk", "_own_max", "_own_last"])
+
+    fields = [T.StructField(c, T.LongType()) for c in ("_chunk", "_own_max", "_own_last")]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
 def bounded(df: DataFrame, since: int | None = None, until: int | None = None, drop_orphans: bool = False) -> DataFrame:

@@ -476,15 +476,25 @@ def numbered(spark: SparkSession, found: list[Range], store: str = "", dense: bo
     return found
 
 
+def read_rows(spark: SparkSession, listing: Listing, byte_fidelity: bool = False, dense: bool = True, split: int = SPLIT_BYTES, packed: int = PACKED_BYTES) -> DataFrame:
+    """raw_lines of a listing with error: a damaged source's last row has one, and no line. Partitions hold stretches of sources in their order."""
+    found = numbered(spark, ranges(listing, split, packed, spark), listing.store, dense)
+    return _scan(spark, found, "lines", listing.store, byte_fidelity)
+
+
 def read_lines(spark: SparkSession, listing: Listing, byte_fidelity: bool = False, dense: bool = True, split: int = SPLIT_BYTES, packed: int = PACKED_BYTES) -> DataFrame:
     """raw_lines of a listing."""
-    found = numbered(spark, ranges(listing, split, packed, spark), listing.store, dense)
-    return _scan(spark, found, "lines", listing.store, byte_fidelity).where("error IS NULL").drop("error")
+    return read_rows(spark, listing, byte_fidelity, dense, split, packed).where("error IS NULL").drop("error")
 
 
-def read_errors(spark: SparkSession, listing: Listing, split: int = SPLIT_BYTES, packed: int = PACKED_BYTES) -> DataFrame:
-    """path, line_no (the lines read before it) and error of damaged sources: those found on listing, and those met while reading."""
+def errors_of(rows: DataFrame, listing: Listing) -> DataFrame:
+    """path, line_no (the lines read before it) and error of damaged sources: those found on listing, and those met in rows."""
+    spark = rows.sparkSession
     listed = spark.createDataFrame([(p, None, e) for p, e in listing.errors], "path string, line_no bigint, error string")
     files = listing.to_df(spark).select("file_idx", F.col("source_path").alias("path"))
-    met = _scan(spark, numbered(spark, ranges(listing, split, packed, spark), listing.store), "errors", listing.store)
-    return listed.unionByName(met.join(files, "file_idx").select("path", "line_no", "error"))
+    return listed.unionByName(rows.where("error IS NOT NULL").join(files, "file_idx").select("path", "line_no", "error"))
+
+
+def read_errors(spark: SparkSession, listing: Listing, split: int = SPLIT_BYTES, packed: int = PACKED_BYTES) -> DataFrame:
+    """errors_of() all sources, by a reading of their own."""
+    return errors_of(_scan(spark, numbered(spark, ranges(listing, split, packed, spark), listing.store), "errors", listing.store), listing)
