@@ -30,6 +30,8 @@ from weft.sources import scan
 from weft.sources.listing import list_sources
 from weft.sources.match import ARCHIVES, Matcher
 from weft.sources.stores import store_of
+from weft.streaming import growing
+from weft.streaming.merge import StreamMerge
 from weft.streaming.timeline import event_counts, streaming_timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -417,9 +419,10 @@ _PART = 1000  # events of a file
 _HALF = _PART // 2
 
 
-def _written(spark: SparkSession, sf_dir: str, write: Callable[[str, list[str], list[str]], bytes], names: Callable[[int], str]) -> str:
-    """A folder of files that tasks write: one for each _PART events, in their order. write: its name, the lines and their types."""
-    folder = f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
+def _written(spark: SparkSession, sf_dir: str, write: Callable[[str, list[str], list[str]], bytes], names: Callable[[int], str], file: Column | None = None, folder: str | None = None) -> str:
+    """A folder of files that tasks write: one for each _PART events (or value of file), in their order. write: its name, the lines and their types."""
+    folder = folder or f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
+    file = F.floor(F.col("event_id") / _PART) if file is None else file
 
     def put(key: tuple, rows: pa.Table) -> pa.Table:
         name = names(key[0].as_py())
@@ -430,7 +433,7 @@ def _written(spark: SparkSession, sf_dir: str, write: Callable[[str, list[str],
             f.write(write(name, rows["line"].to_pylist(), rows["event_type"].to_pylist()))
         return pa.table({"name": [name]})
 
-    lines = _logged(_events(spark, sf_dir)).select("event_id", "event_type", "line", F.floor(F.col("event_id") / _PART).alias("_file"))
+    lines = _logged(_events(spark, sf_dir)).select("event_id", "event_type", "line", file.alias("_file"))
     lines.groupBy("_file").applyInArrow(put, "name string").count()  # the files are the result
     return folder
 
@@ -569,3 +572,25 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = event_counts(source.select(line.alias("line")), window="1 hour")
     counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.unix_seconds(F.col("window.start").cast("timestamp")).alias("start"), "level", "n")
+
+
+_GROWING = f"{_E}, g AS (SELECT *, lpad(CAST(event_id // {5 * _PART} * 5 + event_id % 5 AS VARCHAR), 6, '0') || '.log' AS name FROM e), h AS (SELECT *, max(ns) OVER (PARTITION BY name ORDER BY event_id) AS merge_key FROM g)"
+
+
+@query("stream_merge", f"WITH {_GROWING} SELECT row_number() OVER (ORDER BY merge_key, name, event_id) - 1 AS out_pos, name, line FROM h")
+def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that grow while a stream merges them: half of each is there at its first start, all at the second."""
+    growing.register(spark)
+    file, names = F.floor(F.col("event_id") / (5 * _PART)) * 5 + F.col("event_id") % 5, lambda k: f"{k:06d}.log"
+    half = lambda _, lines, types: "".join(f"{x}\n" for x in lines[: len(lines) // 2]).encode() + b"2024-01-01 00:0"
+    whole = lambda _, lines, types: "".join(f"{x}\n" for x in lines).encode()
+    state = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    merge = StreamMerge(spark, state, f"{state}/out")
+    for write in (half, whole):
+        folder = _written(spark, sf_dir, write, names, file, f"{state}/in")
+        stream = spark.readStream.format("weft_tail").option("split_bytes", 20_011).load(folder)
+        query = merge.writer(stream).trigger(availableNow=True).start()
+        query.awaitTermination()
+    merge.flush(query.lastProgress["batchId"])
+    rows = merge.rows().withColumn("name", F.element_at(F.split("path", "/"), -1))
+    return timeline.with_position(rows, ["batch", "merge_key", "path", "file_idx", "line_no"]).select("out_pos", "name", "line")
