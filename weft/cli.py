@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 import time
+from decimal import Decimal
 from typing import Any
 
 from py4j.protocol import Py4JError
@@ -19,6 +20,11 @@ from weft.plans.merge import Merge
 from weft.sources.match import read_ignore_file
 
 
+def seconds(text: str) -> int:
+    """Nanoseconds of a number of seconds."""
+    return int(Decimal(text) * 1_000_000_000)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("weft", description=__doc__, argument_default=argparse.SUPPRESS)
     p.add_argument("paths", nargs="*", help="inputs; they replace those of the configuration")
@@ -33,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--ignore-file")
     p.add_argument("--alias", action="append", help="pattern=name")
     p.add_argument("--order", choices=["stable", "replay"])
+    p.add_argument("--threshold", type=seconds, help="seconds by which order may be broken to keep lines of a source together")
     p.add_argument("--since")
     p.add_argument("--until")
     p.add_argument("--min-ts-len", type=int)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.levels import with_levels
 from weft.functions.timestamps import TimestampOptions, with_timestamps
-from weft.operators import metrics, replay, timeline
+from weft.operators import metrics, replay, slop, timeline
 from weft.operators.render import RenderOptions, alias_width, render, with_body
 from weft.sources.listing import Listing, list_sources
 from weft.sources.match import ARCHIVES, Matcher
@@ -23,6 +23,7 @@ from weft.sources.scan import PACKED_BYTES, SPLIT_BYTES, errors_of, read_rows
 class MergeOptions:
     """order: stable (by key, file and line, over any number of rows) or replay (tied files in heap order).
 
+    threshold: nanoseconds by which order may be broken to keep lines of a source together.
     dense_lines: whether lines of a source are numbered without gaps, for which files of many ranges are
     read twice. split_bytes and packed_bytes: of a range of plain and of compressed files.
     """
@@ -31,6 +32,7 @@ class MergeOptions:
     until: int | None = None
     drop_orphans: bool = False
     order: str = "stable"
+    threshold: int | None = None
     timestamps: TimestampOptions = field(default_factory=TimestampOptions)
     render: RenderOptions = field(default_factory=RenderOptions)
     byte_fidelity: bool = False
@@ -50,8 +52,10 @@ def build_timeline(parsed: DataFrame, options: MergeOptions | None = None) -> Da
     return timeline.bounded(timeline.with_running(parsed), o.since, o.until, o.drop_orphans)
 
 
-def positioned(line: DataFrame, order: str = "stable") -> DataFrame:
-    """A timeline with out_pos."""
+def positioned(line: DataFrame, order: str = "stable", threshold: int | None = None) -> DataFrame:
+    """A timeline with out_pos; with a threshold in the stable order up to it."""
+    if threshold is not None and order == "stable":
+        return slop.with_slop_position(line, threshold)
     if order == "replay":
         return timeline.with_position(replay.with_run_position(line), ["run_pos", "line_no"])
     if order != "stable":
@@ -122,7 +126,7 @@ class Merge:
     def timeline(self) -> DataFrame:
         """All columns of the merged lines: parsed values, block_ts, merge_key, alias, out_pos."""
         if self._timeline is None:
-            self._timeline = positioned(self._bounded(), self.options.order)
+            self._timeline = positioned(self._bounded(), self.options.order, self.options.threshold)
         return self._timeline
 
     def _blocks(self) -> DataFrame:
@@ -138,7 +142,7 @@ class Merge:
         Without block headers, and in the stable order, no line needs its position: lines are sorted once, as they are written.
         """
         o, width = self.options, alias_width(self.files)
-        direct = o.order == "stable" and not o.render.write_block_alias
+        direct = o.order == "stable" and o.threshold is None and not o.render.write_block_alias
         rows = self._bounded().orderBy(*timeline.order_columns()) if direct else self._blocks()
         seen = Observation()
         rows = with_body(rows, o.render).observe(seen, *metrics.counter_columns(o.render, width))

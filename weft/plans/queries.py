@@ -594,3 +594,17 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     merge.flush(query.lastProgress["batchId"])
     rows = merge.rows().withColumn("name", F.element_at(F.split("path", "/"), -1))
     return timeline.with_position(rows, ["batch", "merge_key", "path", "file_idx", "line_no"]).select("out_pos", "name", "line")
+
+
+_HOUR = 3_600_000_000_000
+_SLOP = f"""RECURSIVE {_E}, m AS (SELECT *, max(ns) OVER (PARTITION BY file_idx ORDER BY line_no) // {_HOUR} AS slot FROM e),
+l AS (SELECT slot, max(file_idx) AS largest FROM m GROUP BY slot), t AS (SELECT m.slot, max(file_idx) AS second FROM m JOIN l ON m.slot = l.slot AND file_idx < largest GROUP BY m.slot),
+s AS (SELECT l.slot, largest, second, row_number() OVER (ORDER BY l.slot) AS i FROM l LEFT JOIN t ON l.slot = t.slot),
+r AS (SELECT i, slot, CAST(NULL AS INTEGER) AS first, largest AS last FROM s WHERE i = 1 UNION ALL SELECT s.i, s.slot, r.last, CASE WHEN r.last = s.largest AND s.second IS NOT NULL THEN s.second ELSE s.largest END FROM r JOIN s ON s.i = r.i + 1)"""
+
+
+@query("merge_threshold", f"WITH {_SLOP} SELECT event_id, row_number() OVER (ORDER BY m.slot, CASE WHEN file_idx = first THEN 0 ELSE 1 END, file_idx, line_no) - 1 AS out_pos FROM m JOIN r ON m.slot = r.slot")
+def merge_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five sources in the order up to an hour."""
+    parsed = parse_lines(_logged(_events(spark, sf_dir)))
+    return positioned(build_timeline(parsed), threshold=_HOUR).select("event_id", "out_pos")
