@@ -44,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--until")
     p.add_argument("--min-ts-len", type=int)
     p.add_argument("--ts-search-limit", type=int)
-    flags = {"ignore-archives": "", "follow-symlinks": "", "write-timestamp": "-t", "strip-timestamp": "-s", "write-level": "", "strip-level": "", "write-block-alias": "-b", "write-line-alias": "-a", "ignore-timezone": "", "drop-orphans": "", "metrics": "", "progress": "-p", "dry-run": ""}
+    flags = {"ignore-archives": "", "follow-symlinks": "", "write-timestamp": "-t", "strip-timestamp": "-s", "write-level": "", "strip-level": "", "write-block-alias": "-b", "write-line-alias": "-a", "ignore-timezone": "", "further": "", "drop-orphans": "", "metrics": "", "progress": "-p", "dry-run": ""}
     for name, short in flags.items():
         p.add_argument(f"--{name}", *filter(None, [short]), action="store_true")
     return p

@@ -39,6 +39,7 @@ class Config:
     ts_search_limit: int = SEARCH_LIMIT
     order: str = "stable"
     threshold: int | None = None
+    further: bool = False
     drop_orphans: bool = False
     metrics: bool = False
     dry_run: bool = False
@@ -72,7 +73,7 @@ class Config:
     def merge_options(self) -> MergeOptions:
         return MergeOptions(
             since=nanos(self.since) if self.since else None, until=nanos(self.until) if self.until else None, drop_orphans=self.drop_orphans, order=self.order, threshold=self.threshold,
-            timestamps=TimestampOptions(self.ts_search_limit, self.min_ts_len, self.ignore_timezone),
+            timestamps=TimestampOptions(self.ts_search_limit, self.min_ts_len, self.ignore_timezone, self.further),
             render=RenderOptions(self.write_timestamp, self.write_level, self.write_line_alias, self.write_block_alias, self.strip_timestamp, self.strip_level),
         )
 

@@ -32,11 +32,12 @@ DAY = 86_400
 
 @dataclass(frozen=True)
 class TimestampOptions:
-    """How far into a line to look, the fewest characters left at a timestamp, and whether zones count."""
+    """How far into a line to look, the fewest characters left at a timestamp, whether zones don't count, and whether further forms are looked for."""
 
     search_limit: int = SEARCH_LIMIT
     shortest: int = SHORTEST
     ignore_timezone: bool = False
+    further: bool = False
 
 
 def _two(c: Column) -> Column:

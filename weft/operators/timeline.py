@@ -32,10 +32,14 @@ def with_running(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     Lines are parsed once: the chunks' own values are stored, and what follows reads them.
     """
+    return carried(stored(in_chunks(df, chunk))).select(*df.columns, "block_ts", "merge_key")
+
+
+def in_chunks(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """df with _chunk, and the running maximum and last timestamp in it: _own_max and _own_last."""
     in_chunk = Window.partitionBy("file_idx", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     own = df.withColumn("_chunk", F.floor(F.col("line_no") / chunk))
-    run = stored(own.withColumns({"_own_max": F.max("ts_ns").over(in_chunk), "_own_last": F.last("ts_ns", True).over(in_chunk)}))
-    return carried(run).select(*df.columns, "block_ts", "merge_key")
+    return own.withColumns({"_own_max": F.max("ts_ns").over(in_chunk), "_own_last": F.last("ts_ns", True).over(in_chunk)})
 
 
 def carried(run: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.levels import with_levels
 from weft.functions.timestamps import TimestampOptions, with_timestamps
+from weft.functions.yearless import with_further_timestamps, with_years
 from weft.operators import metrics, replay, slop, timeline
 from weft.operators.render import RenderOptions, alias_width, render, with_body
 from weft.sources.listing import Listing, list_sources
@@ -42,8 +43,12 @@ class MergeOptions:
 
 
 def parse_lines(lines: DataFrame, options: TimestampOptions | None = None, parser: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """raw_lines with timestamps and levels. A parser of one's own adds ts_ns, ts_start, ts_end and zoned."""
-    return with_levels(parser(lines) if parser else with_timestamps(lines, options=options))
+    """raw_lines with timestamps and levels. A parser of one's own adds ts_ns, ts_start, ts_end and zoned.
+
+    With further forms there is _of_year too, for with_years().
+    """
+    stamped = parser(lines) if parser else with_timestamps(lines, options=options)
+    return with_levels(with_further_timestamps(stamped) if options and options.further else stamped)
 
 
 def build_timeline(parsed: DataFrame, options: MergeOptions | None = None) -> DataFrame:
@@ -100,7 +105,12 @@ class Merge:
         if self._rows is None:
             o = self.options
             rows = read_rows(self.spark, self.listing, o.byte_fidelity, o.dense_lines, o.split_bytes, o.packed_bytes)
-            timeline.in_read_order(parse_lines(rows, o.timestamps, self.parser)).write.parquet(self._folder)
+            parsed = parse_lines(rows, o.timestamps, self.parser)
+            if o.timestamps.further:  # years come from all of a file
+                own = timeline.in_chunks(with_years(parsed, self.listing.modified(self.spark)))
+            else:
+                own = timeline.in_read_order(parsed)
+            own.write.parquet(self._folder)
             self._rows = self.spark.read.parquet(self._folder)
         return self._rows
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import levels, paths
 from weft.functions.timestamps import TimestampOptions, format_timestamp, with_timestamps
+from weft.functions.yearless import with_further_timestamps, with_years
 from weft.operators import metrics, timeline
 from weft.operators.storage import shared_dir
 from weft.operators.render import RenderOptions, render, with_body
@@ -608,3 +609,33 @@ def merge_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five sources in the order up to an hour."""
     parsed = parse_lines(_logged(_events(spark, sf_dir)))
     return positioned(build_timeline(parsed), threshold=_HOUR).select("event_id", "out_pos")
+
+
+_SHIFT = "INTERVAL 15 DAYS"  # so that December goes over into January
+
+
+@query("parse_yearless", f"SELECT event_id, epoch(date_trunc('second', ts - {_SHIFT}))::BIGINT * 1000000000 AS ts_ns FROM events")
+def parse_yearless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five files of lines without a year, over the turn of a year, in chunks smaller than they are; a file was modified at its last line."""
+    e = _events(spark, sf_dir).withColumn("ts", F.expr(f"ts - {_SHIFT}"))
+    lines = e.select("event_id", "file_idx", "line_no", F.concat(F.lit("<13>"), _stamp("MMM dd HH:mm:ss"), F.lit(" host event")).alias("line"), "ts")
+    files = lines.groupBy("file_idx").agg((F.max(_micros(F.col("ts"))) * 1000).alias("modified"))
+    parsed = with_further_timestamps(with_timestamps(lines.drop("ts")))
+    return with_years(parsed, files, 700).select("event_id", "ts_ns")
+
+
+@query("parse_epoch", f"WITH {_E}, u AS (SELECT event_id, ns // [1000000000, 1000000, 1000, 1][event_id % 4 + 1] * [1000000000, 1000000, 1000, 1][event_id % 4 + 1] AS ts_ns, length(CAST(ns AS VARCHAR)) - [9, 6, 3, 0][event_id % 4 + 1] AS digits FROM e) SELECT event_id, ts_ns, CAST(1 AS INTEGER) AS ts_start, CAST(1 + digits AS INTEGER) AS ts_end FROM u")
+def parse_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds, milli-, micro- and nanoseconds since 1970 in brackets."""
+    unit = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in (10**9, 10**6, 1000, 1)]), (F.col("event_id") % 4 + 1).cast("int"))
+    number = F.call_function("div", _micros(F.col("ts")) * 1000, unit).cast("string")
+    lines = _events(spark, sf_dir).withColumn("line", F.concat(F.lit("["), number, F.lit("] event")))
+    return with_further_timestamps(with_timestamps(lines)).select("event_id", "ts_ns", "ts_start", "ts_end")
+
+
+@query("parse_named_months", "SELECT event_id, epoch(date_trunc('second', ts))::BIGINT * 1000000000 - CASE event_id % 3 WHEN 1 THEN 5400000000000 ELSE 0 END AS ts_ns, event_id % 3 = 1 AS zoned FROM events")
+def parse_named_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`7 Jan 2024 ...`, as web servers write it, and the month first."""
+    form = F.when(F.col("event_id") % 3 == 0, _stamp("d MMM yyyy HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("::1 - ["), _stamp("dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0130]"))).otherwise(F.concat(F.lit("at "), _stamp("MMMM d, yyyy HH:mm:ss")))
+    lines = _events(spark, sf_dir).withColumn("line", F.concat(form, F.lit(" GET /")))
+    return with_further_timestamps(with_timestamps(lines)).select("event_id", "ts_ns", "zoned")

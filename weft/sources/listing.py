@@ -45,6 +45,7 @@ class Source:
     packed: int = 0
     method: int = 0
     crc: int = 0
+    modified: int = 0
 
 
 @dataclass
@@ -58,6 +59,10 @@ class Listing:
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i, s.source_path, s.container_path, s.alias, s.size, s.kind) for i, s in enumerate(self.sources)], FILES)
 
+    def modified(self, spark: SparkSession) -> DataFrame:
+        """file_idx and modified: nanoseconds since 1970 of the file that holds a source."""
+        return spark.createDataFrame([(i, s.modified) for i, s in enumerate(self.sources)], "file_idx int, modified bigint")
+
 
 def kind_of(path: str) -> str:
     return next((k for x, k in KINDS.items() if path.lower().endswith(x)), "plain")
@@ -158,11 +163,11 @@ def list_sources(inputs: Iterable[str], matcher: Matcher | None = None, aliases:
             for ordinal, (name, size, *place) in enumerate(own):
                 member = f"{e.path}{MEMBER}{name}"
                 if matcher.includes(member, f"{relative}{MEMBER}{name}"):
-                    found.sources.append(Source(member, e.path, alias_of(member, root, aliases), size, kind, ordinal, *place))
+                    found.sources.append(Source(member, e.path, alias_of(member, root, aliases), size, kind, ordinal, *place, modified=e.modified))
             if damage is not None:
                 found.errors.append((e.path, damage))
         else:
-            found.sources.append(Source(e.path, e.path, alias_of(e.path, root, aliases), e.size, kind))
+            found.sources.append(Source(e.path, e.path, alias_of(e.path, root, aliases), e.size, kind, modified=e.modified))
     if not found.sources:
         raise FileNotFoundError(f"no files to merge in {', '.join(inputs)}")
     return found

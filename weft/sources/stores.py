@@ -40,12 +40,14 @@ class Entry:
     size: int = 0
     link: bool = False
     real: str = ""
+    #: Nanoseconds since 1970 of the last modification.
+    modified: int = 0
 
 
 def _entry(path: str, info: fs.FileInfo, local: bool) -> Entry:
     link = local and os.path.islink(info.path)
     kind = {fs.FileType.File: "file", fs.FileType.Unknown: "file", fs.FileType.Directory: "dir"}.get(info.type, "broken" if link else "missing")
-    return Entry(path, kind, info.size or 0, link, os.path.realpath(info.path) if local else info.path)
+    return Entry(path, kind, info.size or 0, link, os.path.realpath(info.path) if local else info.path, info.mtime_ns or 0)
 
 
 def entry(path: str, store: str = "") -> Entry:
