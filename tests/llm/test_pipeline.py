@@ -1,10 +1,13 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import os
 import random
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
+from weft.operators.storage import shared_dir
 from tests.llm.conftest import prose
 from tests.llm.test_operators import brute_components, brute_repeats, check_packed
 
@@ -100,10 +103,28 @@ def test_packing(stages):
 def test_odd_columns(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs_after = stage(spark, docs, None)
-            assert docs_after.columns == docs.columns and docs_after.count() <= docs.count()
+            assert stage(spark, docs, None).columns == docs.columns
+    assert all(stage(spark, no_docs, None).collect() == [] for _, stage in corpus_pipeline.STAGES)
+    rows = Counter(odd_docs.collect())
+    language, near, repeated = (Counter(stage(spark, odd_docs, None).collect()) for _, stage in corpus_pipeline.STAGES[:3])
+    assert language <= rows and {r["text"] for r in rows - language} >= {None, "", "   \n\t ", "?!"} and language[next(r for r in rows if r["text"] == "short")] == 2
+    assert near <= rows
+    words = lambda own: Counter(r["text"] for r in own.elements() if r["text"] and r["text"].split())
+    assert set(words(near)) == set(words(rows)) and set(words(near).values()) == {1} and (rows - near).total() == 2  # the long text and a short one stood there twice
+    assert {r["doc_id"] for r in rows - near} == {5, 6}
+    long = max((r["text"] for r in rows if r["text"]), key=len)
+    assert Counter((r["doc_id"], r["text"]) for r in repeated.elements()) == Counter((r["doc_id"], "" if r["text"] == long else r["text"]) for r in rows.elements())
 
 
 def test_run(spark):
+    """run() packs what the stages keep, one after another, and leaves none of their tables behind."""
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert rows and corpus_pipeline.ORACLE_SQL is None
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith("pipeline-")] and corpus_pipeline.ORACLE_SQL is None
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, None).collect(), docs.schema)
+    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(kept) == docs.count() > 100
+    check_packed(rows, kept)

@@ -13,7 +13,7 @@ the sides. An end agrees if it is
 
 Special strings stand alone and part texts before they are cut.
 
-Nulls and empty texts encode to no ids. Repeated rows give repeated results, equal long texts are
+Ties don't occur: a vocabulary's ranks are distinct, and of equal pairs the first is merged. Nulls and empty texts encode to no ids. Repeated rows give repeated results, equal long texts are
 encoded once. An empty table gives an empty result. Other columns pass through, and a column named as
 a result is replaced by the result.
 """

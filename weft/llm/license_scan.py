@@ -6,7 +6,8 @@ plain stretch of its pattern, and one automaton finds all keywords. All matches
 then length, then rule order, a detection is kept unless an interval kept already contains it or it
 overlaps one of higher priority; detections of one priority that overlap in part all stay. Base phrases are counted apart, and their labels always stay.
 
-Null and empty texts have no words and no labels, and score 0. Repeated rows give repeated results.
+Null and empty texts have no words and no labels, and score 0. Texts of any length are scanned whole, in
+time that grows with the text and its matches. Repeated rows give repeated results, an empty table an empty one.
 Extra columns pass through; columns named as results are replaced.
 """
 

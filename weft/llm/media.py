@@ -7,7 +7,7 @@ distance in time in one number; a recording's fingerprint is the array of its pa
 Frames are transformed and paired in blocks of `BLOCK`, so a recording takes a few copies of its bytes,
 its pairs (at most PEAKS * PEAKS * AHEAD for each HOP bytes, 8 bytes each) and one block's spectra.
 
-Null texts are empty texts; an empty text is one padded unit of bytes 255. Repeated rows give
+An empty table gives an empty result. Null texts are empty texts; an empty text is one padded unit of bytes 255. Repeated rows give
 repeated results. A column named as a result is replaced by the result, others pass through.
 """
 

@@ -14,8 +14,10 @@ A pair at the threshold of 0.8 shares no band with probability under 4e-6 (bands
 pruned in a batch with probability about `miss`.
 
 Null and empty texts have empty sets and are linked with nothing. Rows of one doc_id are one
-document. A null doc_id has no component of its own: its row's component is the smallest id linked
-with its text, or null. Ties don't occur: every minimum is of ids. Extra columns are left out.
+document. A row without a doc_id has no component of its own: it takes that of the rows with ids whose
+set equals its own, else null; it is not searched for near copies of other sets (the pipeline numbers rows,
+so there it is). Ties don't occur: every minimum is of ids. Texts of any length are taken whole. An empty
+table gives an empty result. Extra columns are left out.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ segment's count: the exact way for any number of copies.
 
 Equal texts are one class and read once; a class of two or more rows repeats all its windows. Null
 and empty texts have no words. Nothing depends on doc_id: null and repeated ids are rows as others,
-repeated rows are documents of their own. Extra columns pass through; those named as results are
+repeated rows are documents of their own. Texts of any length are taken whole: a long one is many segments.
+An empty table gives an empty result. Extra columns pass through; those named as results are
 replaced.
 """
 
