@@ -65,7 +65,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of windows that start elsewhere too; texts without such words stay as they are."""
+    """All documents, without the words of windows that start elsewhere too; texts without such words stay as they are.
+
+    Null and empty texts stay; repeated rows repeat all their windows; an empty table stays empty; columns
+    named as the operator's results are kept under their names.
+    """
     bounded_batches(spark)
     clashes = {c: f"_{c}" for c in ("n_words", "n_removed", "kept_sha256", "kept_text") if c in docs.columns}
     found = substring_dedup.remove_repeats(docs.withColumnsRenamed(clashes), kept_text=True)
@@ -74,7 +78,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; a null or empty text is one piece. Other columns go; an empty table gives none."""
     bounded_batches(spark)
     return packing.pack(docs)
 
@@ -88,13 +92,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written to the shared folder and read again.
 
-    The last stage stores what its result needs, so the stages before it are deleted.
+    The last stage stores what its result needs, so the stages before it are deleted, also if one fails.
+    Nulls, repeated rows, clashing columns and empty tables are as each stage has them.
     """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    result = STAGES[-1][1](spark, docs, sf_dir)
-    deleted(spark, folder)
-    return result
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        deleted(spark, folder)
