@@ -5,9 +5,11 @@ import random
 from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from weft.functions.timestamps import TimestampOptions, with_timestamps
+from weft.functions.timestamps import TimestampOptions, format_as, with_timestamps
 from weft.functions.yearless import with_further_timestamps, with_years
+from weft.operators.render import RenderOptions
 from weft.plans.merge import Merge, MergeOptions
 
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
@@ -66,3 +68,32 @@ def test_merge_of_files_without_years(spark, tmp_path):
     with Merge(spark, [str(tmp_path)], MergeOptions(timestamps=TimestampOptions(further=True))) as m:
         assert [x[16:] for x in m.lines()] == [f"{f} {n}" for _, f, n in sorted(lines)]
         assert [r["ts_ns"] for r in m.timeline().orderBy("out_pos").collect()] == [ns(t) for t, _, _ in sorted(lines)]
+
+
+def test_files_without_timestamps_stand_at_their_modification(spark, tmp_path):
+    (tmp_path / "a.log").write_text("2031-01-01 00:00:01 a\n2031-01-01 00:00:09 a\n")
+    (tmp_path / "z.log").write_text("none here\nnor here\n")
+    os.utime(tmp_path / "z.log", (datetime(2031, 1, 1, 0, 0, 5, tzinfo=UTC).timestamp(),) * 2)
+    for anchored, want in ((False, ["none here", "nor here", "a", "a"]), (True, ["a", "none here", "nor here", "a"])):
+        with Merge(spark, [str(tmp_path)], MergeOptions(anchor_by_modification=anchored)) as m:
+            assert [x.removeprefix("2031-01-01 00:00:01 ").removeprefix("2031-01-01 00:00:09 ") for x in m.lines()] == want
+
+
+def test_formats(spark):
+    rng = random.Random(4)
+    times = [EPOCH + timedelta(microseconds=rng.randrange(-(10**15), 25 * 10**14)) for _ in range(50)]
+    df = spark.createDataFrame([(i, ns(t) + 7) for i, t in enumerate(times)], "i int, ns bigint")
+    pattern = "%Y|%m|%d|%j|%b|%a|%H:%M:%S.%9N %3N %1N %s %%"
+    got = [r[0] for r in df.orderBy("i").select(format_as(F.col("ns"), pattern)).collect()]
+    assert got == [t.strftime(f"%Y|%m|%d|%j|%b|%a|%H:%M:%S.{t.microsecond:06d}007 {t.microsecond // 1000:03d} {t.microsecond // 100_000} {(t - EPOCH) // timedelta(seconds=1)} %%") for t in times]
+    for bad in ("%Q", "%", "%0N", "%10N"):
+        with pytest.raises(ValueError, match="not a part"):
+            format_as(F.col("ns"), bad)
+
+
+def test_a_format_of_ones_own_in_the_output(spark, tmp_path):
+    (tmp_path / "a.log").write_text("2031-01-01 00:00:01 a\n")
+    (tmp_path / "b.log").write_text("none\n")
+    with Merge(spark, [str(tmp_path)], MergeOptions(render=RenderOptions(write_timestamp=True, timestamp_format="%H:%M:%S"))) as m:
+        assert list(m.lines()) == ["         none", "00:00:01 2031-01-01 00:00:01 a"]
+        assert m.counters().first()["bytes_timestamps"] == 18

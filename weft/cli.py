@@ -40,11 +40,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--alias", action="append", help="pattern=name")
     p.add_argument("--order", choices=["stable", "replay"])
     p.add_argument("--threshold", type=seconds, help="seconds by which order may be broken to keep lines of a source together")
+    p.add_argument("--timestamp-format", help="iso8601, epoch, epoch_ms, clf, or a pattern like %%Y-%%m-%%d %%H:%%M:%%S.%%3N")
     p.add_argument("--since")
     p.add_argument("--until")
     p.add_argument("--min-ts-len", type=int)
     p.add_argument("--ts-search-limit", type=int)
-    flags = {"ignore-archives": "", "follow-symlinks": "", "write-timestamp": "-t", "strip-timestamp": "-s", "write-level": "", "strip-level": "", "write-block-alias": "-b", "write-line-alias": "-a", "ignore-timezone": "", "further": "", "drop-orphans": "", "metrics": "", "progress": "-p", "dry-run": ""}
+    flags = {"ignore-archives": "", "follow-symlinks": "", "write-timestamp": "-t", "strip-timestamp": "-s", "write-level": "", "strip-level": "", "write-block-alias": "-b", "write-line-alias": "-a", "ignore-timezone": "", "further": "", "anchor-by-modification": "", "drop-orphans": "", "metrics": "", "progress": "-p", "dry-run": ""}
     for name, short in flags.items():
         p.add_argument(f"--{name}", *filter(None, [short]), action="store_true")
     return p

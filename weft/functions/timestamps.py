@@ -7,6 +7,7 @@ from the short token that it found, so no pattern runs over the line twice.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyspark.sql.functions as F
@@ -96,6 +97,34 @@ def format_timestamp(ns: Column) -> Column:
     )
 
 
+# Formats by name; %N with a digit is a fraction of so many digits, as in GNU date.
+FORMATS = {"iso8601": "%Y-%m-%dT%H:%M:%S.%9NZ", "epoch": "%s.%9N", "epoch_ms": "%s%3N", "clf": "%d/%b/%Y:%H:%M:%S +0000"}
+
+
+def format_as(ns: Column, pattern: str) -> Column:
+    """Nanoseconds since 1970 as text: a name of FORMATS, or a pattern of %Y %m %d %j %b %a %H %M %S %s %1N to %9N and %%."""
+    second = _floor_div(ns, NANOS)
+    day, rest = _floor_div(second, DAY), F.lpad((ns - second * NANOS).cast("string"), 9, "0")
+    of_day, date = second - day * DAY, F.date_from_unix_date(day.cast("int")).cast("timestamp_ntz")
+    clock = {"H": _floor_div(of_day, 3600), "M": _floor_div(of_day % 3600, 60), "S": of_day % 60}
+    dates = {"Y": "yyyy", "m": "MM", "d": "dd", "j": "DDD", "b": "MMM", "a": "EEE"}
+    parts: list[Column] = []
+    for plain, code, end in re.findall(r"([^%]+)|%(\dN|[A-Za-z%])|(%.?)", FORMATS.get(pattern, pattern), re.S):
+        if plain or code == "%":
+            parts.append(F.lit(plain or "%"))
+        elif code in dates:
+            parts.append(F.date_format(date, dates[code]))
+        elif code in clock:
+            parts.append(F.lpad(clock[code].cast("string"), 2, "0"))
+        elif code == "s":
+            parts.append(second.cast("string"))
+        elif code[1:] == "N" and code[0] != "0":
+            parts.append(F.substring(rest, 1, int(code[0])))
+        else:
+            raise ValueError(f"not a part of a time's format: {end or '%' + code}")
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def _floor_div(a: Column, b: int) -> Column:
     """Whole division towards minus infinity, in 64-bit integers (a double would lose nanoseconds)."""
     divisor = F.lit(b).cast("bigint")
@@ -104,7 +133,6 @@ def _floor_div(a: Column, b: int) -> Column:
 
 def nanos(text: str) -> int:
     """Nanoseconds since 1970 of an RFC 3339 time, as bounds are given."""
-    import re
     from datetime import UTC, datetime
 
     m = re.fullmatch(r"(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)(?:\.(\d{1,9}))?(Z|[+-]\d\d:\d\d)", text)

@@ -58,7 +58,7 @@ def block_sizes(positioned: DataFrame) -> DataFrame:
 
 def counter_columns(options: RenderOptions, width: int = 0) -> list[Column]:
     """The line and byte counters of timeline rows with body (and block_start for block headers), as aggregates."""
-    of = lambda **on: F.sum(F.octet_length(prefix(RenderOptions(**on), width))).cast("bigint") if on else F.lit(0)
+    of = lambda **on: F.sum(F.octet_length(prefix(RenderOptions(timestamp_format=options.timestamp_format, **on), width))).cast("bigint") if on else F.lit(0)
     blocks = F.sum(F.when(F.col("block_start"), F.octet_length(header(F.col("alias")))).otherwise(0)) if options.write_block_alias else F.lit(0)
     parts = {
         "lines_read": F.count("*"),

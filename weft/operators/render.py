@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.levels import label
-from weft.functions.timestamps import format_timestamp
+from weft.functions.timestamps import format_as, format_timestamp
 
 # A missing timestamp's prefix, the separators, delimiters that go with a stripped timestamp.
 NO_TIMESTAMP = " " * 30
@@ -26,6 +26,8 @@ class RenderOptions:
     write_block_alias: bool = False
     strip_timestamp: bool = False
     strip_level: bool = False
+    #: A name or pattern of format_as(); None is the fixed form with nine digits.
+    timestamp_format: str | None = None
 
 
 def with_body(df: DataFrame, options: RenderOptions, line: str = "line") -> DataFrame:
@@ -65,7 +67,12 @@ def prefix(options: RenderOptions, width: int = 0) -> Column:
     """What stands before a line's body: timestamp, level and alias, as asked."""
     parts: list[Column] = []
     if options.write_timestamp:
-        parts.append(F.coalesce(format_timestamp(F.col("block_ts")), F.lit(NO_TIMESTAMP)))
+        form = options.timestamp_format
+        if form is None:
+            parts.append(F.coalesce(format_timestamp(F.col("block_ts")), F.lit(NO_TIMESTAMP)))
+        else:
+            blank = F.repeat(F.lit(" "), F.length(format_as(F.lit(0).cast("bigint"), form)))
+            parts += [F.coalesce(format_as(F.col("block_ts"), form), blank), F.lit(" ")]
     if options.write_level:
         parts.append(label(F.col("level")))
     if options.write_line_alias:

@@ -80,6 +80,13 @@ def in_read_order(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
+def anchored(df: DataFrame, files: DataFrame) -> DataFrame:
+    """A timeline in which files without any timestamp have the key of their modification, given files (file_idx, modified), instead of 0."""
+    timed = df.groupBy("file_idx").agg(F.max("ts_ns").alias("_any")).where("_any IS NULL")
+    anchors = timed.join(files.select("file_idx", "modified"), "file_idx").select("file_idx", F.col("modified").alias("_anchor"))
+    return df.join(anchors, "file_idx", "left").withColumn("merge_key", F.coalesce("_anchor", "merge_key")).drop("_anchor")
+
+
 def bounded(df: DataFrame, since: int | None = None, until: int | None = None, drop_orphans: bool = False) -> DataFrame:
     """The lines of a timeline within the bounds, both inclusive.
 

@@ -25,6 +25,7 @@ class MergeOptions:
     """order: stable (by key, file and line, over any number of rows) or replay (tied files in heap order).
 
     threshold: nanoseconds by which order may be broken to keep lines of a source together.
+    anchor_by_modification: whether files without any timestamp stand at their modification, not first.
     dense_lines: whether lines of a source are numbered without gaps, for which files of many ranges are
     read twice. split_bytes and packed_bytes: of a range of plain and of compressed files.
     """
@@ -34,6 +35,7 @@ class MergeOptions:
     drop_orphans: bool = False
     order: str = "stable"
     threshold: int | None = None
+    anchor_by_modification: bool = False
     timestamps: TimestampOptions = field(default_factory=TimestampOptions)
     render: RenderOptions = field(default_factory=RenderOptions)
     byte_fidelity: bool = False
@@ -126,7 +128,8 @@ class Merge:
 
     def running(self) -> DataFrame:
         """Parsed lines with block_ts and merge_key, without bounds."""
-        return timeline.carried(self._stretches())
+        rows = timeline.carried(self._stretches())
+        return timeline.anchored(rows, self.listing.modified(self.spark)) if self.options.anchor_by_modification else rows
 
     def _bounded(self) -> DataFrame:
         o = self.options

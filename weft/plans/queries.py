@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import levels, paths
-from weft.functions.timestamps import TimestampOptions, format_timestamp, with_timestamps
+from weft.functions.timestamps import TimestampOptions, format_as, format_timestamp, with_timestamps
 from weft.functions.yearless import with_further_timestamps, with_years
 from weft.operators import metrics, timeline
 from weft.operators.storage import shared_dir
@@ -416,7 +416,7 @@ def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Files
 
 
-_PART = 1000  # events of a file
+_PART = 250  # events of a file
 _HALF = _PART // 2
 
 
@@ -469,7 +469,7 @@ def _source(name: str, lines: list[str], _: list[str]) -> bytes:
     if ".tar" in name:
         return _tarred(members, "w:xz" if name.endswith("xz") else "w")
     if name.endswith(".xz"):
-        return b"".join(lzma.compress(b"".join(ended[i : i + 150])) for i in range(0, len(ended), 150))
+        return b"".join(lzma.compress(b"".join(ended[i : i + 40])) for i in range(0, len(ended), 40))
     data = b"".join(ended)
     if name.endswith(".log"):
         return data.replace(b"\n", b"\r\n")[:-2]
@@ -487,7 +487,7 @@ _SOURCES = f"{_CUT}, f AS (SELECT *, (k % 3) || '/' || lpad(CAST(k AS VARCHAR),
 @query("archive_scan", f"WITH {_SOURCES} SELECT source AS alias, row_number() OVER (PARTITION BY source ORDER BY event_id) - 1 AS line_no, line, ns AS ts_ns FROM f")
 def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events from files of every kind, cut in ranges far smaller than they are."""
-    m = Merge(spark, [_archives(spark, sf_dir)], MergeOptions(split_bytes=30_011, packed_bytes=5_003), exclude=["*.tmp"])
+    m = Merge(spark, [_archives(spark, sf_dir)], MergeOptions(split_bytes=4_001, packed_bytes=1_009), exclude=["*.tmp"])
     return m.parsed().join(m.files.select("file_idx", "alias"), "file_idx").select("alias", "line_no", "line", "ts_ns")
 
 
@@ -500,12 +500,12 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_sources([_archives(spark, sf_dir)], Matcher(["*.tmp", "*.gz", "*.bz2", "*.xz", "!*.tar.xz", "/2/**"]), spark=spark).to_df(spark).select("alias", "kind", "size")
 
 
-@query("lines_of_sources", f"WITH {_SOURCES} SELECT source AS alias, line FROM f WHERE source LIKE '1/%' AND kind IN ('.log', '.zip')")
+@query("lines_of_sources", f"WITH {_SOURCES} SELECT source AS alias, line FROM f WHERE source LIKE '0/%' AND kind IN ('.log', '.zip')")
 def lines_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The data source itself; the predicate on aliases chooses sources before any is opened."""
     scan.register(spark)
-    rows = spark.read.format("weft_lines").option("exclude", '["*.tmp", "*.log.*", "*.tar*"]').option("split_bytes", 40_009).load(_archives(spark, sf_dir))
-    return rows.where("error IS NULL").where(F.col("alias").startswith("1/")).select("alias", "line")
+    rows = spark.read.format("weft_lines").option("exclude", '["*.tmp", "*.log.*", "*.tar*"]').option("split_bytes", 3_001).load(_archives(spark, sf_dir))
+    return rows.where("error IS NULL").where(F.col("alias").startswith("0/")).select("alias", "line")
 
 
 def _repeated_members(name: str, lines: list[str], types: list[str]) -> bytes:
@@ -589,7 +589,7 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     merge = StreamMerge(spark, state, f"{state}/out")
     for write in (half, whole):
         folder = _written(spark, sf_dir, write, names, file, f"{state}/in")
-        stream = spark.readStream.format("weft_tail").option("split_bytes", 20_011).load(folder)
+        stream = spark.readStream.format("weft_tail").option("split_bytes", 2_003).load(folder)
         query = merge.writer(stream).trigger(availableNow=True).start()
         query.awaitTermination()
     merge.flush(query.lastProgress["batchId"])
@@ -639,3 +639,21 @@ def parse_named_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.when(F.col("event_id") % 3 == 0, _stamp("d MMM yyyy HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("::1 - ["), _stamp("dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0130]"))).otherwise(F.concat(F.lit("at "), _stamp("MMMM d, yyyy HH:mm:ss")))
     lines = _events(spark, sf_dir).withColumn("line", F.concat(form, F.lit(" GET /")))
     return with_further_timestamps(with_timestamps(lines)).select("event_id", "ts_ns", "zoned")
+
+
+@query("format_patterns", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' WHEN 1 THEN epoch_us(ts) // 1000000 || '.' || lpad(CAST(epoch_us(ts) % 1000000 * 1000 AS VARCHAR), 9, '0') ELSE strftime(ts, '%a %d %b %Y, day %j %H:%M') || ' 100%' END AS text FROM events")
+def format_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ns = _micros(F.col("ts")) * 1000
+    third = F.col("event_id") % 3
+    text = F.when(third == 0, format_as(ns, "iso8601")).when(third == 1, format_as(ns, "epoch")).otherwise(format_as(ns, "%a %d %b %Y, day %j %H:%M 100%%"))
+    return _table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+
+
+@query("merge_anchored", f"WITH {_E}, a AS (SELECT max(ns) AS anchor FROM e WHERE file_idx = 0 AND event_id < 500), m AS (SELECT event_id, file_idx, line_no, CASE WHEN file_idx = 4 THEN anchor ELSE max(ns) OVER (PARTITION BY file_idx ORDER BY line_no) END AS merge_key FROM e, a) SELECT event_id, row_number() OVER (ORDER BY merge_key, file_idx, line_no) - 1 AS out_pos FROM m")
+def merge_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of five sources one has no timestamps: it stands at the file's modification."""
+    e = _logged(_events(spark, sf_dir)).withColumn("line", F.when(F.col("file_idx") == 4, _body()).otherwise(F.col("line")))
+    anchor = e.where("file_idx = 0 AND event_id < 500").agg((F.max(_micros(F.col("ts"))) * 1000).alias("modified"))
+    files = anchor.select(F.explode(F.array(*map(F.lit, range(5)))).alias("file_idx"), "modified")
+    placed = timeline.anchored(timeline.with_running(parse_lines(e)), files)
+    return positioned(placed).select("event_id", "out_pos")
