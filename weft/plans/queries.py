@@ -29,7 +29,7 @@ from weft.operators.render import RenderOptions, render, with_body
 from weft.plans.merge import Merge, MergeOptions, build_timeline, parse_lines, positioned
 from weft.sources import scan
 from weft.sources.listing import list_sources
-from weft.sources.match import ARCHIVES, Matcher
+from weft.sources.match import ARCHIVES, Matcher, read_ignore_file
 from weft.sources.stores import store_of
 from weft.streaming import growing
 from weft.streaming.merge import StreamMerge
@@ -657,3 +657,33 @@ def merge_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = anchor.select(F.explode(F.array(*map(F.lit, range(5)))).alias("file_idx"), "modified")
     placed = timeline.anchored(timeline.with_running(parse_lines(e)), files)
     return positioned(placed).select("event_id", "out_pos")
+
+
+@query("sink_text", f"WITH {_SOURCES}, m AS (SELECT *, max(ns) OVER (PARTITION BY source ORDER BY event_id) AS merge_key FROM f) SELECT row_number() OVER (ORDER BY merge_key, source, event_id) - 1 AS out_pos, line FROM m")
+def sink_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that a merge writes, read again: files in their order are the output, and last lines have got their newline."""
+    out = f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}"
+    with Merge(spark, [_archives(spark, sf_dir)], exclude=["*.tmp"]) as m:
+        m.write(out)
+    scan.register(spark)
+    rows = spark.read.format("weft_lines").option("exclude", '["_SUCCESS", "*.crc"]').load(out).where("error IS NULL")
+    return timeline.with_position(rows, ["source_path", "line_no"]).select("out_pos", "line")
+
+
+@query("file_counts", f"WITH {_SOURCES} SELECT CAST(1 + count(DISTINCT k % 3) AS BIGINT) AS dirs_scanned, count(DISTINCT k) AS files_scanned, count(DISTINCT CASE WHEN kind <> '.log.gz' THEN source END) AS files_matched, CAST(0 AS BIGINT) AS errors FROM f")
+def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = list_sources([_archives(spark, sf_dir)], Matcher(["*.tmp", "*.log.gz"]), spark=spark)
+    row = (found.dirs_scanned, found.files_scanned, len(found.sources), len(found.errors))
+    return spark.createDataFrame([row], "dirs_scanned long, files_scanned long, files_matched long, errors long")
+
+
+@query("file_filter_ignore_file", f"WITH {_P} SELECT page_id, path FROM p WHERE NOT regexp_matches(path, '(^|/)[^/]*1[^/]*$') OR regexp_matches(path, '(^|/)[^/]*12[^/]*$')")
+def file_filter_ignore_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from a file in the shared folder, with comments, blank lines and an exception."""
+    path = f"{shared_dir(spark)}/ignore-{uuid.uuid4().hex}"
+    system, inner = store_of(path)
+    system.create_dir(inner.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(inner) as f:
+        f.write(b"# what is left out\n\n  *1*  \n!*12*\n")
+    p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+/(.*)$", 1).alias("path"))
+    return p.where(paths.includes(F.col("path"), read_ignore_file(path)))

@@ -8,6 +8,8 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import cache
 
+from weft.sources.stores import store_of
+
 # What --ignore-archives excludes.
 ARCHIVES = ("*.zip", "*.tar", "*.gz", "*.rar", "*.7z", "*.tgz", "*.bz2", "*.tbz2", "*.xz", "*.txz")
 
@@ -118,6 +120,9 @@ def alias_of(path: str, root: str, aliases: Mapping[str, str]) -> str:
     return aliases.get(relative, relative)
 
 
-def read_ignore_file(path: str) -> list[str]:
-    with open(path, encoding="utf-8") as f:
-        return [x for x in map(str.strip, f) if x and not x.startswith("#")]
+def read_ignore_file(path: str, store: str = "") -> list[str]:
+    """The rules of a file in any store, without blank lines and comments."""
+    system, inner = store_of(path, store)
+    with system.open_input_file(inner) as f:
+        lines = f.read().decode("utf-8").split("\n")
+    return [x for x in map(str.strip, lines) if x and not x.startswith("#")]
