@@ -24,6 +24,7 @@ from weft.functions import levels, paths
 from weft.functions.timestamps import TimestampOptions, format_as, format_timestamp, with_timestamps
 from weft.functions.yearless import with_further_timestamps, with_years
 from weft.operators import metrics, timeline
+from weft.operators.asof import asof_join
 from weft.operators.storage import shared_dir
 from weft.operators.render import RenderOptions, render, with_body
 from weft.plans.merge import Merge, MergeOptions, build_timeline, parse_lines, positioned
@@ -687,3 +688,11 @@ def file_filter_ignore_file(spark: SparkSession, sf_dir: str) -> DataFrame:
         f.write(b"# what is left out\n\n  *1*  \n!*12*\n")
     p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+/(.*)$", 1).alias("path"))
     return p.where(paths.includes(F.col("path"), read_ignore_file(path)))
+
+
+@query("asof_events", f"WITH {_E}, l AS (SELECT * FROM e WHERE event_type = 'purchase'), r AS (SELECT * FROM e WHERE event_type = 'error') SELECT l.event_id, CASE WHEN l.ns - r.ns <= {24 * _HOUR} THEN r.event_id END AS last_error FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ns >= r.ns")
+def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each purchase the user's last error of the 24 hours before it."""
+    e = _events(spark, sf_dir).select("event_id", "user_id", "event_type", (_micros(F.col("ts")) * 1000).alias("ts_ns"))
+    found = asof_join(e.where("event_type = 'purchase'"), e.where("event_type = 'error'").select("user_id", "ts_ns", "event_id"), ["user_id"], order=["event_id"], tolerance=24 * _HOUR)
+    return found.select("event_id", F.col("last.event_id").alias("last_error"))
