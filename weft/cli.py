@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--order", choices=["stable", "replay"])
     p.add_argument("--threshold", type=seconds, help="seconds by which order may be broken to keep lines of a source together")
     p.add_argument("--timestamp-format", help="iso8601, epoch, epoch_ms, clf, or a pattern like %%Y-%%m-%%d %%H:%%M:%%S.%%3N")
+    p.add_argument("--zone", help="the zone of times without one, such as Europe/Berlin; else UTC")
     p.add_argument("--since")
     p.add_argument("--until")
     p.add_argument("--min-ts-len", type=int)

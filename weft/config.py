@@ -42,6 +42,7 @@ class Config:
     further: bool = False
     anchor_by_modification: bool = False
     timestamp_format: str | None = None
+    zone: str | None = None
     drop_orphans: bool = False
     metrics: bool = False
     dry_run: bool = False
@@ -75,7 +76,7 @@ class Config:
     def merge_options(self) -> MergeOptions:
         return MergeOptions(
             since=nanos(self.since) if self.since else None, until=nanos(self.until) if self.until else None, drop_orphans=self.drop_orphans, order=self.order, threshold=self.threshold, anchor_by_modification=self.anchor_by_modification,
-            timestamps=TimestampOptions(self.ts_search_limit, self.min_ts_len, self.ignore_timezone, self.further),
+            timestamps=TimestampOptions(self.ts_search_limit, self.min_ts_len, self.ignore_timezone, self.further, self.zone),
             render=RenderOptions(self.write_timestamp, self.write_level, self.write_line_alias, self.write_block_alias, self.strip_timestamp, self.strip_level, self.timestamp_format),
         )
 

@@ -39,6 +39,8 @@ class TimestampOptions:
     shortest: int = SHORTEST
     ignore_timezone: bool = False
     further: bool = False
+    #: The zone of times without one, which may show an hour twice; None is UTC.
+    zone: str | None = None
 
 
 def _two(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.levels import with_levels
+from weft.functions.local_time import with_local_zone
 from weft.functions.timestamps import TimestampOptions, with_timestamps
 from weft.functions.yearless import with_further_timestamps, with_years
 from weft.operators import metrics, replay, slop, timeline
@@ -108,10 +109,12 @@ class Merge:
             o = self.options
             rows = read_rows(self.spark, self.listing, o.byte_fidelity, o.dense_lines, o.split_bytes, o.packed_bytes)
             parsed = parse_lines(rows, o.timestamps, self.parser)
-            if o.timestamps.further:  # years come from all of a file
-                own = timeline.in_chunks(with_years(parsed, self.listing.modified(self.spark)))
-            else:
-                own = timeline.in_read_order(parsed)
+            t = o.timestamps
+            if t.further:  # years come from all of a file
+                parsed = with_years(parsed, self.listing.modified(self.spark))
+            if t.zone:
+                parsed = with_local_zone(parsed, t.zone)
+            own = timeline.in_chunks(parsed) if t.further or t.zone else timeline.in_read_order(parsed)
             own.write.parquet(self._folder)
             self._rows = self.spark.read.parquet(self._folder)
         return self._rows

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import levels, paths
+from weft.functions.local_time import with_local_zone
 from weft.functions.timestamps import TimestampOptions, format_as, format_timestamp, with_timestamps
 from weft.functions.yearless import with_further_timestamps, with_years
 from weft.operators import metrics, timeline
@@ -696,3 +697,16 @@ def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select("event_id", "user_id", "event_type", (_micros(F.col("ts")) * 1000).alias("ts_ns"))
     found = asof_join(e.where("event_type = 'purchase'"), e.where("event_type = 'error'").select("user_id", "ts_ns", "event_id"), ["user_id"], order=["event_id"], tolerance=24 * _HOUR)
     return found.select("event_id", F.col("last.event_id").alias("last_error"))
+
+
+_CLOCKS = "z AS (SELECT event_id, ts + INTERVAL 290 DAYS AS utc FROM events), w AS (SELECT *, utc + CASE WHEN utc < TIMESTAMP '2024-10-27 01:00:00' THEN INTERVAL 2 HOURS ELSE INTERVAL 1 HOUR END AS wall FROM z), t AS (SELECT *, wall >= TIMESTAMP '2024-10-27 02:00:00' AND wall < TIMESTAMP '2024-10-27 03:00:00' AS twice FROM w), b AS (SELECT *, CASE WHEN epoch_us(wall) - epoch_us(lag(wall) OVER (PARTITION BY twice ORDER BY event_id)) < -1800000000 THEN 1 ELSE 0 END AS step FROM t), c AS (SELECT *, max(step) OVER (PARTITION BY twice ORDER BY event_id) AS second FROM b)"
+
+
+@query("parse_local_zone", f"WITH {_CLOCKS} SELECT event_id, epoch_us(wall - CASE WHEN wall < TIMESTAMP '2024-10-27 02:00:00' OR (twice AND second = 0) THEN INTERVAL 2 HOURS ELSE INTERVAL 1 HOUR END) * 1000 AS ts_ns FROM c")
+def parse_local_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log by the clock of Berlin, over the night in which an hour is shown twice."""
+    e = _events(spark, sf_dir).withColumn("ts", F.expr("ts + INTERVAL 290 DAYS"))
+    late = F.col("ts") >= F.lit("2024-10-27 01:00:00").cast("timestamp_ntz")
+    wall = e.withColumn("ts", F.when(late, F.expr("ts + INTERVAL 1 HOUR")).otherwise(F.expr("ts + INTERVAL 2 HOURS")))
+    lines = wall.select("event_id", F.lit(0).alias("file_idx"), "line_no", F.concat(_stamp("yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" x")).alias("line"))
+    return with_local_zone(with_timestamps(lines), "Europe/Berlin").select("event_id", "ts_ns")
