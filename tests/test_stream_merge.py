@@ -119,3 +119,11 @@ def test_long_lines(tmp_path):
     lines = ["a" * 5000, "b", "c" * 200_000, "", "d"]
     (tmp_path / "a.log").write_text("".join(f"{x}\n" for x in lines) + "e" * 100_000)
     assert Reader(tmp_path, split_bytes="999").poll() == lines
+
+
+def test_many_small_files_are_few_tasks(tmp_path):
+    for k in range(200):
+        (tmp_path / f"{k:03d}.log").write_text("".join(f"{k} line {i}\n" for i in range(20)))
+    reader = growing.TailReader({"path": str(tmp_path), "split_bytes": "50", "tasks": "6"})
+    assert 6 <= len(reader.partitions({}, reader.latestOffset())) <= 8
+    assert sorted(Reader(tmp_path, split_bytes="50", tasks="6").poll()) == sorted(f"{k} line {i}" for k in range(200) for i in range(20))

@@ -591,7 +591,7 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     merge = StreamMerge(spark, state, f"{state}/out")
     for write in (half, whole):
         folder = _written(spark, sf_dir, write, names, file, f"{state}/in")
-        stream = spark.readStream.format("weft_tail").option("split_bytes", 2_003).load(folder)
+        stream = spark.readStream.format("weft_tail").option("split_bytes", 2_003).option("tasks", spark.sparkContext.defaultParallelism).load(folder)
         query = merge.writer(stream).trigger(availableNow=True).start()
         query.awaitTermination()
     merge.flush(query.lastProgress["batchId"])

@@ -127,7 +127,7 @@ def ranges(listing: Listing, split: int = SPLIT_BYTES, packed: int = PACKED_BYTE
     return out
 
 
-def dealt(found: list[Range], tasks: int, task: int = TASK_BYTES) -> list[list[Range]]:
+def dealt(found: list[Any], tasks: int, task: int = TASK_BYTES) -> list[list[Any]]:
     """Ranges in partitions of about equal bytes, in their order."""
     most = max(1, min(task, -(-sum(r.cost() for r in found) // max(1, tasks))))
     out: list[list[Range]] = []

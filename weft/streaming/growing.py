@@ -3,10 +3,11 @@
 An offset tells for each file how many bytes of it were read, which is behind a complete line: a line
 that is still being written waits. A file is known by its place in the store (its inode where there is
 one, so a renamed file goes on where it was, else its path) and by its first line, so a file that was
-truncated and written anew is another. What is new in a file is cut in byte ranges, which tasks read; nothing is read
+truncated and written anew is another. What is new in a file is cut in byte ranges, which are dealt to tasks by their bytes,
+so many small files are few tasks; nothing is read
 on the driver but first lines and the ends of files that grew. Offsets have an entry for each file that is there.
 
-Options: path (a folder or file), store, split_bytes. A batch takes all that is new, as Spark asks Python sources for no less.
+Options: path (a folder or file), store, split_bytes, tasks (to deal what is new to at least, if it is enough). A batch takes all that is new, as Spark asks Python sources for no less.
 Rows: source (what the file is known by), path, line_no (grows along the file, not dense), line, eol.
 A file that goes before it was read is left out; compressed files and archives don't grow and are not read.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from weft.sources.codecs import raw
 from weft.sources.listing import Listing, _walk, kind_of
-from weft.sources.scan import _ENDS, SPLIT_BYTES, owned
+from weft.sources.scan import _ENDS, SPLIT_BYTES, dealt, owned
 from weft.sources.stores import entry, everywhere, store_of
 
 SCHEMA = "source string, path string, line_no bigint, line string, eol string"
@@ -56,20 +57,28 @@ def complete(file: pa.NativeFile, size: int, least: int = 0) -> int:
 
 
 @dataclass
-class Stretch(InputPartition):
+class Stretch:
     source: str
     path: str
     start: int
     end: int
     low: int
     high: int
+
+    def cost(self) -> int:
+        return self.end - self.start + 4096
+
+
+@dataclass
+class Stretches(InputPartition):
+    stretches: list[Stretch] = field(default_factory=list)
     value: None = None
 
 
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.store = options["path"], options.get("store", "")
-        self.split = int(options.get("split_bytes", SPLIT_BYTES))
+        self.split, self.tasks = int(options.get("split_bytes", SPLIT_BYTES)), int(options.get("tasks", "8"))
         #: Offsets that were handed out last, so that of files that didn't grow no end is looked for.
         self.known: dict[str, dict[str, Any]] = {}
 
@@ -99,15 +108,18 @@ class TailReader(DataSourceStreamReader):
         return found
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out: list[InputPartition] = []
+        out: list[Stretch] = []
         for source, now in end.items():
             low = start.get(source, {}).get("at", 0)
             low, high = (low if low <= now["at"] else 0), now["at"]
             out += [Stretch(source, now["path"], a, min(a + self.split, high), low, high) for a in range(low, high, self.split)]
-        return out
+        return [Stretches(part) for part in dealt(out, self.tasks)]
+
+    def read(self, partition: Stretches) -> Iterator[pa.RecordBatch]:
+        for r in partition.stretches:
+            yield from self._lines(r)
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        r = partition
+    def _lines(self, r: Stretch) -> Iterator[pa.RecordBatch]:
         system, inner = store_of(r.path, self.store)
         try:
             file = system.open_input_file(inner)
