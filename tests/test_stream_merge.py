@@ -4,9 +4,14 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import GroupedData
 
+from weft.operators.timeline import with_running
+from weft.plans.merge import parse_lines
+from weft.plans.queries import QUERIES
 from weft.streaming import growing
 from weft.streaming.merge import StreamMerge
+from weft.streaming.timeline import keyed_writer
 
 
 def run(spark, folder, state, **options):
@@ -127,3 +132,28 @@ def test_many_small_files_are_few_tasks(tmp_path):
     reader = growing.TailReader({"path": str(tmp_path), "split_bytes": "50", "tasks": "6"})
     assert 6 <= len(reader.partitions({}, reader.latestOffset())) <= 8
     assert sorted(Reader(tmp_path, split_bytes="50", tasks="6").poll()) == sorted(f"{k} line {i}" for k in range(200) for i in range(20))
+
+
+def test_keys_of_batches_are_those_of_all_lines(spark, tmp_path):
+    rng, rows = random.Random(2), []
+    for n in range(90):  # 0 mixed, 1 without a time, 2 before 1970, 3 only from the second batch on, 4 only in the first
+        rows += [(0, n, line(rng, rng.randrange(100))), (1, n, "none"), (2, n, f"1969-05-01 00:00:{rng.randrange(60):02d} old" if n > 5 else "none")]
+        rows += [(3, n, line(rng, n))] * (n >= 40) + [(4, n, line(rng, n))] * (n < 20)
+    schema = "file_idx int, line_no bigint, line string"
+    for k in range(3):
+        spark.createDataFrame([r for r in rows if r[1] // 30 == k], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    keyed_writer(stream, str(tmp_path / "m"), str(tmp_path / "out"), chunk=7).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.select("batch").distinct().count() == 3
+    columns = ["file_idx", "line_no", "line", "ts_ns", "level", "block_ts", "merge_key"]
+    want = with_running(parse_lines(spark.createDataFrame(rows, schema)))
+    assert sorted(map(tuple, found.select(columns).collect()), key=repr) == sorted(map(tuple, want.select(columns).collect()), key=repr)
+
+
+def test_stream_keys_takes_no_source_into_one_task(spark, monkeypatch):
+    def whole(*_):
+        raise AssertionError("a source's lines in one task's memory")
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", whole)
+    assert QUERIES["stream_keys"](spark, "/root/testdata/sf0.001").count() == 1000

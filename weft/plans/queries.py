@@ -35,7 +35,7 @@ from weft.sources.match import ARCHIVES, Matcher, read_ignore_file
 from weft.sources.stores import store_of
 from weft.streaming import growing
 from weft.streaming.merge import StreamMerge
-from weft.streaming.timeline import event_counts, streaming_timeline
+from weft.streaming.timeline import event_counts, keyed_writer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -562,9 +562,8 @@ def stream_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(_stamp("yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" "), _pick(LEVEL_OF), F.lit(" event"))
     lines = source.select(_pick({t: i for i, t in enumerate(TYPES)}).cast("int").alias("file_idx"), F.col("event_id").alias("line_no"), line.alias("line"))
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    keyed = streaming_timeline(lines).select(F.col("line_no").alias("event_id"), "block_ts", "merge_key")
-    keyed.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/rows")
+    keyed_writer(lines, folder, f"{folder}/rows", ()).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select(F.col("line_no").alias("event_id"), "block_ts", "merge_key")
 
 
 @query("stream_counts", f"WITH {_E} SELECT epoch_us(date_trunc('hour', ts)) // 1000000 AS start, {_LEVEL} AS level, count(*) AS n FROM e GROUP BY ALL")
