@@ -97,3 +97,9 @@ def test_a_format_of_ones_own_in_the_output(spark, tmp_path):
     with Merge(spark, [str(tmp_path)], MergeOptions(render=RenderOptions(write_timestamp=True, timestamp_format="%H:%M:%S"))) as m:
         assert list(m.lines()) == ["         none", "00:00:01 2031-01-01 00:00:01 a"]
         assert m.counters().first()["bytes_timestamps"] == 18
+
+
+def test_each_pattern_runs_over_a_line_once(spark):
+    df = spark.createDataFrame([("x",)], "line string").selectExpr("line", "CAST(NULL AS BIGINT) AS ts_ns", "0 AS ts_start", "0 AS ts_end", "false AS zoned")
+    plan = with_further_timestamps(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 4

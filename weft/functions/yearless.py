@@ -12,7 +12,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.window import Window
 
-from weft.functions.timestamps import DAY, MONTHS, NANOS, _floor_div, epoch_seconds
+from weft.functions.timestamps import DAY, MONTHS, NANOS, _fields, _floor_div, epoch_seconds
 from weft.operators.storage import stored
 
 # Day, month and year with a time behind them; the month first; seconds, milli-, micro- or nanoseconds since 1970; no year.
@@ -36,8 +36,9 @@ def _number(text: Column) -> Column:
     return F.lpad(F.trim(text), 4, "0").cast("bigint")
 
 
-def _groups(line: Column, pattern: str, n: int) -> Column:
-    return F.array(*[F.regexp_extract(line, pattern, i) for i in range(n + 1)])
+def _groups(token: Column, pattern: str, n: int) -> Column:
+    """What the pattern found, and its groups, taken from there at once; all empty if it found nothing."""
+    return F.when(token != "", _fields(token, pattern, n)).otherwise(F.array(*[F.lit("")] * (n + 1)))
 
 
 def _fraction(digits: Column) -> Column:
@@ -53,9 +54,12 @@ def _offset(zone: Column) -> Column:
 def with_further_timestamps(df: DataFrame, line: str = "line", search: int = 250) -> DataFrame:
     """df (with ts_ns, ts_start, ts_end, zoned) with those of named months and epoch numbers filled in, and _of_year: what a time without a year is in a leap year, in nanoseconds."""
     part = F.when(F.col("ts_ns").isNull(), F.substring(F.col(line), 1, search)).otherwise("")
-    named, first, epoch, none = (_groups(part, p, n) for p, n in ((NAMED, 8), (MONTH_FIRST, 8), (EPOCH, 3), (YEARLESS, 7)))
+    forms = {"_n": (NAMED, 8), "_m": (MONTH_FIRST, 8), "_e": (EPOCH, 3), "_y": (YEARLESS, 7)}
     own = [c for c in df.columns if c not in ("ts_ns", "ts_start", "ts_end", "zoned")]
-    df = df.select(*own, *[F.col(c).alias(f"_{c}") for c in ("ts_ns", "ts_start", "ts_end", "zoned")], part.alias("_part"), named.alias("_n"), first.alias("_m"), epoch.alias("_e"), none.alias("_y"))
+    df = df.select(*own, *[F.col(c).alias(f"_{c}") for c in ("ts_ns", "ts_start", "ts_end", "zoned")], part.alias("_part"))
+    # each pattern runs over a line once; columns of their own, so that no later use runs it anew
+    df = df.select("*", *[F.regexp_extract("_part", p, 0).alias(c) for c, (p, _) in forms.items()])
+    df = df.select(*[c for c in df.columns if c not in forms], *[_groups(F.col(c), p, n).alias(c) for c, (p, n) in forms.items()])
     n, m, e, y = (F.col(c) for c in ("_n", "_m", "_e", "_y"))
     clock = lambda g, at: (_number(g[at]), _number(g[at + 1]), _number(g[at + 2]))
     at_named = (epoch_seconds(_number(n[3]), _month(n[2]), _number(n[1]), *clock(n, 4)) - _offset(n[8])) * NANOS + _fraction(n[7])
