@@ -5,6 +5,7 @@ import gzip
 import io
 import lzma
 import os
+import pickle
 import random
 import re
 import tarfile
@@ -13,6 +14,7 @@ import zipfile
 
 import pytest
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from weft import cli
@@ -235,6 +237,20 @@ def test_folders_and_archives_are_looked_at_in_tasks(spark):
     assert [x for x, _ in found] == list(range(50)) and os.getpid() not in {p for _, p in found}
 
 
+def test_what_a_task_is_sent_does_not_grow_with_the_sources(monkeypatch):
+    """Neither the function that finds an xz file's blocks nor the read function holds all sources."""
+    sent = []
+    monkeypatch.setattr(scan, "spread", lambda spark, f, items, least=0: sent.append(len(cloudpickle.dumps(f))) or [[(0, 1)] for _ in items])
+    for n in (10, 1000):
+        found = scan.ranges(Listing([Source(f"/in/{k}.xz", f"/in/{k}.xz", f"{k}.xz", 5000 + k, "xz") for k in range(n)]), packed=1000)
+        fresh = scan.LineSource({"plan": scan.plan_of(found), "tasks": "4"})
+        source = pickle.loads(pickle.dumps(fresh))  # as the planner gets it
+        reader = source.reader(None)
+        sent.append(len(cloudpickle.dumps((reader, source))))
+        assert [r["path"] for p in reader.partitions() for r in p.ranges] == [f"/in/{k}.xz" for k in range(n)]
+    assert sent[0] == sent[2] and sent[1] == sent[3]
+
+
 def box(path):
     """A store of one's own: box:/name stands for a folder that the environment names."""
     return fs.SubTreeFileSystem("/tmp", fs.LocalFileSystem()), path.removeprefix("box:/").lstrip("/")

@@ -97,7 +97,8 @@ def ranges(listing: Listing, split: int = SPLIT_BYTES, packed: int = PACKED_BYTE
     tars: dict[str, Range] = {}
     sources = [(i, s, everywhere(s.container_path, listing.store)) for i, s in enumerate(listing.sources)]
     large = [p for _, s, p in sources if s.kind == "xz" and s.size > packed]
-    cuts = dict(zip(large, spread(spark, lambda p: _xz_cuts(p, listing.store, packed), large, 1), strict=True))
+    store = listing.store  # alone: what the function names goes to every task
+    cuts = dict(zip(large, spread(spark, lambda p: _xz_cuts(p, store, packed), large, 1), strict=True))
 
     def bytewise(i: int, path: str, how: str, low: int, high: int, step: int) -> None:
         for n, at in enumerate(range(low, high, step) if high > low else [low]):
@@ -432,6 +433,13 @@ class LineReader(DataSourceReader):
 class LineSource(DataSource):
     """spark.read.format("weft_lines").load(folder): lines with source_path and alias; predicates on those choose sources before any is opened."""
 
+    _planned = False
+
+    def __getstate__(self) -> dict[str, Any]:
+        """Spark sends a source that has its reader to every task, which has its own ranges and needs no plan of all."""
+        kept = {k: v for k, v in self.options.items() if k != "plan"}
+        return self.__dict__ | ({"options": kept} if self._planned else {})
+
     @classmethod
     def name(cls) -> str:
         return "weft_lines"
@@ -440,6 +448,7 @@ class LineSource(DataSource):
         return LINES + ERROR + (NAMES if "path" in self.options else "")
 
     def reader(self, schema: Any) -> LineReader:
+        self._planned = True
         return LineReader(self.options)
 
 
